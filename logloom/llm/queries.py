@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .packing import op10_best_fit_packing
+from .quality import op3_quality_classifier
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
