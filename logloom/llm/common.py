@@ -73,9 +73,6 @@ def hash_words(raw: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.n
     fresh &= ~blank
     begin = np.flatnonzero(fresh)
     first = np.searchsorted(begin, at)
-    stop = blank.copy()
-    if len(raw):
-        stop[:-1] |= fresh[1:]
     # a word ends before the next blank or the next text
     ends = np.append(np.flatnonzero(blank | fresh), len(raw))
     end = ends[np.searchsorted(ends, begin, "right")] if len(begin) else begin

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_utf8, hash_words, remainder
+from .common import flat_utf8, hash_words, mix64, pieces, remainder
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], bound: int) -> tuple[pa.Array, np.ndarray]:
@@ -51,10 +52,14 @@ class Vocabulary:
         return len(self.tags)
 
     @classmethod
-    def of(cls, hashes: np.ndarray, doc: np.ndarray, buckets: int, least: int) -> Vocabulary:
-        """From the words of a sample: those in ``least`` texts or more, the most widespread first."""
-        pairs = np.unique(np.stack([hashes, doc.astype(np.uint64)], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
-        words, texts = np.unique(pairs[:, 0], return_counts=True)
+    def of(cls, parts: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, least: int) -> Vocabulary:
+        """From parts of a sample (hashes, text of each): words in ``least`` texts or more, the most widespread first."""
+        words, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for h, doc in parts:
+            pair = np.unique(mix64(h) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
+            more, count = np.unique(h[pair], return_counts=True)
+            words, back = np.unique(np.concatenate([words, more]), return_inverse=True)
+            texts = np.bincount(back, np.concatenate([texts, count]), len(words)).astype(np.int64)
         order = np.lexsort((words, texts))
         order = order[texts[order] >= least]
         tags = np.zeros(buckets, np.uint32)
@@ -101,6 +106,11 @@ def words_of(texts: pa.Array, fold: bool = True):
     return (raw, at, *hash_words(raw, at, fold))
 
 
+def parts_of(texts: pa.Array, most: int = 1 << 20) -> list[pa.Array]:
+    """The texts in parts of about ``most`` bytes."""
+    return [part.column(0) for part in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), "text", most)]
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(name), "")
 

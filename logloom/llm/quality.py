@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix64, pieces, read, remainder
-from .learn import Adam, Vocabulary, labelled_sample, logit, sigmoid, text_column, words_of
+from .learn import Adam, Vocabulary, labelled_sample, logit, parts_of, sigmoid, text_column, words_of
 
 FOLD = (4, 2)
-SAMPLE = 6000
+SAMPLE = 4000
 DIM = 48
 SHAPES = 256
 CUT = 0.7
@@ -59,11 +59,10 @@ class PooledNetwork:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
             return self
-        raw, _, h, first, begin, end = words_of(texts, fold=False)
-        doc = np.repeat(np.arange(len(y)), np.diff(first))
-        self.vocabulary = Vocabulary.of(h, doc, self.buckets, 5)
-        self.vectors = self._train_vectors(h, doc, shapes(raw, begin, end))
-        x = self.pooled(texts)
+        parts = parts_of(texts)
+        self.vocabulary = self._widespread(parts)
+        self.vectors = self._train_vectors(parts)
+        x = np.concatenate([self.pooled(part) for part in parts])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x = np.clip((x - self.mean) / self.scale, -8, 8)
         rng = np.random.default_rng(self.seed)
@@ -100,24 +99,34 @@ class PooledNetwork:
         self.shift = logit(CUT) - cut / self.temperature
         return self
 
-    def _train_vectors(self, h: np.ndarray, doc: np.ndarray, shape: np.ndarray, reach: int = 2) -> np.ndarray:
+    def _widespread(self, parts: list[pa.Array]) -> Vocabulary:
+        def words() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part in parts:
+                _, _, h, first, _, _ = words_of(part, fold=False)
+                yield h, np.repeat(np.arange(len(part)), np.diff(first))
+
+        return Vocabulary.of(words(), self.buckets, 5)
+
+    def _train_vectors(self, parts: list[pa.Array], reach: int = 2) -> np.ndarray:
+        """Sums of the neighbours' index vectors, a part of the sample at a time; to length 1."""
         n = self.buckets + 1
-        ids = self.vocabulary.ids(h)
         table = np.zeros((n + SHAPES, DIM), np.float32)
-        words, back = np.unique(h, return_inverse=True)
-        index = index_vectors(words)
         look = index_vectors(np.arange(SHAPES, dtype=np.uint64) + np.uint64(991))
-        step = 200_000
-        for lag in range(1, reach + 1):
-            for lo in range(0, max(0, len(h) - lag), step):
-                a = np.arange(lo, min(lo + step, len(h) - lag))
-                a = a[doc[a] == doc[a + lag]]
-                b = a + lag
-                for near, far in ((a, b), (b, a)):
-                    add = index[back[far]] + look[shape[far]]
-                    for column in range(DIM):
-                        table[:n, column] += np.bincount(ids[near], add[:, column], n).astype(np.float32)
-                        table[n:, column] += np.bincount(shape[near], add[:, column], SHAPES).astype(np.float32)
+        for part in parts:
+            raw, _, h, first, begin, end = words_of(part, fold=False)
+            doc = np.repeat(np.arange(len(part)), np.diff(first))
+            ids, shape = self.vocabulary.ids(h), shapes(raw, begin, end)
+            own = index_vectors(h) + look[shape]
+            around = np.zeros_like(own)
+            for lag in range(1, reach + 1):
+                same = (doc[lag:] == doc[:-lag])[:, None]
+                around[lag:] += own[:-lag] * same
+                around[:-lag] += own[lag:] * same
+            for rows, base in ((ids, 0), (shape, n)):
+                order = np.argsort(rows, kind="stable")
+                at = np.flatnonzero(np.append(True, np.diff(rows[order]) > 0)) if len(rows) else order
+                if len(at):
+                    table[base + rows[order][at]] += np.add.reduceat(around[order], at)
         return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-9)
 
     def pooled(self, texts: pa.Array) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Convolutional toxicity classifier: hashed word embeddings, filters of several widths, max pooling.
 
-Trained in numpy on the driver from a bounded sample of labelled rows (``sample``); every text is
-scored whole. A convolution is linear in the embeddings, so scoring adds one table row a word and
-filter tap: no matrix product runs over the corpus. Cut-offs are calibrated by the language that the
+A word's embedding is the sum of those of the word and of its first four and six bytes, each hashed,
+so inflected and unseen forms of a word share most of it. Trained in numpy on the driver from a
+bounded sample of labelled rows (``sample``); every text is scored whole. Cut-offs are calibrated by the language that the
 text itself shows, and the scores shifted so that each cut-off is at 0.7.
 
 Null and empty texts get the model's score of no words. Repeated rows are scored each on its own. With
@@ -18,21 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, read, remainder
-from .learn import FUNCTION_WORDS, Adam, Vocabulary, labelled_sample, language_of, logit, sigmoid, text_column, words_of
+from .common import _FOLD, mix64, pieces, read, remainder
+from .learn import FUNCTION_WORDS, Adam, Vocabulary, labelled_sample, language_of, logit, parts_of, sigmoid, text_column, words_of
 
 FOLD = (3, 1)
-SAMPLE = 8000
+SAMPLE = 5000
 WIDTHS = (1, 2, 3)
 CUT = 0.7
 
 
+def keys_of(raw: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each word and of its beginnings (lower case, short words ending in zeros)."""
+    out = [hashes]
+    for k in (4, 6):
+        h = np.full(len(begin), k, np.uint64)
+        for j in range(k):
+            at = begin + j
+            h = h * np.uint64(257) + np.where(at < end, _FOLD[raw[np.minimum(at, len(raw) - 1)]], 0).astype(np.uint64)
+        out.append(mix64(h))
+    return out
+
+
 class Convolution:
-    def __init__(self, buckets: int = 1 << 15, dim: int = 8, filters: int = 8, seed: int = 7):
+    def __init__(self, buckets: int = 1 << 17, dim: int = 8, filters: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.buckets, self.dim, self.filters = buckets, dim, filters
         self.vocabulary = Vocabulary(np.zeros(buckets, np.uint32))
-        self.p = {"E": rng.normal(0, 0.3, (buckets + 1, dim)), "u": rng.normal(0, 0.3, filters * len(WIDTHS)), "b": np.zeros(1)}
+        self.p = {"E": rng.normal(0, 0.05, (buckets + 1, dim)), "u": rng.normal(0, 0.3, filters * len(WIDTHS)), "b": np.zeros(1)}
         for w in WIDTHS:
             self.p[f"W{w}"] = rng.normal(0, 0.3, (w, dim, filters))
             self.p[f"c{w}"] = np.zeros(filters)
@@ -43,25 +55,42 @@ class Convolution:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.0
             return self
-        _, _, h, first, _, _ = words_of(texts)
-        doc = np.repeat(np.arange(len(y)), np.diff(first))
-        self.vocabulary = Vocabulary.of(h, doc, self.buckets, 3)
-        ids = self.vocabulary.ids(h)
+        parts = parts_of(texts)
+
+        def words() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part in parts:
+                raw, _, h, first, begin, end = words_of(part)
+                doc = np.repeat(np.arange(len(part)), np.diff(first))
+                for keys in keys_of(raw, h, begin, end):
+                    yield keys, doc
+
+        self.vocabulary = Vocabulary.of(words(), self.buckets, 5)
+        docs: list[np.ndarray] = []
+        for part in parts:
+            raw, _, h, first, begin, end = words_of(part)
+            ids = np.stack([self.vocabulary.ids(k) for k in keys_of(raw, h, begin, end)], 1).astype(np.int32)
+            docs += [ids[first[k] : first[k + 1]].copy() for k in range(len(part))]
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(y))
         held, train = order[: len(y) // 4], order[len(y) // 4 :]
         opt = Adam(self.p, 0.01)
+        self.p["E"] = self.p["E"].astype(np.float32)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         for epoch in range(epochs):
             opt.rate = 0.01 * (1 - epoch / epochs)
             for k in range(0, len(train), batch):
                 rows = train[k : k + batch]
-                self._step(opt, [ids[first[i] : first[i + 1]] for i in rows], y[rows], weight[rows])
-        raw = self.logits(h, first)
-        lang = language_of(h, first)
+                self._step(opt, [docs[i] for i in rows], y[rows], weight[rows])
+        z, lang = np.zeros(len(y)), np.zeros(len(y), np.int64)
+        n = 0
+        for part in parts:
+            raw, _, h, first, begin, end = words_of(part)
+            z[n : n + len(part)] = self.logits(keys_of(raw, h, begin, end), first)
+            lang[n : n + len(part)] = language_of(h, first)
+            n += len(part)
         for k in range(len(self.shift)):
             own = held[lang[held] == k]
-            self.shift[k] = self._cut(raw[own], y[own]) if len(own) >= 50 and 0 < y[own].sum() < len(own) else self._cut(raw[held], y[held])
+            self.shift[k] = self._cut(z[own], y[own]) if len(own) >= 50 and 0 < y[own].sum() < len(own) else self._cut(z[held], y[held])
         return self
 
     @staticmethod
@@ -82,7 +111,7 @@ class Convolution:
             for d, ids in enumerate(docs):
                 n = len(ids) - w + 1
                 if n > 0:
-                    x = p["E"][ids]
+                    x = p["E"][ids].sum(1)
                     z = sum(x[j : n + j] @ p[f"W{w}"][j] for j in range(w)) + p[f"c{w}"]
                     at[d] = z.argmax(0)
                     best[d] = z[at[d], np.arange(self.filters)]
@@ -97,11 +126,11 @@ class Convolution:
             up = g[:, None] * p["u"][k * self.filters : (k + 1) * self.filters] * live
             dw, d_, f_ = np.zeros_like(p[f"W{w}"]), *np.nonzero(live)
             for j in range(w):
-                ids = np.array([docs[d][at[d, f] + j] for d, f in zip(d_, f_)], np.int64)
+                ids = np.array([docs[d][at[d, f] + j] for d, f in zip(d_, f_)], np.int64).reshape(len(d_), -1)
                 scale = up[d_, f_][:, None]
-                np.add.at(dw[j].T, f_, scale * p["E"][ids])
-                rows.append(ids)
-                values.append(scale * p[f"W{w}"][j].T[f_])
+                np.add.at(dw[j].T, f_, scale * p["E"][ids].sum(1))
+                rows.append(ids.ravel())
+                values.append(np.repeat(scale * p[f"W{w}"][j].T[f_], ids.shape[1], 0))
             grads[f"W{w}"], grads[f"c{w}"] = dw, up.sum(0)
         ids = np.concatenate(rows)
         own, back = np.unique(ids, return_inverse=True)
@@ -110,22 +139,16 @@ class Convolution:
         grads["E"] = (own, ge)
         opt.step(grads)
 
-    def tables(self) -> dict[tuple[int, int], np.ndarray]:
-        """(width, tap): each bucket's share of the filters' outputs."""
-        return {(w, j): (self.p["E"] @ self.p[f"W{w}"][j] + (self.p[f"c{w}"] if j == 0 else 0)).astype(np.float32) for w in WIDTHS for j in range(w)}
-
-    def logits(self, hashes: np.ndarray, first: np.ndarray, tables: dict | None = None) -> np.ndarray:
-        tables = tables or self.tables()
-        ids, n = self.vocabulary.ids(hashes), len(first) - 1
+    def logits(self, keys: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        n, e = len(first) - 1, self.p["E"].astype(np.float32, copy=False)
+        x = sum(e[self.vocabulary.ids(k)] for k in keys)
         out = np.full(n, self.p["b"][0])
         for k, w in enumerate(WIDTHS):
             pooled = np.zeros((n, self.filters), np.float32)
-            m = len(ids) - w + 1
+            m = len(x) - w + 1
             has = np.flatnonzero(np.diff(first) >= w)
             if len(has):
-                z = tables[w, 0][ids[:m]]
-                for j in range(1, w):
-                    z += tables[w, j][ids[j : m + j]]
+                z = sum(x[j : m + j] @ self.p[f"W{w}"][j].astype(np.float32) for j in range(w)) + self.p[f"c{w}"].astype(np.float32)
                 edges = np.stack([first[has], first[has + 1] - w + 1], 1).ravel()
                 if edges[-1] >= m:
                     edges = edges[:-1]
@@ -133,24 +156,24 @@ class Convolution:
             out += np.maximum(pooled, 0) @ self.p["u"][k * self.filters : (k + 1) * self.filters]
         return out
 
-    def scores(self, texts: pa.Array, tables: dict) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        _, _, h, first, _, _ = words_of(texts)
-        return sigmoid(self.logits(h, first, tables) - self.shift[language_of(h, first)] + logit(CUT))
+        raw, _, h, first, begin, end = words_of(texts)
+        return sigmoid(self.logits(keys_of(raw, h, begin, end), first) - self.shift[language_of(h, first)] + logit(CUT))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     model = Convolution().fit(*labelled_sample(docs, labels, "toxic", fold, sample))
-    shared = docs.sparkSession.sparkContext.broadcast((model, model.tables()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tables = shared.value
+        model = shared.value
         for whole in batches:
             for batch in pieces(whole, "text"):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(model.scores(text_column(batch), tables), pa.float64())], ["doc_id", "score"]
+                    [batch.column("doc_id"), pa.array(model.scores(text_column(batch)), pa.float64())], ["doc_id", "score"]
                 )
 
     return (
