@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .html import op4_html_extraction
 from .packing import op10_best_fit_packing
 from .quality import op3_quality_classifier
+from .rules import op5_quality_rules
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_quality_rules": op5_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
