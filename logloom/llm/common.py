@@ -163,6 +163,42 @@ def discard(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Places of a membership bitmap (2 MB): a bound for what is broadcast, whatever the number of keys.
+BITMAP = 1 << 24
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bytes of a bitmap with the place of every key (a long) set, gathered by place. False positives grow
+    with the number of keys; callers join exactly afterwards."""
+    rows = (
+        keys.where(F.col(column).isNotNull())
+        .select(F.pmod(F.xxhash64(column), F.lit(BITMAP)).alias("at"))
+        .select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(BITMAP // 64, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def only_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is in keys, and a few more: filtered where they are read, before any shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(keys, column))
+    placed = df.withColumn("__at", F.pmod(F.xxhash64(column), F.lit(BITMAP)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("__at").to_numpy()
+            own = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if own.num_rows:
+                yield own.drop_columns(["__at"])
+
+    return placed.mapInArrow(run, df.schema)
+
+
 #: Rows of an Arrow batch at most; ten thousand long texts in one batch would not fit a worker.
 BATCH_ROWS = 512
 

@@ -6,10 +6,12 @@ from .html import op4_html_extraction
 from .jaccard import op7_jaccard_join
 from .packing import op10_best_fit_packing
 from .quality import op3_quality_classifier
+from .repeats import op1_suffix_dedup
 from .rules import op5_quality_rules
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
