@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontamination
 from .html import op4_html_extraction
 from .jaccard import op7_jaccard_join
 from .packing import op10_best_fit_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
