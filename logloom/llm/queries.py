@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_decontamination
 from .html import op4_html_extraction
 from .jaccard import op7_jaccard_join
+from .lm import op2_lm_scoring
 from .packing import op10_best_fit_packing
 from .quality import op3_quality_classifier
 from .repeats import op1_suffix_dedup
@@ -13,6 +14,7 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
