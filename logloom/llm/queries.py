@@ -11,6 +11,7 @@ from .quality import op3_quality_classifier
 from .repeats import op1_suffix_dedup
 from .rules import op5_quality_rules
 from .toxicity import op9_toxicity
+from .warc import op8_warc_fixity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_warc_fixity": op8_warc_fixity,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
