@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def field(line: Column, path: str, kind: str = "string") -> Column:
@@ -85,7 +86,7 @@ def shell_program_of(line: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def shell_program(lines: pd.Series) -> pd.Series:
     """A walk over words that no Column expression has; in Arrow batches."""
     return lines.map(shell_program_of)

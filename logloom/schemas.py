@@ -3,8 +3,15 @@
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()), "ARRAY<FLOAT>": T.ArrayType(T.FloatType()), "ARRAY<DOUBLE>": T.ArrayType(T.DoubleType()),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """From "name KIND, ..."; needs no session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in text.split(", "))])
 
 
 PROJECTS = _schema("id BIGINT, dir_name STRING, cwd STRING, first_seen_at STRING, last_seen_at STRING")

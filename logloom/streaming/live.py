@@ -1,0 +1,70 @@
+"""Streaming over tailed lines: events, arrivals with a time to live, and frames for listeners."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.functions.blocks import block_array, extract_text, field, summarize
+from logloom.functions.scalar import CONVERSATIONAL
+from logloom.sources.tail import TailSource
+from logloom.sources.transcripts import rollout_text
+
+
+def tail(spark: SparkSession, pattern: str, **options: str) -> DataFrame:
+    spark.dataSource.register(TailSource)
+    return spark.readStream.format("tail").option("path", pattern).options(**options).load()
+
+
+def to_events(lines: DataFrame) -> DataFrame:
+    """path, offset, parsed, line_type, ts, role, text, summary; lines that are no JSON stay, as not parsed."""
+    v = F.try_parse_json("line")
+    row = lines.select("path", "offset", "truncated", "line", v.alias("v"))
+    kind, rollout = field(F.col("v"), "$.type"), rollout_text(F.col("v"))
+    talk = kind.isin(*CONVERSATIONAL)
+    other = F.concat_ws(" · ", kind, field(F.col("v"), "$.subtype"))
+    return row.select(
+        "path", "offset", "truncated", F.col("v").isNotNull().alias("parsed"), kind.alias("line_type"), field(F.col("v"), "$.timestamp").alias("ts"),
+        F.when(talk, kind).otherwise(rollout["role"]).alias("role"),
+        F.when(F.col("v").isNull(), F.col("line")).when(talk, extract_text(F.col("v"))).otherwise(F.coalesce(rollout["text"], other)).alias("text"),
+        summarize(block_array(F.col("v"))).alias("summary"),
+    )
+
+
+def frames(rows: DataFrame, kind: str) -> DataFrame:
+    """Each row as a JSON frame for listeners."""
+    return rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(*rows.columns).alias("data"))).alias("frame"))
+
+
+def watch(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], once: bool = False, every: str = "1 second"):
+    """Starts a query that hands every batch to sink; offsets are kept in the checkpoint."""
+    writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def arrivals(files: DataFrame, gone_after: str = "6 seconds") -> DataFrame:
+    """files: a stream of (path, at timestamp). The first sight of each path, again after it has been
+    away for ``gone_after``; state is a row a path and expires with it."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    millis = int(pd.Timedelta(gone_after).total_seconds() * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at = min(b["at"].min() for b in batches)
+        if not state.exists:
+            yield pd.DataFrame({"path": [key[0]], "arrived_at": [at]})
+        state.update((1,))
+        state.setTimeoutDuration(millis)
+
+    return files.groupBy("path").applyInPandasWithState(run, "path string, arrived_at timestamp", "seen int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def event_windows(events: DataFrame, at: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """An extension: counts of line types by event-time window, late rows dropped by a watermark."""
+    return events.withWatermark(at, late).groupBy(F.window(at, width), "line_type").agg(F.count("*").alias("lines"))
