@@ -23,6 +23,8 @@ from .learn import FUNCTION_WORDS, Adam, Vocabulary, labelled_sample, language_o
 
 FOLD = (3, 1)
 SAMPLE = 5000
+#: Steps of training at least, however small the sample.
+STEPS = 400
 WIDTHS = (1, 2, 3)
 CUT = 0.7
 
@@ -76,8 +78,10 @@ class Convolution:
         opt = Adam(self.p, 0.01)
         self.p["E"] = self.p["E"].astype(np.float32)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+        epochs = max(epochs, -(-STEPS * batch // max(1, len(train))))
         for epoch in range(epochs):
             opt.rate = 0.01 * (1 - epoch / epochs)
+            rng.shuffle(train)
             for k in range(0, len(train), batch):
                 rows = train[k : k + batch]
                 self._step(opt, [docs[i] for i in rows], y[rows], weight[rows])
