@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,12 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[
         a = b
 
 
+def barrier(sql: str) -> Column:
+    """The expression, kept where it stands: the optimizer copies no filter above it, and so no second
+    computation inside an array function's loop, below a column that it holds not to be deterministic."""
+    return F.expr(f"IF(spark_partition_id() >= 0, {sql}, NULL)")
+
+
 def lower_az(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
@@ -156,6 +163,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def discard_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to; it learns of them as the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a materialised table that nothing reads any more."""
     path, spark = df._logloom_path, df.sparkSession
@@ -183,12 +196,13 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def only_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of df whose key is in keys, and a few more: filtered where they are read, before any shuffle."""
+def only_in(df: DataFrame, column: str, keys: DataFrame, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """The rows of df whose key is in keys, and a few more: filtered where they are read, before any shuffle.
+    then: what to make of their batches in the same pass (one Python worker a task), giving schema."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap(keys, column))
     placed = df.withColumn("__at", F.pmod(F.xxhash64(column), F.lit(BITMAP)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             at = batch.column("__at").to_numpy()
@@ -196,7 +210,7 @@ def only_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
             if own.num_rows:
                 yield own.drop_columns(["__at"])
 
-    return placed.mapInArrow(run, df.schema)
+    return placed.mapInArrow((lambda batches: then(kept(batches))) if then else kept, schema or df.schema)
 
 
 #: Rows of an Arrow batch at most; ten thousand long texts in one batch would not fit a worker.

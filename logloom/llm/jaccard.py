@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, materialise, mix64, pieces, read
+from .common import discard, discard_shuffles, gram_hashes, materialise, mix64, only_in, pieces, read
 from .graph import components
 from .learn import words_of
 
@@ -36,7 +36,12 @@ ORDERS = 3
 HEAVY = 1 << 17
 #: Holders of one salted part of a shingle, about.
 PART = 4096
-BLOOM_BITS = 1 << 24
+#: Rows of the list of classes that is broadcast at most.
+BROADCAST_ROWS = 1_000_000
+#: Longs of a class's bitmap.
+SKETCH = 32
+#: Holders among which each is tested against each other's size and place.
+FEW = 64
 #: Shingles counted together in one pass of a task.
 _COUNTED = 1 << 21
 
@@ -63,6 +68,21 @@ def signature(s: np.ndarray) -> int:
     return int(mix64(mix64(total[:1]) + total[1:] + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else 0
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A bitmap of the set: 64 * SKETCH places by hash."""
+    at = mix64(s + np.uint64(0x3C6EF372FE94F82A)) % np.uint64(64 * SKETCH)
+    out = np.zeros(8 * SKETCH, np.uint8)
+    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return out.view(np.int64)
+
+
+def plausible(na: str, nb: str, sa: str, sb: str) -> Column:
+    """Whether the sets of two bitmaps can overlap enough: places of one that the other lacks are shingles of one alone."""
+    alone = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
+    most = F.least(F.col(na) - F.expr(alone.format(sa, sb)), F.col(nb) - F.expr(alone.format(sb, sa)))
+    return (100 + PERCENT) * most >= PERCENT * (F.col(na) + F.col(nb))
+
+
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
@@ -77,9 +97,17 @@ def order_keys(s: np.ndarray, order: int, heavy: tuple[np.ndarray, np.ndarray])
     return key
 
 
-def prefix(s: np.ndarray, order: int, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    n = prefix_length(len(s))
-    return s[np.argpartition(order_keys(s, order, heavy), n - 1)[:n]]
+def prefix(s: np.ndarray, order: int, heavy: tuple[np.ndarray, np.ndarray], ranked: bool = False) -> np.ndarray:
+    """The first shingles of a set in a global order; ranked: in that order."""
+    n, keys = prefix_length(len(s)), order_keys(s, order, heavy)
+    at = np.argpartition(keys, n - 1)[:n]
+    return s[at[np.argsort(keys[at])] if ranked else at]
+
+
+def enough(na: str, nb: str, ra: str, rb: str) -> Column:
+    """Whether sets of na and nb shingles can overlap enough if ra and rb of them are left from a shared one on."""
+    na, nb, ra, rb = (F.col(x) for x in (na, nb, ra, rb))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * F.least(ra, rb) >= PERCENT * (na + nb))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -91,7 +119,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """A row a document (doc_id, n, sig), and rows (token, holders): shingles that several classes of a block hold."""
+    """A row a document (doc_id, n, sig, and bits: the bitmap, once a task), and rows (token, holders): shingles that several classes of a block hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -100,29 +128,31 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             token, holders = np.unique(np.concatenate(held), return_counts=True)
             token, holders = token[holders > 1], holders[holders > 1]
             none = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, _signed(token), pa.array(holders, pa.int64())], ["doc_id", "n", "sig", "token", "holders"])
+            columns = [none, none, none, pa.nulls(len(token), pa.list_(pa.int64())), _signed(token), pa.array(holders, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        names = ["doc_id", "n", "sig", "bits", "token", "holders"]
 
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = shingle_sets(batch.column("text"))
                 sig = [signature(s) for s in sets]
-                none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), none, none],
-                    ["doc_id", "n", "sig", "token", "holders"],
-                )
+                none, bits = pa.nulls(len(sets), pa.int64()), []
                 for s, g in zip(sets, sig):
+                    bits.append(None if g in seen or not len(s) else sketch(s))
                     if g not in seen:
                         seen.add(g)
                         held.append(s)
                         size += len(s)
+                columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.list_(pa.int64())), none, none]
+                yield pa.RecordBatch.from_arrays(columns, names)
                 if size > _COUNTED:
                     yield counted()
                     held, size = [], 0
         if size:
             yield counted()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig long, token long, holders long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig long, bits array<long>, token long, holders long")
 
 
 def _heavy(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,102 +173,90 @@ def _heavy(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _holders(docs: DataFrame, shared) -> DataFrame:
-    """(token, sig): the first order's prefixes, of shingles that two classes or more hold."""
+    """(token, sig, n, rest): the first order's prefixes, of shingles that two classes or more hold. rest: the
+    shingles of the set from this one on."""
+    names = ["token", "salt", "sig", "n", "rest"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_, level, holders = shared.value
         seen: set[int] = set()
         for whole in batches:
             for batch in pieces(whole, "text"):
-                tokens, sigs, salts = [], [], []
+                out: list[tuple[np.ndarray, ...]] = []
                 for s in shingle_sets(batch.column("text")):
                     g = signature(s)
                     if not len(s) or g in seen:
                         continue
                     seen.add(g)
-                    own = prefix(s, 0, (token_, level))
+                    own = prefix(s, 0, (token_, level), ranked=True)
                     salt = np.zeros(len(own), np.int32)
                     if len(token_):
                         at = np.minimum(np.searchsorted(token_, own), len(token_) - 1)
                         parts = np.where(token_[at] == own, holders[at] // PART, 0)
                         salt = np.where(parts, 1 + (g & 0x7FFFFFFF) % np.maximum(parts, 1), 0).astype(np.int32)
-                    tokens.append(own)
-                    salts.append(salt)
-                    sigs.append(np.full(len(own), g, np.int64))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(np.concatenate(tokens)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(sigs))], ["token", "salt", "sig"]
-                    )
+                    n = np.int32(len(s))
+                    out.append((own.view(np.int64), salt, np.full(len(own), g, np.int64), np.full(len(own), n), n - np.arange(len(own), dtype=np.int32)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted rows, those whose shingle has another holder; salted ones pass."""
-        last: tuple | None = None  # the row before, and whether it has been given out
+        """Of sorted rows, those whose shingle has another holder; of few holders only such as can overlap enough with one."""
+        held: list[np.ndarray] | None = None  # the rows of the last shingle seen
+
+        def told(c: list[np.ndarray]) -> pa.RecordBatch:
+            t, s, g, n, r = c
+            fresh = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))
+            t, s, g, n, r = (x[fresh] for x in (t, s, g, n, r))
+            at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            size = np.diff(np.append(at, len(t)))
+            keep = np.repeat(size > FEW, size) | (s > 0)
+            for a, b in zip(at[(size > 2) & (size <= FEW)], (at + size)[(size > 2) & (size <= FEW)]):
+                na, ra = n[a:b].astype(np.int64), r[a:b].astype(np.int64)
+                both, least = na[:, None] + na, np.minimum(ra[:, None], ra)
+                ok = (100 * np.minimum(na[:, None], na) >= PERCENT * np.maximum(na[:, None], na)) & ((100 + PERCENT) * least >= PERCENT * both)
+                np.fill_diagonal(ok, False)
+                keep[a:b] |= ok.any(1)
+            two = at[(size == 2) & (s[at] == 0)]
+            na, nb, rest = n[two].astype(np.int64), n[two + 1].astype(np.int64), np.minimum(r[two], r[two + 1]).astype(np.int64)
+            two = two[(100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & ((100 + PERCENT) * rest >= PERCENT * (na + nb))]
+            keep[two] = keep[two + 1] = True
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, g, n, r)], ["token", "sig", "n", "rest"])
 
         for batch in batches:
-            t, s, g = (batch.column(k).to_numpy() for k in ("token", "salt", "sig"))
-            if not len(t):
+            c = [batch.column(k).to_numpy() for k in names]
+            if held is not None:
+                c = [np.concatenate(x) for x in zip(held, c)]
+            if not len(c[0]):
                 continue
-            given = False
-            if last is not None:
-                t, s, g = np.append(last[0], t), np.append(np.int32(last[1]), s), np.append(last[2], g)
-                given = last[3]
-            fresh = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))
-            t, s, g = t[fresh], s[fresh], g[fresh]
-            near = np.zeros(len(t), bool)
-            eq = t[1:] == t[:-1]
-            near[1:] |= eq
-            near[:-1] |= eq
-            near |= s > 0
-            out = near.copy()
-            out[0] &= not given
-            last = (t[-1], s[-1], g[-1], bool(near[-1]) or len(t) == 1 and given)
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(g[out])], ["token", "sig"])
+            cut = int(np.searchsorted(c[0], c[0][-1]))
+            held = [x[cut:] for x in c]
+            if cut:
+                yield told([x[:cut] for x in c])
+        if held is not None:
+            yield told(held)
 
     return (
         _texts(docs)
-        .mapInArrow(emit, "token long, salt int, sig long")
+        .mapInArrow(emit, "token long, salt int, sig long, n int, rest int")
         .repartition(F.col("token"), F.col("salt"))
         .sortWithinPartitions("token", "salt", "sig")
-        .mapInArrow(several, "token long, sig long")
+        .mapInArrow(several, "token long, sig long, n int, rest int")
     )
 
 
-def _bloom(sigs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the place of every signature set."""
-    rows = (
-        sigs.select(F.pmod(F.col("sig"), F.lit(BLOOM_BITS)).alias("at"))
-        .select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return out.view(np.uint8)
-
-
-def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, tokens) of the classes named in sigs (and of a few that share a place in the bitmap)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(sigs))
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(sig, tokens) of the documents named in reps (doc_id), and of a few that share a place in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
         for whole in batches:
             for batch in pieces(whole, "text"):
-                sigs, sets = [], []
-                for s in shingle_sets(batch.column("text")):
-                    g = signature(s)
-                    at = g % BLOOM_BITS
-                    if len(s) and g not in seen and bits[at >> 3] >> (at & 7) & 1:
-                        seen.add(g)
-                        sigs.append(g)
-                        sets.append(s.view(np.int64))
-                if sigs:
+                sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
+                if sets:
                     at = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets)))], ["sig", "tokens"])
+                    tokens = pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), tokens], ["sig", "tokens"])
 
-    return _texts(docs).mapInArrow(run, "sig long, tokens array<long>")
+    return only_in(_texts(docs), "doc_id", reps, run, "sig long, tokens array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
@@ -257,75 +275,104 @@ def _verify(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
                     keep[k] = 100 * common >= PERCENT * (len(s) + len(t) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
+    named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # 8 bytes a row; else the joins below shuffle all sets
+        sets = sets.join(F.broadcast(named), "sig", "left_semi")
     joined = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a").join(
         sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b"
     )
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the overlap."""
-    return (
-        pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-        .where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-        .select("a", "b")
-    )
-
-
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     first = materialise(_first_pass(docs))
     shared = spark.sparkContext.broadcast(_heavy(first.where("token IS NOT NULL")))
     rows = first.where("sig IS NOT NULL").select("doc_id", "n", "sig")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     held = materialise(_holders(docs, shared))
-    sigs = held.select("sig").distinct()
-    sets = materialise(_sets(docs, sigs).dropDuplicates(["sig"]))
-    sizes = sets.select("sig", F.size("tokens").alias("n"))
+    discard_shuffles(spark)
+    # the bitmaps of classes that share a shingle
+    bits = first.where("bits IS NOT NULL").select("sig", "bits").join(held.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+    bits = materialise(bits.join(held.groupBy("sig").agg(F.min("n").alias("n")), "sig"))
 
     # each holder with the smallest and the largest of its group
-    ends = held.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("holders")).where("low < high")
-    stars = held.join(ends, "token")
-    pairs = (
-        stars.select(F.col("low").alias("a"), F.col("sig").alias("b"))
-        .unionByName(stars.select(F.col("sig").alias("a"), F.col("high").alias("b")))
-        .where("a <> b")
-        .distinct()
-    )
-    links = materialise(_verify(_sized(pairs, sizes), sets, shared))
-    labels = components(links)
-
-    # groups of four or more with several components: those outside of the main one with all others
-    wide = held.join(ends.where("holders > 3").select("token"), "token").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    wide = materialise(wide.select("token", "sig", F.coalesce("label", "sig").alias("label")))
-    sides = wide.groupBy("token", "label").agg(F.count("*").alias("n"))
-    main = (
-        sides.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("sides")).where("sides > 1").select("token", F.col("m.label").alias("main"))
-    )
-    mixed = wide.join(main, "token")
-    left = mixed.where("label <> main").select("token", F.col("sig").alias("p"), F.col("label").alias("lp"))
-    right = mixed.select("token", F.col("sig").alias("q"), F.col("label").alias("lq"))
-    more = (
-        left.join(right, "token")
-        .where("lp <> lq")
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    again = materialise(_verify(_sized(more, sizes), sets, shared))
-    if not again.isEmpty():
-        labels = components(links.unionByName(again))
+    row = F.struct("sig", "n", "rest")
+    ends = materialise(held.groupBy("token").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("holders")).where("low.sig < high.sig"))
+    pairs = materialise(_overlapping(_ends(held.join(ends, "token"), "low", "high"), bits))
+    wide = materialise(held.join(ends.where("holders > 3").select("token"), "token"))
+    named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).unionByName(wide.select("sig")).distinct()
+    sets = materialise(_sets(docs, named.join(classes, "sig").select(F.col("rep").alias("doc_id"))))
+    links, tried, tables = [materialise(_verify(pairs, sets, shared))], [pairs], [held, bits, ends, pairs, wide]
+    labels = components(links[0])
+
+    # of groups of four or more with several components, those outside of the main one: first with two of the
+    # main one's members, twice, then with all others
+    for turn in range(3):
+        own = wide.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        main = (
+            own.groupBy("token", "label")
+            .agg(F.count("*").alias("n"))
+            .groupBy("token")
+            .agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("sides"))
+            .where("sides > 1")
+            .select("token", F.col("m.label").alias("main"))
+        )
+        mixed = materialise(own.join(main, "token"))
+        tables.append(mixed)
+        left = mixed.where("label <> main")
+        if turn < 2:
+            order = F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "rest")
+            two = mixed.where("label = main").groupBy("token").agg(F.min(order).alias("low"), F.max(order).alias("high"))
+            more = _overlapping(_ends(left.join(two, "token"), "low", "high"), bits)
+        else:
+            left = left.join(bits.select("sig", "bits"), "sig")
+            right = mixed.join(bits.select("sig", "bits"), "sig").select(
+                "token", F.col("sig").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("rest").alias("rq"), F.col("bits").alias("bq")
+            )
+            able = (F.col("label") != F.col("lq")) & enough("n", "nq", "rest", "rq") & plausible("n", "nq", "bits", "bq")
+            more = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & able)
+            more = more.select(F.least("sig", "q").alias("a"), F.greatest("sig", "q").alias("b")).distinct()
+        for table in tried:
+            more = more.join(table, ["a", "b"], "left_anti")
+        more = materialise(more)
+        tables.append(more)
+        if more.isEmpty():
+            continue
+        tried.append(more)
+        found = materialise(_verify(more, sets, shared))
+        if not found.isEmpty():
+            links.append(found)
+            every = links[0]
+            for table in links[1:]:
+                every = every.unionByName(table)
+            labels = components(every)
 
     named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     out = named.join(least, "label").select("sig", "component_id")
-    discard(sets)
-    discard(held)
-    discard(wide)
+    for table in [*tables, sets]:
+        discard(table)
     return rows.join(out, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _overlapping(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps allow the overlap."""
+    sides = [bits.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(plausible("na", "nb", "sa", "sb")).select("a", "b")
+
+
+def _ends(stars: DataFrame, *ends: str) -> DataFrame:
+    """Distinct pairs (a, b) of each row's sig with the sig of the structs named, where sizes and places allow."""
+    out = None
+    for end in ends:
+        one = stars.where((F.col("sig") != F.col(f"{end}.sig")) & enough("n", f"{end}.n", "rest", f"{end}.rest")).select(
+            F.least("sig", f"{end}.sig").alias("a"), F.greatest("sig", f"{end}.sig").alias("b")
+        )
+        out = out.unionByName(one) if out is not None else one
+    return out.distinct()
+
+
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
