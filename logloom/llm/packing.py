@@ -157,7 +157,7 @@ def pack(docs: DataFrame, files: tuple[str, str] | None = None, capacity: int =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {n: batch.column(n).to_numpy() for n in batch.schema.names}
+            cols = {n: batch.column(n).to_numpy() for n in ("rank", "before", "length")}
             rank = cols["rank"] + cols["before"]
             at = rows[np.searchsorted(keys, cols["length"] << 44 | rank, "right") - 1]
             yield pa.RecordBatch.from_arrays(
