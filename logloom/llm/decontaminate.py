@@ -8,7 +8,7 @@ is found is verified by the exact weighted similarity: sum of least over sum of
 each shingle, 0.75 or more.
 
 Words are lower-cased. Texts or items with one to four words have their whole sequence as the one
-shingle; null and empty ones match nothing. Repeated rows of either table add nothing to a pair; rows
+shingle, so that such an item is found only in a text that is just it; null and empty ones match nothing. Repeated rows of either table add nothing to a pair; rows
 without an id are ignored. Columns other than the ids and texts are ignored.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read
+from .common import barrier, materialise, read
 
 SHINGLE = 5
 PERCENT = 75
@@ -27,16 +27,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shingled(table: DataFrame, key: str) -> DataFrame:
-    """(key, n, shs): words and hashes of the shingles in order. No filter on them here, and outer explodes
-    below: the optimizer would push such filters to the scan, and the expressions with them."""
+    """(key, n, shs): words and hashes of the shingles in order. Outer explodes below: others bring
+    filters on the array, which the optimizer would push down."""
     words = table.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias(key),
-        F.expr(r"filter(split(lower(coalesce(CAST(text AS STRING), '')), '[\\x20\\x09-\\x0D]+'), x -> x != '')").alias("w"),
+        barrier(r"filter(split(lower(coalesce(CAST(text AS STRING), '')), '[\\x20\\x09-\\x0D]+'), x -> x != '')").alias("w"),
     )
     return words.select(
         key,
         F.size("w").alias("n"),
-        F.expr(
+        barrier(
             f"""CASE WHEN size(w) = 0 THEN CAST(array() AS ARRAY<BIGINT>) WHEN size(w) < {SHINGLE} THEN array(xxhash64(array_join(w, ' ')))
                 ELSE transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])) END"""
         ).alias("shs"),

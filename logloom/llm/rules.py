@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import barrier, read
 
 SAMPLE = 6000
 #: Positions that a packed window key can hold; texts with more words take the wider form.
@@ -29,15 +29,15 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     words = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"),
-    ).select("doc_id", "t", F.expr(r"filter(split(t, '[\\x20\\x09-\\x0D]+'), x -> x != '')").alias("w"))
+    ).select("doc_id", "t", barrier(r"filter(split(t, '[\\x20\\x09-\\x0D]+'), x -> x != '')").alias("w"))
     # each window of three words: 44 bits of its hash and its position, in one number
     keys = words.select(
         "*",
-        F.expr(
+        barrier(
             f"""CASE WHEN size(w) BETWEEN 3 AND {_PACKED} THEN
                 sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {-_PACKED}L) | i)) END"""
         ).alias("k"),
-        F.expr(
+        barrier(
             f"""CASE WHEN size(w) > {_PACKED} THEN
                 sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS p))) END"""
         ).alias("long_k"),
@@ -48,7 +48,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     wide = [same.format(a="x.p", b=f"long_k[{j}].p") for j in ("j - 1", "j + 1")]
     found = keys.select(
         "*",
-        F.expr(
+        barrier(
             f"""CASE WHEN k IS NOT NULL THEN sort_array(transform(filter(k, (x, j) ->
                   (j > 0 AND (k[j - 1] ^ x) BETWEEN 0 AND {_PACKED - 1} AND {packed[0]})
                   OR (j < size(k) - 1 AND (k[j + 1] ^ x) BETWEEN 0 AND {_PACKED - 1} AND {packed[1]})),
@@ -74,23 +74,23 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def per(a: str, b: str) -> Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1))
+#: What rules look at: ratios of the statistics (what, per what).
+FEATURES = {
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_word_share": ("n_repeat_words", "n_words"),
+    "distinct_word_share": ("n_distinct", "n_words"),
+    "upper_share": ("n_upper", "word_chars"),
+    "shouts_per_word": ("n_shouts", "n_words"),
+    "digit_share": ("n_digits", "word_chars"),
+    "word_length": ("word_chars", "n_words"),
+    "words_per_line": ("n_words", "n_lines"),
+    "n_words": ("n_words", None),
+}
 
 
-#: What rules look at: ratios of the statistics.
-FEATURES: dict[str, Column] = {
-    "symbols_per_word": per("n_symbols", "n_words"),
-    "dup_line_share": per("n_dup_lines", "n_lines"),
-    "repeat_word_share": per("n_repeat_words", "n_words"),
-    "distinct_word_share": per("n_distinct", "n_words"),
-    "upper_share": per("n_upper", "word_chars"),
-    "shouts_per_word": per("n_shouts", "n_words"),
-    "digit_share": per("n_digits", "word_chars"),
-    "word_length": per("word_chars", "n_words"),
-    "words_per_line": per("n_words", "n_lines"),
-    "n_words": F.col("n_words").cast("double"),
-}
+def features() -> dict[str, Column]:
+    return {k: F.col(a).cast("double") if b is None else F.col(a) / F.greatest(F.col(b), F.lit(1)) for k, (a, b) in FEATURES.items()}
 
 
 @dataclass(frozen=True)
@@ -199,7 +199,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[li
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     rows = (
         with_statistics(own)
-        .select("doc_id", *(v.alias(k) for k, v in FEATURES.items()))
+        .select("doc_id", *(v.alias(k) for k, v in features().items()))
         .join(F.broadcast(ids), "doc_id")
         .select(order.alias("o"), F.array(*FEATURES).alias("x"), "y")
         .orderBy("o", "x")
@@ -212,7 +212,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[li
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the number of the rule that rejects (0: none)."""
     rules = learn(sample_rows(docs, labels, sample))
-    counted = with_statistics(docs).select("*", *(v.alias(f"__{k}") for k, v in FEATURES.items()))
+    counted = with_statistics(docs).select("*", *(v.alias(f"__{k}") for k, v in features().items()))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
