@@ -63,20 +63,27 @@ def retain_newest(rows: DataFrame, order: str, n: int = 150) -> DataFrame:
     return rows.orderBy(F.col(order).desc()).limit(n)
 
 
-def chunk_texts(text: Column, words: int = 100, stride: int = 50, most: int = 32) -> Column:
-    """array<string>: windows of words that overlap; a short text is its one chunk."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    parts = F.split(flat, " ")
+def with_words(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with __words, the text's words. The condition always holds; it keeps the optimizer from copying the
+    split into every use of its result."""
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    return rows.withColumn("__words", F.when(F.spark_partition_id() >= 0, words))
+
+
+def chunk_texts(parts: Column, words: int = 100, stride: int = 50, most: int = 32) -> Column:
+    """array<string> of an array of words: windows that overlap; a short text is its one chunk."""
     n = F.size(parts)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda i: (i == 0) | (i - stride + words < n))
-    many = F.transform(F.slice(starts, 1, most), lambda i: F.array_join(F.slice(parts, i + 1, words), " "))
-    return F.when(flat == "", F.array().cast("array<string>")).when(n <= words, F.array(flat)).otherwise(many)
+    windows = F.transform(F.slice(starts, 1, most), lambda i: F.array_join(F.slice(parts, i + 1, words), " "))
+    return F.filter(windows, lambda x: x != "")
 
 
-def chunks(events: DataFrame, words: int = 100, stride: int = 50, most: int = 32) -> DataFrame:
-    """A row a chunk: (session_id, seq, chunk_index, text)."""
-    each = events.select("session_id", "seq", F.posexplode(chunk_texts(F.col("text"), words, stride, most)).alias("chunk_index", "text"))
-    return each.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+def chunks(events: DataFrame, words: int = 100, stride: int = 50, most: int = 32, *keep: Column) -> DataFrame:
+    """A row a chunk: (session_id, seq, chunk_index, text) and what is to be kept."""
+    own = with_words(events.select("session_id", "seq", "text", *keep))
+    rest = [c for c in own.columns if c not in ("session_id", "seq", "text", "__words")]
+    each = own.select("session_id", "seq", *rest, F.posexplode_outer(chunk_texts(F.col("__words"), words, stride, most)).alias("chunk_index", "text"))
+    return each.where("text IS NOT NULL").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def arrivals(snapshots: DataFrame, key: str, at: str, first_at: int) -> DataFrame:

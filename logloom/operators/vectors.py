@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.scalar import vector_class
-from logloom.operators.sequence import chunk_texts, keep_best
+from logloom.operators.sequence import chunks, keep_best
 
 TINY = 1e-6
 
@@ -144,24 +144,22 @@ def build_embeddings(
 ) -> DataFrame:
     """New vectors of the work list, by the provider in Arrow batches; to be appended by class and model."""
     todo = unembedded(events, vectors, models, **work)
-    pieces = todo.select(
-        "session_id", "seq", F.posexplode(chunk_texts(F.col("text"))).alias("chunk_index", "text"), script_model(F.col("text"), dim=dim).alias("model"),
-        vector_class(F.col("role")).alias("vector_class"),
-    )
+    pieces = chunks(todo, 100, 50, 32, script_model(F.col("text"), dim=dim).alias("model"), vector_class(F.col("role")).alias("vector_class"))
+    pieces = pieces.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.assign(vector=[v.tolist() for v in provider(frame["text"])], dim=dim, text=frame["text"].str.slice(0, 400))
 
     return pieces.mapInPandas(
-        run, "session_id long, seq long, chunk_index int, text string, model string, vector_class string, vector array<float>, dim int"
+        run, "session_id long, seq long, model string, vector_class string, chunk_index int, text string, vector array<float>, dim int"
     )
 
 
 def dump_chunks(events: DataFrame, vectors: DataFrame, models: list[str], path: str, **work) -> None:
     """The work list's chunks as JSON lines for an engine elsewhere."""
     todo = unembedded(events, vectors, models, **work)
-    todo.select("session_id", "seq", F.posexplode(chunk_texts(F.col("text"))).alias("chunk_index", "text")).write.mode("overwrite").json(path)
+    chunks(todo).write.mode("overwrite").json(path)
 
 
 def load_vectors(spark, path: str, model: str, vector_class_name: str) -> tuple[DataFrame, DataFrame]:

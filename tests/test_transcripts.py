@@ -200,3 +200,29 @@ def test_engine_validates_and_answers(spark):
     assert e.call("dig_topic", {"name": "t", "refresh": False, "limit": 3}).count() == 3
     assert e.promote_topic("t").first()["promoted"] and e.forget_topic("t").count() == 0
     assert all(c.json_schema()["type"] == "object" for c in COMMANDS.values())
+
+
+def test_embeddings_round_trip(spark, tmp_path):
+    import numpy as np
+
+    from logloom.operators import vectors
+
+    events = spark.createDataFrame([(1, 0, "user", "word " * 130), (1, 1, "assistant", "short"), (2, 0, "tool_use", "x" * 40), (2, 1, "user", "exactly enough characters")], "session_id long, seq long, role string, text string")
+    none = spark.createDataFrame([], schemas.EVENT_VECTORS)
+    models = ["hash/en/r1/64"]
+    made = vectors.build_embeddings(events, none, models).collect()
+    assert sorted((r["session_id"], r["seq"], r["chunk_index"], r["model"]) for r in made) == [(1, 0, 0, models[0]), (1, 0, 1, models[0]), (2, 1, 0, models[0])]
+    assert all(abs(np.linalg.norm(r["vector"]) - 1) < 1e-5 for r in made)
+    stored = spark.createDataFrame([{**r.asDict(), "vector": [float(x) for x in r["vector"]]} for r in made], schemas.EVENT_VECTORS)
+    assert vectors.unembedded(events, stored, models).count() == 0
+    vectors.dump_chunks(events, none, models, str(tmp_path / "dump"))
+    dumped = spark.read.json(str(tmp_path / "dump"))
+    assert dumped.count() == 3
+    rows = [{"session_id": 1, "seq": 0, "chunk_index": 0, "dim": 2, "vector": [3.0, 4.0]}, {"session_id": 1, "seq": 0, "chunk_index": 0, "dim": 2, "vector": [0.0, 2.0]},
+            {"session_id": 1, "seq": 1, "chunk_index": 0, "dim": 2, "vector": [0.0, 0.0]}, {"session_id": 1, "seq": 2, "chunk_index": 0, "dim": 3, "vector": [1.0]}]
+    (tmp_path / "load.json").write_text("\n".join(map(json.dumps, rows)) + "\nbroken\n")
+    good, refused = vectors.load_vectors(spark, str(tmp_path / "load.json"), "m", "chat")
+    assert [list(r["vector"]) for r in good.collect()] == [[0.0, 1.0]]
+    assert sorted(r["reason"] for r in refused.collect()) == ["missing field", "wrong dimension", "zero vector"]
+    q = [float(x) for x in vectors.hashing_provider(__import__("pandas").Series(["exactly enough characters"]))[0]]
+    assert vectors.semantic_search(stored, q, models[0], 1).first()["session_id"] == 2
