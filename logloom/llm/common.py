@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -142,6 +144,10 @@ def remainder(column: str, of: int) -> Column:
 
 
 _own_dir: list[str] = []
+#: Tables are written in quick succession; the driver tidies up after one of them this often.
+SETTLE_SECONDS = 5.0
+_settled = [0.0]
+_libc = ctypes.CDLL(None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -158,15 +164,22 @@ def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    if time.monotonic() - _settled[0] > SETTLE_SECONDS:
+        settle(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._logloom_path = path
     return out
 
 
-def discard_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to; it learns of them as the driver collects garbage."""
+def settle(spark: SparkSession) -> None:
+    """Gives the driver's unused memory back, and lets Spark delete shuffle files that nothing refers to: it
+    learns of them as the driver collects garbage."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
     spark._jvm.System.gc()
+    _settled[0] = time.monotonic()
 
 
 def discard(df: DataFrame) -> None:

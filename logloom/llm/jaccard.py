@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, discard_shuffles, gram_hashes, materialise, mix64, only_in, pieces, read
+from .common import discard, settle, gram_hashes, materialise, mix64, only_in, pieces, read
 from .graph import components
 from .learn import words_of
 
@@ -36,7 +36,7 @@ ORDERS = 3
 HEAVY = 1 << 17
 #: Holders of one salted part of a shingle, about.
 PART = 4096
-#: Rows of the list of classes that is broadcast at most.
+#: Rows of a list of pairs that is broadcast at most.
 BROADCAST_ROWS = 1_000_000
 #: Longs of a class's bitmap.
 SKETCH = 32
@@ -275,12 +275,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
                     keep[k] = 100 * common >= PERCENT * (len(s) + len(t) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # 8 bytes a row; else the joins below shuffle all sets
-        sets = sets.join(F.broadcast(named), "sig", "left_semi")
-    joined = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a").join(
-        sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b"
-    )
+    left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
+    if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # 16 bytes a row; else the joins below shuffle all sets
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        pairs = F.broadcast(pairs)
+    joined = left.join(pairs, "a").join(right, "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -292,7 +291,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows = first.where("sig IS NOT NULL").select("doc_id", "n", "sig")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     held = materialise(_holders(docs, shared))
-    discard_shuffles(spark)
+    settle(spark)
     # the bitmaps of classes that share a shingle
     bits = first.where("bits IS NOT NULL").select("sig", "bits").join(held.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
     bits = materialise(bits.join(held.groupBy("sig").agg(F.min("n").alias("n")), "sig"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix64, pieces, read, remainder
+from .common import gram_hashes, mix64, pieces, read, remainder, settle
 from .learn import Adam, Vocabulary, labelled_sample, logit, parts_of, sigmoid, text_column, words_of
 
 FOLD = (4, 2)
@@ -188,6 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FO
 def with_quality(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, sample: int = SAMPLE, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The columns ``keep`` of docs and __score."""
     model = PooledNetwork().fit(*labelled_sample(docs, labels, "quality", fold, sample))
+    settle(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(*keep)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, mix64, pieces, read, remainder
+from .common import _FOLD, mix64, pieces, read, remainder, settle
 from .learn import FUNCTION_WORDS, Adam, Vocabulary, labelled_sample, language_of, logit, parts_of, sigmoid, text_column, words_of
 
 FOLD = (3, 1)
@@ -170,6 +170,7 @@ class Convolution:
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     model = Convolution().fit(*labelled_sample(docs, labels, "toxic", fold, sample))
+    settle(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
