@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, gram_hashes, materialise, mix64, only_in, pieces, read
+from .common import discard, gram_hashes, materialise, mix64, only_in, pieces, read, settle
 from .graph import components
 from .learn import words_of
 
@@ -293,16 +293,19 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     held = materialise(_holders(docs, shared))
     settle(spark)
     # the bitmaps of classes that share a shingle
-    bits = first.where("bits IS NOT NULL").select("sig", "bits").join(held.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+    sharing = _small(materialise(held.select("sig").distinct()))
+    bits = first.where("bits IS NOT NULL").select("sig", "bits").join(sharing, "sig", "left_semi").dropDuplicates(["sig"])
     bits = materialise(bits.join(held.groupBy("sig").agg(F.min("n").alias("n")), "sig"))
 
     # each holder with the smallest and the largest of its group
     row = F.struct("sig", "n", "rest")
     ends = materialise(held.groupBy("token").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("holders")).where("low.sig < high.sig"))
-    pairs = materialise(_overlapping(_ends(held.join(ends, "token"), "low", "high"), bits))
+    pairs = materialise(_overlapping(materialise(_ends(held.join(ends, "token"), "low", "high")), bits))
+    settle(spark)
     wide = materialise(held.join(ends.where("holders > 3").select("token"), "token"))
     named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).unionByName(wide.select("sig")).distinct()
     sets = materialise(_sets(docs, named.join(classes, "sig").select(F.col("rep").alias("doc_id"))))
+    settle(spark)
     links, tried, tables = [materialise(_verify(pairs, sets, shared))], [pairs], [held, bits, ends, pairs, wide]
     labels = components(links[0])
 
@@ -324,7 +327,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         if turn < 2:
             order = F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "rest")
             two = mixed.where("label = main").groupBy("token").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-            more = _overlapping(_ends(left.join(two, "token"), "low", "high"), bits)
+            more = _overlapping(materialise(_ends(left.join(two, "token"), "low", "high")), bits)
         else:
             left = left.join(bits.select("sig", "bits"), "sig")
             right = mixed.join(bits.select("sig", "bits"), "sig").select(
@@ -359,7 +362,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 def _overlapping(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow the overlap."""
     sides = [bits.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(plausible("na", "nb", "sa", "sb")).select("a", "b")
+    return sides[0].join(_small(pairs), "a").join(sides[1], "b").where(plausible("na", "nb", "sa", "sb")).select("a", "b")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows (8 or 16 bytes each), as it is otherwise."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _ends(stars: DataFrame, *ends: str) -> DataFrame:
