@@ -303,10 +303,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     pairs = materialise(_overlapping(materialise(_ends(held.join(ends, "token"), "low", "high")), bits))
     settle(spark)
     wide = materialise(held.join(ends.where("holders > 3").select("token"), "token"))
-    named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).unionByName(wide.select("sig")).distinct()
-    sets = materialise(_sets(docs, named.join(classes, "sig").select(F.col("rep").alias("doc_id"))))
-    settle(spark)
-    links, tried, tables = [materialise(_verify(pairs, sets, shared))], [pairs], [held, bits, ends, pairs, wide]
+    links, tried, tables = [_linked(docs, pairs, classes, shared)], [pairs], [held, bits, ends, pairs, wide]
     labels = components(links[0])
 
     # of groups of four or more with several components, those outside of the main one: first with two of the
@@ -343,7 +340,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         if more.isEmpty():
             continue
         tried.append(more)
-        found = materialise(_verify(more, sets, shared))
+        found = _linked(docs, more, classes, shared)
         if not found.isEmpty():
             links.append(found)
             every = links[0]
@@ -354,11 +351,21 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     out = named.join(least, "label").select("sig", "component_id")
-    for table in [*tables, sets]:
+    for table in tables:
         discard(table)
     return rows.join(out, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shared) -> DataFrame:
+    """The pairs that verify. Only the sets that they name are gathered, and they go when it is done."""
+    named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    sets = materialise(_sets(docs, named.join(classes, "sig").select(F.col("rep").alias("doc_id"))))
+    settle(docs.sparkSession)
+    links = materialise(_verify(pairs, sets, shared))
+    discard(sets)
+    return links
+
+
 def _overlapping(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow the overlap."""
     sides = [bits.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in "ab"]
