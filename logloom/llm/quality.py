@@ -59,7 +59,7 @@ class PooledNetwork:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
             return self
-        parts = parts_of(texts)
+        parts = parts_of(texts, 1 << 18)  # a part's word vectors take some hundred times its bytes
         self.vocabulary = self._widespread(parts)
         self.vectors = self._train_vectors(parts)
         x = np.concatenate([self.pooled(part) for part in parts])
