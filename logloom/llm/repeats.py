@@ -113,7 +113,7 @@ def _neighbours(kept: DataFrame, partitions: int) -> DataFrame:
         .mapInArrow(run, "kind int, head long, doc_id long, pos int, src_id long, src_pos int")
     )
     # two rows a partition
-    order = Window.partitionBy("head").orderBy("doc_id", "pos", F.desc("kind"))
+    order = Window.partitionBy("head").orderBy("doc_id", "pos", "kind")  # a lone suffix is first and last of its partition: its first row looks back
     edges = found.where("kind > 0").select(
         "kind", "head", "doc_id", "pos", F.lag("doc_id").over(order).alias("src_id"), F.lag("pos").over(order).alias("src_pos")
     )
