@@ -1,15 +1,15 @@
-"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted, neighbours compared
-and matches extended left and right.
+"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted twice, neighbours compared.
 
 A suffix is kept where the hash of its first ``head`` words is the least of ``window`` such hashes in a
 row. That depends on the words alone, so every run of head + window - 1 = 50 words or more that occurs
 twice has a kept suffix at the same place of both. All kept suffixes are sorted by head, document and
-place, across partitions; each is compared with the one before it. Suffixes with an equal
-predecessor and touching heads make a stretch, which is then extended word by word to both sides against
-the predecessors' texts. The first occurrence of a passage has no predecessor and stays.
+place, across partitions; those whose head another one has are candidates. The suffixes at every word of
+which the least head is a candidate are then sorted by their first 50 words, document and place, and each
+that has an equal predecessor covers 50 words that occur earlier, whichever document has them. Covers that
+overlap are one passage. The first occurrence of a passage has no predecessor and stays.
 
-Words are compared as they are, by 64-bit hashes; a stretch may draw on several earlier documents, and
-every head-sized part of it has occurred before. Null and empty texts and texts below 50 words have no
+Words are compared as they are, by 64-bit hashes; a passage may draw on several earlier documents, and
+every run of 50 words in it has occurred before. Null and empty texts and texts below 50 words have no
 repeats. Rows that share an id count as one document; rows without an id are left alone. Other columns
 are ignored. An empty table gives an empty result.
 """
@@ -29,8 +29,6 @@ from .learn import words_of
 LEAST = 50
 HEAD = 26
 WINDOW = LEAST - HEAD + 1
-#: Words a match can go on beyond the outermost kept suffix; one more would hold another.
-REACH = WINDOW - 1
 PARTITION_ROWS = 1 << 20
 
 
@@ -43,11 +41,16 @@ def sliding(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(out[: len(x) - n + 1], out[n - width : len(x) - width + 1]) if n > width else out
 
 
+def suffix_keys(heads: np.ndarray) -> np.ndarray:
+    """What the least head of a window is told by."""
+    return mix64(heads ^ np.uint64(0xA0761D6478BD642F))
+
+
 def kept_suffixes(heads: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places whose value is the least of some window; ties are all kept."""
     if len(heads) < window:
         return np.zeros(0, np.int64)
-    key = mix64(heads ^ np.uint64(0xA0761D6478BD642F))
+    key = suffix_keys(heads)
     low = sliding(key, window, np.minimum)
     edge = np.zeros(window - 1, np.uint64)
     return np.flatnonzero(sliding(np.concatenate([edge, low, edge]), window, np.maximum) == key)
@@ -77,165 +80,173 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "head long, doc_id long, pos int")
 
 
-def _neighbours(kept: DataFrame, partitions: int) -> DataFrame:
-    """(doc_id, pos, src_id, src_pos) of each suffix whose head an earlier suffix has; the source is the one just before."""
+def _repeated(kept: DataFrame, partitions: int) -> DataFrame:
+    """(doc_id, pos) of each suffix whose head stands at another place too, the first of them included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
-        names = ["kind", "head", "doc_id", "pos", "src_id", "src_pos"]
+        like = False  # whether the held suffix has the head of the one before it
 
-        def rows(kind: int, h, d, p, sd, sp) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(d), pa.array(p), pa.array(sd), pa.array(sp)], names
-            )
+        def rows(edge: bool, h, d, p) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), edge)), pa.array(h), pa.array(d), pa.array(p.astype(np.int32))], ["edge", "head", "doc_id", "pos"])
 
         for batch in batches:
             h, d, p = (batch.column(k).to_numpy() for k in ("head", "doc_id", "pos"))
             if not len(h):
                 continue
             if last is None:  # its predecessor may be in another partition
-                yield rows(1, h[:1], d[:1], p[:1], d[:1], p[:1])
+                yield rows(True, h[:1], d[:1], p[:1])
             else:
-                h, d, p = np.append(last[0], h), np.append(last[1], d), np.append(last[2], p).astype(np.int32)
+                h, d, p = np.append(last[0], h), np.append(last[1], d), np.append(last[2], p)
             other = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
             h, d, p = h[other], d[other], p[other]
-            last = (h[-1], d[-1], p[-1])
-            same = np.flatnonzero(h[1:] == h[:-1])
-            if len(same):
-                yield rows(0, h[same + 1], d[same + 1], p[same + 1], d[same], p[same])
+            same = h[1:] == h[:-1]
+            before, behind = np.append(like, same), np.append(same, False)
+            last, like = (h[-1], d[-1], p[-1]), bool(before[-1])
+            at = np.flatnonzero((before | behind)[:-1])  # the last one waits for its successor
+            if len(at):
+                yield rows(False, h[at], d[at], p[at])
         if last is not None:
             h, d, p = (np.array([x]) for x in last)
-            yield rows(2, h, d, p.astype(np.int32), d, p.astype(np.int32))
+            yield rows(True, h, d, p)
+            if like:
+                yield rows(False, h, d, p)
 
     found = materialise(
         kept.repartitionByRange(partitions, "head", "doc_id", "pos")
         .sortWithinPartitions("head", "doc_id", "pos")
-        .mapInArrow(run, "kind int, head long, doc_id long, pos int, src_id long, src_pos int")
+        .mapInArrow(run, "edge boolean, head long, doc_id long, pos int")
     )
     # two rows a partition
-    order = Window.partitionBy("head").orderBy("doc_id", "pos", "kind")  # a lone suffix is first and last of its partition: its first row looks back
-    edges = found.where("kind > 0").select(
-        "kind", "head", "doc_id", "pos", F.lag("doc_id").over(order).alias("src_id"), F.lag("pos").over(order).alias("src_pos")
+    edges = found.where("edge").select("head", "doc_id", "pos").distinct()
+    several = edges.groupBy("head").agg(F.collect_list(F.struct("doc_id", "pos")).alias("x")).where(F.size("x") > 1).select(F.explode("x").alias("x")).select("x.*")
+    out = found.where("NOT edge").select("doc_id", "pos").unionByName(several)
+    out._logloom_path = found._logloom_path
+    return out
+
+
+def _windows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(window, doc_id, at): the hash and place of each run of LEAST words whose least head is at a repeated suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                _, _, h, first, _, _ = words_of(batch.column("text"), fold=False)
+                heads, ids = gram_hashes(h, HEAD), batch.column("doc_id").to_numpy()
+                windows = gram_hashes(h, LEAST)
+                at_text, own, at = batch.column("places"), [], []
+                out = []
+                for k in np.flatnonzero(np.diff(first) >= LEAST):
+                    key = suffix_keys(heads[first[k] : first[k + 1] - HEAD + 1])
+                    places = at_text[k].values.to_numpy()
+                    some = np.full(len(key), ~np.uint64(0))
+                    places = places[places < len(key)]  # rows that share an id may differ in length
+                    some[places] = key[places]
+                    start = np.flatnonzero(sliding(some, WINDOW, np.minimum) == sliding(key, WINDOW, np.minimum))
+                    out.append(windows[first[k] + start])
+                    own.append(np.full(len(start), ids[k]))
+                    at.append(start)
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(own)), pa.array(np.concatenate(at).astype(np.int32))],
+                        ["window", "doc_id", "at"],
+                    )
+
+    wanted = repeated.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    return only_in(docs, "doc_id", repeated).join(wanted, "doc_id").mapInArrow(run, "window long, doc_id long, at int")
+
+
+def _covered(windows: DataFrame, partitions: int) -> DataFrame:
+    """(doc_id, at, src): the windows that occur earlier, and the document that has them just before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+
+        def rows(edge: int, w, d, p, src) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(w), edge, np.int32)), pa.array(w), pa.array(d), pa.array(p.astype(np.int32)), pa.array(src)], ["edge", "window", "doc_id", "at", "src"]
+            )
+
+        for batch in batches:
+            w, d, p = (batch.column(k).to_numpy() for k in ("window", "doc_id", "at"))
+            if not len(w):
+                continue
+            if last is None:
+                yield rows(1, w[:1], d[:1], p[:1], d[:1])
+            else:
+                w, d, p = np.append(last[0], w), np.append(last[1], d), np.append(last[2], p)
+            other = np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+            w, d, p = w[other], d[other], p[other]
+            last = (w[-1], d[-1], p[-1])
+            same = np.flatnonzero(w[1:] == w[:-1])
+            if len(same):
+                yield rows(0, w[same + 1], d[same + 1], p[same + 1], d[same])
+        if last is not None:
+            w, d, p = (np.array([x]) for x in last)
+            yield rows(2, w, d, p, d)
+
+    found = materialise(
+        windows.repartitionByRange(partitions, "window", "doc_id", "at")
+        .sortWithinPartitions("window", "doc_id", "at")
+        .mapInArrow(run, "edge int, window long, doc_id long, at int, src long")
     )
-    edges = edges.where("kind = 1 AND src_id IS NOT NULL AND (src_id <> doc_id OR src_pos <> pos)")
-    columns = ("doc_id", "pos", "src_id", "src_pos")
-    out = found.where("kind = 0").select(*columns).unionByName(edges.select(*columns))
+    # two rows a partition; a lone window is first and last of its partition: its first row looks back
+    order = Window.partitionBy("window").orderBy("doc_id", "at", "edge")
+    edges = found.where("edge > 0").select("edge", "doc_id", "at", F.lag("doc_id").over(order).alias("src")).where("edge = 1 AND src IS NOT NULL")
+    columns = ("doc_id", "at", "src")
+    out = found.where("edge = 0").select(*columns).unionByName(edges.select(*columns))
     out._logloom_path = found._logloom_path
     return out
 
 
-def _stretches(repeated: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, and the sources at either end) of the runs of touching heads, a document's rows together."""
+def _spans(covered: DataFrame) -> DataFrame:
+    """doc_id, start_word, n_words, source_id: windows of a document that overlap, made one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
-        names = ["doc_id", "start", "stop", "left_id", "left_pos", "right_id", "right_pos"]
+        held: list | None = None  # doc_id, start, stop, source
+        names = ["doc_id", "start_word", "n_words", "source_id"]
+
+        def rows(spans: list) -> pa.RecordBatch:
+            d, a, b, s = (np.array(c, np.int64) for c in zip(*spans))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (d, a, b - a, s)], names)
+
         for batch in batches:
-            d, p, sd, sp = (batch.column(k).to_numpy() for k in ("doc_id", "pos", "src_id", "src_pos"))
+            d, p, s = (batch.column(k).to_numpy() for k in ("doc_id", "at", "src"))
             if not len(d):
                 continue
-            fresh = np.append(True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + HEAD))
-            if held is not None and held[0] == d[0] and p[0] <= held[2]:
+            fresh = np.append(True, (d[1:] != d[:-1]) | (p[1:] >= p[:-1] + LEAST))
+            if held is not None and held[0] == d[0] and p[0] < held[2]:
                 fresh[0] = False
             a = np.flatnonzero(fresh)
-            b = np.append(a[1:], len(d)) - 1
-            out = []
             if not fresh[0]:
-                e = (a[0] if len(a) else len(d)) - 1
-                held[2], held[5], held[6] = int(p[e]) + HEAD, int(sd[e]), int(sp[e])
+                held[2] = int(p[(a[0] if len(a) else len(d)) - 1]) + LEAST
             if len(a):
-                if held is not None:
-                    out.append(held)
-                rows = [[int(d[i]), int(p[i]), int(p[j]) + HEAD, int(sd[i]), int(sp[i]), int(sd[j]), int(sp[j])] for i, j in zip(a, b)]
-                out += rows[:-1]
-                held = rows[-1]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+                b = np.append(a[1:], len(d)) - 1
+                spans = [held] if held is not None else []
+                spans += [[int(d[i]), int(p[i]), int(p[j]) + LEAST, int(s[i])] for i, j in zip(a, b)]
+                held = spans.pop()
+                if spans:
+                    yield rows(spans)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], names)
-
-    return (
-        repeated.repartition("doc_id")
-        .sortWithinPartitions("doc_id", "pos")
-        .mapInArrow(run, "doc_id long, start long, stop long, left_id long, left_pos long, right_id long, right_pos long")
-    )
+            yield rows([held])
 
-
-def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked: (doc_id, at, side, owner, start, own). The REACH words before (side 0, nearest first) or from ``at`` on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                _, _, h, first, _, _ = words_of(batch.column("text"), fold=False)
-                out = []
-                for k, want in enumerate(batch.column("want").to_pylist()):
-                    words = h[first[k] : first[k + 1]].view(np.int64)
-                    for q in want:
-                        at = q["at"]
-                        part = words[max(0, at - REACH) : at][::-1] if q["side"] == 0 else words[at : at + REACH]
-                        out.append((q["owner"], q["start"], q["side"], q["own"], part))
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["owner", "start", "side", "own", "words"])
-
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "side", "owner", "start", "own")).alias("want"))
-    held = only_in(docs, "doc_id", asked).dropDuplicates(["doc_id"])
-    return held.join(wanted, "doc_id").select("text", "want").mapInArrow(run, "owner long, start long, side int, own boolean, words array<long>")
+    return covered.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(run, "doc_id long, start_word long, n_words long, source_id long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, n_words, source_id: each passage of LEAST words or more that occurs earlier, by (doc_id, place)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = materialise(suffixes(own))
-    shuffled = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // PARTITION_ROWS))
-    repeated = _neighbours(kept, shuffled)
-    stretches = materialise(_stretches(repeated))
+    repeated = _repeated(kept, max(least, -(-kept.count() // PARTITION_ROWS)))
+    windows = materialise(_windows(own, repeated))
     discard(repeated)
     discard(kept)
-    sides = []
-    for side, edge, src, src_at in (
-        (0, F.col("start"), "left_id", F.col("left_pos")),
-        (1, F.col("stop"), "right_id", F.col("right_pos") + HEAD),
-    ):
-        for mine in (True, False):
-            sides.append(
-                stretches.select(
-                    F.col("doc_id" if mine else src).alias("doc_id"),
-                    (edge if mine else src_at).alias("at"),
-                    F.lit(side).alias("side"),
-                    F.col("doc_id").alias("owner"),
-                    "start",
-                    F.lit(mine).alias("own"),
-                )
-            )
-    asked = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
-    pairs = (
-        _contexts(own, asked)
-        .groupBy("owner", "start", "side")
-        .agg(F.max(F.when(F.col("own"), F.col("words"))).alias("x"), F.max(F.when(~F.col("own"), F.col("words"))).alias("y"))
-    )
-    # how far both go on alike
-    grown = pairs.select(
-        "owner", "start", "side",
-        F.expr(
-            "CASE WHEN x IS NULL OR y IS NULL THEN 0L ELSE coalesce(nullif(array_position(zip_with(x, y, (a, b) -> a <=> b), false), 0) - 1, least(size(x), size(y))) END"
-        ).alias("n"),
-    ).groupBy("owner", "start").agg(
-        F.max(F.when(F.col("side") == 0, F.col("n"))).alias("before"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("behind")
-    )
-    spans = (
-        stretches.join(grown.withColumnRenamed("owner", "doc_id"), ["doc_id", "start"])
-        .select("doc_id", (F.col("start") - F.col("before")).alias("a"), (F.col("stop") + F.col("behind")).alias("b"), F.col("left_id").alias("src"))
-        .where(F.col("b") - F.col("a") >= LEAST)
-    )
-    # spans of a document that overlap become one
-    order = Window.partitionBy("doc_id").orderBy("a", "b")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.select("*", F.when(F.col("a") < reach, 0).otherwise(1).alias("new")).select("*", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-    return islands.groupBy("doc_id", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("src", F.struct("a", "b")).alias("src")).select(
-        "doc_id", F.col("a").alias("start_word"), (F.col("b") - F.col("a")).alias("n_words"), F.col("src").alias("source_id")
-    )
+    covered = _covered(windows, max(least, -(-windows.count() // PARTITION_ROWS)))
+    spans = materialise(_spans(covered))
+    discard(covered)
+    discard(windows)
+    return spans
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

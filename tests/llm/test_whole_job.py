@@ -28,3 +28,17 @@ def test_repeats_with_more_partitions_than_suffixes(spark):
         assert found_repeats(frame) == brute_repeats(rows)
     finally:
         spark.conf.set(key, before)
+
+
+def test_repeats_whose_neighbour_shares_less(spark):
+    rng = random.Random(22)
+    make = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(12):  # a passage, a part of it with edits around, the passage again
+        passage = make(58)
+        at = k + 8
+        part = make(20) + passage[at : at + 30] + make(20)
+        rows += [(3 * k, " ".join(make(9) + passage + make(9))), (3 * k + 1, " ".join(part)), (3 * k + 2, " ".join(make(4) + passage + make(9)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    assert len(want) == 12 and found_repeats(frame) == want
