@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from logloom.llm import repeats
+from logloom.llm import repeats, warc
 
 from .test_text_operators import brute_repeats
 
@@ -42,3 +42,24 @@ def test_repeats_whose_neighbour_shares_less(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_repeats(rows)
     assert len(want) == 12 and found_repeats(frame) == want
+
+
+def test_audit_of_two_archives(spark, tmp_path):
+    rows = [(str(k), f"u{k}", b"<p>%d</p>" % k) for k in range(600)]
+    other = {f: list(r) for f, r in (("a", rows[:580]), ("b", rows[580:]))}
+    del other["a"][30]  # lost
+    other["a"][40] = (*other["a"][40][:2], b"<p>")  # record 41, cut short
+    other["b"].append(other["a"].pop(100))  # record 101, moved to the other file
+    other["b"].insert(2, ("new", "u", b"more"))
+    for name, files in (("one", {"a": rows[:580], "b": rows[580:]}), ("two", other)):
+        (tmp_path / name).mkdir()
+        for file, own in files.items():
+            (tmp_path / name / f"{file}.warc.gz").write_bytes(warc.write_warc(iter(own)))
+    leaves = [warc.leaves_of(warc.read_warc(spark, str(tmp_path / n)), f"/{n}/") for n in ("one", "two")]
+    report = {r["file"]: r for r in warc.audit(*leaves).collect()}
+    key = lambda *k: [f"<urn:page:{x}>" for x in k]
+    a, b = report["a.warc.gz"], report["b.warc.gz"]
+    assert a["damaged"] == key(30, 41) and a["missing"] == key(30) and a["added"] == [] and "<urn:page:101>" in a["moved"]
+    assert b["damaged"] == [] and b["added"] == key("new") and not b["intact"] and a["n_records"] == 580
+    same = warc.audit(leaves[0], leaves[0]).collect()
+    assert len(same) == 2 and all(r["intact"] and r["n_compared"] == 1 for r in same)
