@@ -71,24 +71,36 @@ def uuid_of_rollout(name: Column) -> Column:
 
 
 def agent_display_name(agent: Column) -> Column:
-    """The readable part of an agent id: agent-a<name>-<16 or more hex>; null if nothing is left."""
-    bare = F.regexp_replace(agent, "^agent-", "")
-    name = F.regexp_replace(F.substring(bare, 2, 1 << 30), "-?[0-9a-f]{16,}$", "")
-    return F.when(F.substring(bare, 1, 1) == "a", F.nullif(name, F.lit("")))
+    """The name in an agent id, agent-a<name>-<16 or more hex>; null without that end or if no name is before it."""
+    rest = F.substring(F.regexp_replace(agent, "^agent-", ""), 2, 1 << 30)
+    own = F.regexp_replace(agent, "^agent-", "").startswith("a") & rest.rlike("[0-9a-f]{16}$")
+    return F.when(own, F.nullif(F.regexp_replace(rest, "-?[0-9a-f]{16,}$", ""), F.lit("")))
 
 
-def display_label(name: Column, uuid: Column, agent: Column) -> Column:
-    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(F.substring(uuid, 1, 8), F.lit("")), F.substring(agent, 1, 10))
+def display_label(uuid: Column, agent: Column) -> Column:
+    """An agent's name, else the beginning of its id, and of the uuid where there is no agent."""
+    return F.coalesce(agent_display_name(agent), F.substring(agent, 1, 10), F.substring(uuid, 1, 8))
+
+
+def session_label(uuid: Column, agent: Column) -> Column:
+    """The uuid's beginning, and the agent's id where there is one."""
+    return F.concat_ws(" · ", F.substring(uuid, 1, 8), agent)
 
 
 def sanitize_name(name: Column) -> Column:
-    """Lower case, runs of other than letters and digits to one _, trimmed, at most 48, no leading digit."""
-    flat = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "_")
-    cut = F.substring(F.regexp_replace(flat, "^_+|_+$", ""), 1, 48)
-    return F.when(cut.rlike("^[0-9]"), F.concat(F.lit("t_"), cut)).otherwise(cut)
+    """Lower case, runs of other than letters and digits to one _, trimmed, t_ before a digit; null where nothing
+    or more than 48 characters are left."""
+    flat = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
+    return F.when(F.char_length(flat).between(1, 48), F.when(flat.rlike(r"^\p{N}"), F.concat(F.lit("t_"), flat)).otherwise(flat))
+
 
+def live_size(size: Column) -> Column:
+    """999 B, 1 KB (whole, cut off), 2.0 MB and no larger unit."""
+    mb = F.concat(F.format_string("%.1f", F.round(size / 1e6, 1)), F.lit(" MB"))
+    return F.when(size < 1000, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1_000_000, F.concat(F.floor(size / 1000).cast("string"), F.lit(" KB"))).otherwise(mb)
 
-def human_size(size: Column) -> Column:
+
+def human_bytes(size: Column) -> Column:
     """1000-based: 999 B, 1.5 KB, 2.0 MB, 3.1 GB."""
     out = F.format_string("%d B", size.cast("long"))
     for unit, scale in (("KB", 1e3), ("MB", 1e6), ("GB", 1e9)):
@@ -96,14 +108,16 @@ def human_size(size: Column) -> Column:
     return out
 
 
-def human_ago(seconds: Column) -> Column:
-    s = seconds.cast("long")
-    return (
-        F.when(s < 60, F.format_string("%ds", s))
-        .when(s < 3600, F.format_string("%dm", F.expr("1") * F.floor(s / 60)))
-        .when(s < 86400, F.format_string("%dh", F.floor(s / 3600)))
-        .otherwise(F.format_string("%dd", F.floor(s / 86400)))
-    )
+def live_ago(seconds: Column) -> Column:
+    """4s, 1m 07s, 75m 00s; never below 0."""
+    s = F.greatest(seconds.cast("long"), F.lit(0).cast("long"))
+    return F.when(s < 60, F.format_string("%ds", s)).otherwise(F.format_string("%dm %02ds", F.floor(s / 60), F.pmod(s, F.lit(60))))
+
+
+def window_label(seconds: Column) -> Column:
+    """5 min, 1 hour, 24 hours."""
+    hours = F.floor(seconds / 3600)
+    return F.when(seconds < 3600, F.format_string("%d min", F.floor(seconds / 60))).otherwise(F.concat(F.format_string("%d hour", hours), F.when(hours == 1, "").otherwise("s")))
 
 
 def run_duration(seconds: Column) -> Column:
@@ -119,9 +133,29 @@ def eta_seconds(done_events: Column, done_vectors: Column, left_events: Column,
     return F.try_divide(F.try_divide(done_vectors, done_events) * left_events, vectors_per_second)
 
 
-def utc_stamp(epoch: Column) -> Column:
-    """yyyy-MM-dd HH:mm:ss in UTC, whatever the session's time zone."""
-    return F.date_format(F.timestamp_add("SECOND", epoch, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
+def _utc(epoch: Column) -> Column:
+    """Seconds as a time in UTC, whatever the session's time zone."""
+    return F.timestamp_add("SECOND", epoch, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def utc_stamp(epoch: Column, layout: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return F.when(epoch > 0, F.date_format(_utc(epoch), layout)).otherwise("—")
+
+
+def compact_stamp(c: Column, epoch: bool = False) -> Column:
+    """MM-dd HH:mm of seconds, or of an ISO stamp."""
+    if epoch:
+        return utc_stamp(c, "MM-dd HH:mm")
+    return F.when(F.char_length(c) >= 16, F.replace(F.substring(c, 6, 11), F.lit("T"), F.lit(" "))).otherwise("—")
+
+
+def iso_stamp(epoch: Column) -> Column:
+    return F.date_format(_utc(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def short_time(ts: Column) -> Column:
+    """The time of day in an ISO stamp."""
+    return F.when(F.char_length(ts) >= 19, F.substring(ts, 12, 8)).otherwise("—")
 
 
 def pad_left(c: Column, n: int) -> Column:
@@ -134,7 +168,8 @@ def pad_right(c: Column, n: int) -> Column:
 
 
 def one_line(c: Column, n: int) -> Column:
-    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
+    """A text on one line: line ends shown as a sign, at most n characters."""
+    flat = F.replace(c, F.lit("\n"), F.lit("⏎ "))
     return F.when(F.char_length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("…"))).otherwise(flat)
 
 
@@ -143,11 +178,13 @@ def csv_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def short_path(path: Column, tier: Column) -> Column:
-    """The last part, for agents with what tells their session."""
-    parts = F.split(path, "/")
-    tail = F.element_at(parts, -1)
-    return F.when(tier == "session", tail).otherwise(F.concat(F.substring(F.element_at(parts, -3), 1, 8), F.lit("/"), tail))
+def short_path(dir_name: Column, tier: Column, uuid: Column, agent: Column, run: Column) -> Column:
+    """The project folder's last two parts, then what tells the file: uuid, uuid and agent, or run and agent."""
+    parts = F.filter(F.split(dir_name, "-"), lambda x: x != "")
+    project = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "-")
+    own, who = F.substring(uuid, 1, 8), F.coalesce(F.substring(agent, 1, 10), F.lit("?"))
+    flow = F.concat_ws("/", project, F.coalesce(run, F.lit("?")), who)
+    return F.when(tier == "session", F.concat_ws("/", project, own)).when(tier == "subagent", F.concat_ws("/", project, own, who)).otherwise(flow)
 
 
 def token_cost(chars: Column, schema_bytes: Column) -> Column:
@@ -155,9 +192,15 @@ def token_cost(chars: Column, schema_bytes: Column) -> Column:
 
 
 def truncated(text: Column, most: int = 1200) -> Column:
-    """Text as shown in a reader: at most ``most`` characters, then how many are left."""
+    """Text as shown in a reader: at most ``most`` characters, then a line with how many are left."""
     n = F.char_length(text)
-    return F.when(n > most, F.concat(F.substring(text, 1, most), F.format_string("… [+%d chars]", n - most))).otherwise(text)
+    return F.when(n > most, F.concat(F.substring(text, 1, most), F.format_string("\n  […%d more chars]", n - most))).otherwise(text)
+
+
+def rendered(seq: Column, role: Column, ts: Column, text: Column, most: int = 1200) -> Column:
+    """An event as text for a reader: number, role and stamp, its text, a blank line."""
+    stamp = F.when(F.coalesce(ts, F.lit("")) != "", F.concat(F.lit(" "), F.substring(ts, 1, 19))).otherwise("")
+    return F.concat(F.lit("#"), seq.cast("string"), F.lit(" "), F.coalesce(role, F.lit("")), stamp, F.lit("\n"), truncated(F.coalesce(text, F.lit("")), most), F.lit("\n\n"))
 
 
 def excerpt(text: Column, lines: int = 14, chars: int = 900) -> Column:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.operators.search import search
+from logloom.operators.vectors import semantic_search
+
 
 def load_queries(spark, path: str) -> DataFrame:
     """JSON lines with // comments; a query with ids is labelled unless it says otherwise."""
@@ -49,3 +56,56 @@ def candidate_terms(events: DataFrame, terms: DataFrame, least: int = 3, count:
     hits = events.join(F.broadcast(terms), F.lower("text").contains(F.lower("term")))
     sessions = hits.groupBy("term", "position").agg(F.countDistinct("session_id").alias("sessions"))
     return sessions.where(F.col("sessions") >= least).orderBy("position").limit(count)
+
+
+#: Hits fetched of each engine: a session has several, and only the first counts.
+FETCH = 400
+
+
+def ground_truth(queries: DataFrame, events: DataFrame) -> DataFrame:
+    """(query_id, item_id): the sessions that a labelled query names (session, or session:line), and those in whose texts a
+    substring query's words stand. queries: (query_id, query, mode, expect, ids), a short list."""
+    named = queries.where("mode = 'labeled'").select("query_id", F.explode("ids").alias("id")).select("query_id", F.split("id", ":")[0].cast("long").alias("item_id"))
+    asked = F.broadcast(queries.where("mode = 'substring'").select("query_id", F.concat(F.lit("%"), F.coalesce("expect", "query"), F.lit("%")).alias("like")))
+    found = events.join(asked, F.expr("text ILIKE like")).select("query_id", F.col("session_id").alias("item_id"))
+    return named.unionByName(found).distinct()
+
+
+def harness(queries: DataFrame, events: DataFrame, vectors: DataFrame, embed: Callable[[str], tuple[str, list[float]]], ks: tuple[int, ...] = (10, 50), fetch: int = FETCH) -> DataFrame:
+    """A row a query: mode, n_truth, n_embedded, recall and reciprocal rank of text search (kw_) and of semantic search
+    (sem_), the latter among the true sessions that have a vector at all, and no_coverage where none has. embed: a
+    text's (model, vector)."""
+    asked = queries.collect()
+    if len(asked) > 10_000:
+        raise ValueError("at most 10,000 queries")
+    ranked: dict[str, list[DataFrame]] = {"kw": [], "sem": []}
+    for q in asked:
+        model, vector = embed(q["query"])
+        for kind, hits, order in (
+            ("kw", search(events, q["query"], fetch), ["score", "session_id", "seq"]),
+            ("sem", semantic_search(vectors, vector, model, fetch), [F.col("score").desc(), "session_id", "seq"]),
+        ):
+            rank = F.row_number().over(Window.partitionBy(F.lit(q["query_id"])).orderBy(*order))  # fetch rows at most
+            ranked[kind].append(hits.select(F.lit(q["query_id"]).alias("query_id"), F.col("session_id").alias("item_id"), rank.alias("rank")))
+    truth = ground_truth(queries, events)
+    embedded = truth.join(vectors.select(F.col("session_id").alias("item_id")).distinct(), "item_id", "left_semi")
+    out = queries.select("query_id", "query", "mode")
+    for kind, wanted, size in (("kw", truth, "n_truth"), ("sem", embedded, "n_embedded")):
+        hits = reduce(DataFrame.unionByName, ranked[kind])
+        scores = evaluate(hits, wanted, ks)
+        out = out.join(scores.select("query_id", F.col("n_truth").alias(size), *(F.col(c).alias(f"{kind}_{c}") for c in scores.columns if c not in ("query_id", "n_truth"))), "query_id", "left")
+    filled = out.fillna(0)
+    return filled.withColumn("no_coverage", (F.col("n_truth") > 0) & (F.col("n_embedded") == 0))
+
+
+def mode_means(rows: DataFrame) -> DataFrame:
+    """A harness's averages by mode; modes are never mixed."""
+    columns = [c for c in rows.columns if c.startswith(("kw_", "sem_"))]
+    return rows.groupBy("mode").agg(F.count("*").alias("queries"), *(F.avg(c).alias(c) for c in columns))
+
+
+def written_queries(terms: DataFrame, labelled: list[str]) -> list[str]:
+    """The lines of a query file: a substring query a term (candidate_terms), and labelled lines kept from before."""
+    own = [json.dumps({"query": r["term"], "mode": "substring", "expect": r["term"]}, ensure_ascii=False) for r in terms.orderBy("position").collect()]
+    kept = [line for line in labelled if line.strip().startswith("{") and '"labeled"' in line]
+    return own + (["// labelled by hand"] + kept if kept else [])

@@ -14,17 +14,16 @@ def fold_state_runs(rows: DataFrame, key: str, order: str, line_type: str, ts: s
     # rows up to and with each that is no state: a run of states shares the number of the row before it
     island = F.sum(F.when(state, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     seen = F.col(ts).isNotNull()
-    return (
-        rows.select("*", state.alias("is_state"), island.alias("island"))
-        .groupBy(key, "island", "is_state")
-        .agg(
-            F.min(order).alias("first_id"),
-            F.count("*").alias("count"),
-            F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line_type).alias("t")))), lambda x: x["t"])).alias("types"),
-            F.max_by(F.when(seen, F.col(ts)), F.when(seen, F.col(order))).alias("last_ts"),
-        )
-        .drop("island")
+    run = [key, "island", "is_state"]
+    kinds = rows.select("*", state.alias("is_state"), island.alias("island")).groupBy(*run, line_type).agg(
+        F.min(order).alias("first_id"), F.count("*").alias("count"), F.max(F.when(seen, F.struct(F.col(order).alias("o"), F.col(ts).alias("t")))).alias("last")
     )
+    # a run has a row a type here, however long it is
+    types = F.array_sort(F.collect_list(F.struct(F.col("first_id").alias("o"), F.col(line_type).alias("t"))))
+    folded = kinds.groupBy(*run).agg(
+        F.min("first_id").alias("first_id"), F.sum("count").alias("count"), F.transform(types, lambda x: x["t"]).alias("types"), F.max("last").alias("last")
+    )
+    return folded.select(key, "is_state", "first_id", "count", "types", F.col("last.t").alias("last_ts"))
 
 
 def beats(lines: DataFrame, key: str, order: str, is_beat: Column) -> DataFrame:
@@ -47,9 +46,11 @@ def recurring_targets(touches: DataFrame, key: str, target: str) -> DataFrame:
 
 
 def keep_best(rows: DataFrame, text: str, score: str, *ties: str, chars: int = 60) -> DataFrame:
-    """Of rows whose texts begin alike the one with the highest score; ties by the columns named."""
-    w = Window.partitionBy(F.substring(text, 1, chars)).orderBy(F.col(score).desc(), *ties)
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """Of rows whose texts begin alike the one with the highest score; ties by the columns named. An aggregate, so
+    a beginning that many texts share is reduced before the shuffle."""
+    down = F.struct(F.col(score), *((-F.col(c)).alias(f"t{k}") for k, c in enumerate(ties)))
+    best = rows.groupBy(F.substring(text, 1, chars).alias("beginning")).agg(F.max_by(F.struct(*rows.columns), down).alias("r"))
+    return best.select("r.*")
 
 
 def interleave(rows: DataFrame, source: str, order: list[Column], limit: int) -> DataFrame:
@@ -71,10 +72,10 @@ def with_words(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def chunk_texts(parts: Column, words: int = 100, stride: int = 50, most: int = 32) -> Column:
-    """array<string> of an array of words: windows that overlap; a short text is its one chunk."""
+    """array<string> of an array of words: windows that overlap, ``most`` at most (0: all); a short text is its one chunk."""
     n = F.size(parts)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda i: (i == 0) | (i - stride + words < n))
-    windows = F.transform(F.slice(starts, 1, most), lambda i: F.array_join(F.slice(parts, i + 1, words), " "))
+    windows = F.transform(F.slice(starts, 1, most) if most > 0 else starts, lambda i: F.array_join(F.slice(parts, i + 1, words), " "))
     return F.filter(windows, lambda x: x != "")
 
 

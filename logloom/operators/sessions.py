@@ -56,7 +56,7 @@ def by_uuid_prefix(sessions: DataFrame, prefix: str, limit: int = 200) -> DataFr
 
 
 def resolve_distinct(sessions: DataFrame) -> DataFrame:
-    """One row a uuid: a session before its agents, then the one with most events."""
+    """One row a uuid: a session before its agents, then the one with most events. by_uuid_prefix bounds its input."""
     order = Window.partitionBy("session_uuid").orderBy(tier_rank(F.col("file_tier")), F.col("event_count").desc_nulls_last(), "id")
     return sessions.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
@@ -76,7 +76,7 @@ def count_and_size(sessions: DataFrame, *keys: str) -> DataFrame:
 
 def tier_status_stats(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("file_tier", "import_status").agg(
-        F.count("*").alias("files"), F.expr("sum(file_size) div 1000000").alias("mb"), F.sum("event_count").alias("events")
+        F.count("*").alias("files"), F.expr("sum(file_size) div 1000000").alias("mb"), F.sum("line_count").alias("lines")
     )
 
 
@@ -179,6 +179,14 @@ def link_parents(sessions: DataFrame, source: str = "claude") -> DataFrame:
     return sessions.join(mains, ["session_uuid", "project_id"], "left").withColumn("parent_session_id", parent).drop("__parent")
 
 
+def link_rollout_parents(sessions: DataFrame, known: DataFrame) -> DataFrame:
+    """sessions with a parent_uuid: the smallest id of that uuid among them and the known ones becomes their parent."""
+    every = sessions.select("session_uuid", "id").unionByName(known.select("session_uuid", "id"))
+    owners = every.groupBy(F.col("session_uuid").alias("parent_uuid")).agg(F.min("id").alias("__parent"))
+    linked = sessions.join(owners, "parent_uuid", "left")
+    return linked.withColumn("parent_session_id", F.coalesce("__parent", "parent_session_id")).drop("__parent", "parent_uuid")
+
+
 def group_live(live: DataFrame, now: int) -> DataFrame:
     """live: (session_uuid, file_path, file_tier, agent_id, file_mtime, file_size). A row a uuid: its parent,
     children in order, totals and heat; active groups first."""
@@ -215,6 +223,7 @@ def project_buckets(groups: DataFrame, rank: str) -> DataFrame:
         F.sum("bytes").alias("bytes"),
         F.count("*").alias("sessions"),
         F.sum(F.col("files") - 1).alias("agents"),
+        F.array_sort(F.collect_set("source")).alias("sources"),
     )
 
 
@@ -231,3 +240,28 @@ def log_digest(log: DataFrame, newest: int = 50) -> DataFrame:
     flat = (F.col("hits") > 1) & (F.abs("top_score") > 0) & (F.try_divide("score_spread", F.abs("top_score")) < 0.05)
     last = log.orderBy(F.col("id").desc()).limit(newest)
     return last.agg(F.count("*").alias("rows"), F.count_if(F.col("hits") == 0).alias("empty"), F.count_if(F.coalesce(flat, F.lit(False))).alias("flat"))
+
+
+def newest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The last runs, and whether each broke off."""
+    return runs.withColumn("interrupted", F.col("finished_at").isNull()).orderBy(F.col("id").desc()).limit(limit)
+
+
+def by_id(sessions: DataFrame, projects: DataFrame, session_id: int) -> DataFrame:
+    """One session as the list shows it, whatever the list's filters are."""
+    return list_sessions(sessions.where(F.col("id") == session_id), projects)
+
+
+def id_of_path(sessions: DataFrame, path: str) -> DataFrame:
+    return sessions.where(F.col("file_path") == path).select("id").limit(1)
+
+
+def recent_list(live: DataFrame, now: int, window: int) -> DataFrame:
+    """Files written within the window, the last written first."""
+    return recent(live, now, window).orderBy(F.col("file_mtime").desc(), "file_path")
+
+
+def database_age(sessions: DataFrame | None) -> tuple[str, int]:
+    """missing, empty or populated, and the number of sessions."""
+    n = 0 if sessions is None else sessions.count()
+    return ("missing" if sessions is None else "populated" if n else "empty"), n

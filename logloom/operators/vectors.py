@@ -1,7 +1,8 @@
 """Chunk vectors: providers, validation, centring, exact semantic search, coverage.
 
-The query side is a handful of rows and is broadcast; vectors are read once, by class and model
-partitions. Sums and products stay in the JVM.
+The query side is a handful of rows and is broadcast. Vectors are arrays of floats or packed little-endian
+float32 (which Arrow hands over without a copy), and are read by class and model partitions: once for their
+mean, of which each task gives one partial sum, and once as matrices multiplied with the queries.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructField, StructType
 
 from logloom.functions.scalar import vector_class
 from logloom.operators.sequence import chunks, keep_best
@@ -32,9 +35,63 @@ def normalised(a: Column) -> Column:
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), n))
 
 
+@F.pandas_udf(BinaryType())
+def pack(vectors: pd.Series) -> pd.Series:
+    """Arrays as little-endian float32."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def unpack(blobs: pd.Series) -> pd.Series:
+    """Packed vectors as arrays; null where the bytes are not whole floats."""
+    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers in a row, where each vector begins; one more entry: the end). Null: empty."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        if not len(column):
+            return np.zeros(0, np.float32), np.zeros(1, np.int64)
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+        return raw.view("<f4"), (at - at[0]) // 4
+    at = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), at
+
+
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the vectors of dim numbers as a matrix of doubles, their rows)."""
+    flat, at = _rows(column)
+    own = np.flatnonzero(np.diff(at) == dim)
+    if len(own) == len(at) - 1:
+        return flat.reshape(-1, dim).astype(np.float64), own
+    return flat[at[own][:, None] + np.arange(dim)].astype(np.float64) if len(own) else np.zeros((0, dim)), own
+
+
 def mean_vector(vectors: DataFrame, column: str = "vector") -> DataFrame:
-    """One row: the mean of all vectors. Places are averaged apart, so partial sums are dim rows a task."""
-    each = vectors.select(F.posexplode(column).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """One row: the mean of all vectors, place by place. A task gives its sums as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(0), np.zeros(0, np.int64)
+        for batch in batches:
+            flat, at = _rows(batch.column(0))
+            size = np.diff(at)
+            dim = int(size.max(initial=0))
+            if dim > len(sums):
+                sums, counts = (np.pad(x, (0, dim - len(x))) for x in (sums, counts))
+            if dim and (size == dim).all():
+                sums[:dim] += flat.reshape(-1, dim).sum(0, dtype=np.float64)
+                counts[:dim] += len(size)
+            elif dim:
+                place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+                sums[:dim] += np.bincount(place, flat, dim)
+                counts[:dim] += np.bincount(place, minlength=dim)
+        yield pa.RecordBatch.from_arrays([pa.array([sums]), pa.array([counts])], ["s", "n"])
+
+    parts = vectors.select(column).mapInArrow(run, "s array<double>, n array<long>")
+    each = parts.select(F.posexplode(F.arrays_zip("s", "n")).alias("pos", "x")).groupBy("pos").agg((F.sum("x.s") / F.sum("x.n")).alias("m"))
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"))  # dim values
 
 
@@ -45,31 +102,87 @@ def centred(vector: Column, mean: Column, renormalise: bool = True) -> Column:
     return F.when(norm(moved) <= TINY, F.transform(vector, lambda x: x.cast("double"))).otherwise(normalised(moved))
 
 
-def semantic_scores(vectors: DataFrame, queries: DataFrame, renormalise: bool = True) -> DataFrame:
-    """Every vector's score for every query (query_id, vector); queries are a few rows, checked here."""
-    if queries.limit(10_001).count() > 10_000:
+def _centred_rows(x: np.ndarray, mean: np.ndarray, renormalise: bool) -> np.ndarray:
+    moved = x - mean
+    if renormalise:
+        length = np.linalg.norm(moved, axis=1, keepdims=True)
+        moved = np.where(length <= TINY, x, moved / np.maximum(length, TINY))
+    return moved
+
+
+def semantic_scores(vectors: DataFrame, queries: DataFrame, renormalise: bool = True, best: int | None = None, chars: int = 60) -> DataFrame:
+    """vectors without their vector, and query_id and score, for every query (query_id, vector); queries are a few
+    rows, checked here. Vectors of another dimension than the queries' are left out. best: each task keeps only,
+    for each query, its so many best texts by their first ``chars`` characters, of which the overall best are part."""
+    asked = queries.select("query_id", "vector").limit(10_001).toArrow()
+    if asked.num_rows > 10_000:
         raise ValueError("at most 10,000 queries in one search")
-    mean = F.broadcast(mean_vector(vectors))
-    side = queries.join(mean).select("query_id", centred(F.col("vector"), F.col("mean"), renormalise).alias("__q"))
-    return (
-        vectors.join(mean)
-        .withColumn("__v", centred(F.col("vector"), F.col("mean"), renormalise))
-        .drop("mean")
-        .join(F.broadcast(side))
-        .withColumn("score", dot(F.col("__q"), F.col("__v")))
-        .drop("__q", "__v")
-    )
+    rest = [f for f in vectors.schema.fields if f.name != "vector"]
+    schema = StructType([*rest, StructField("query_id", queries.schema["query_id"].dataType), StructField("score", DoubleType())])
+    if not asked.num_rows:
+        return vectors.sparkSession.createDataFrame([], schema)
+    flat, at = _rows(asked.column("vector").combine_chunks())
+    dim = int(np.diff(at).max())
+    side, asked_rows = _matrix(asked.column("vector").combine_chunks(), dim)
+    ids = asked.column("query_id").combine_chunks().take(pa.array(asked_rows))
+    mean = np.asarray(mean_vector(vectors).first()["mean"], np.float64)  # dim numbers
+    mean = np.resize(mean, dim) if len(mean) >= dim else np.zeros(dim)
+    shared = vectors.sparkSession.sparkContext.broadcast((_centred_rows(side, mean, renormalise).T, mean, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, mean, ids = shared.value
+        kept: pa.RecordBatch | None = None
+        for batch in batches:
+            x, rows = _matrix(batch.column("vector"), len(mean))
+            scores = _centred_rows(x, mean, renormalise) @ side
+            own = batch.drop_columns(["vector"]).take(pa.array(rows))
+            for q in range(len(ids)):
+                columns = [*own.columns, pa.repeat(ids[q], len(rows)), pa.array(scores[:, q])]
+                out = pa.RecordBatch.from_arrays(columns, [*own.schema.names, "query_id", "score"])
+                if best is None:
+                    yield out
+                else:
+                    kept = _best_texts(out if kept is None else pa.Table.from_batches([kept, out]).combine_chunks().to_batches()[0], best, chars)
+        if kept is not None:
+            yield kept
+
+    return vectors.mapInArrow(run, schema)
+
+
+def _best_texts(rows: pa.RecordBatch, best: int, chars: int) -> pa.RecordBatch:
+    """For each query the rows of the best beginnings of texts, ties with the last of them included."""
+    query, score = rows.column("query_id"), rows.column("score").to_numpy()
+    query = query.dictionary_encode().indices.to_numpy()
+    keep = []
+    for q in np.unique(query):
+        own = np.flatnonzero(query == q)
+        own = own[np.argsort(-score[own], kind="stable")]
+        seen: dict[str, float] = {}
+        for k in own:
+            text = (rows.column("text")[k].as_py() or "")[:chars]
+            if len(seen) >= best and score[k] < min(seen.values()) and text not in seen:
+                break
+            if score[k] >= seen.setdefault(text, score[k]):  # ties are told apart later, by the columns of the caller
+                keep.append(k)
+    return rows.take(pa.array(np.sort(np.array(keep, np.int64))))
 
 
 def semantic_search(vectors: DataFrame, query_vector: list[float], model: str, limit: int = 20) -> DataFrame:
     """The best chunks of one model, one for each beginning of a text."""
     spark = vectors.sparkSession
     query = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, vector array<double>")
-    own = vectors.where((F.col("model") == model) & (F.size("vector") == len(query_vector)))
-    best = keep_best(semantic_scores(own, query), "text", "score", "session_id", "seq", "chunk_index")
+    scores = semantic_scores(vectors.where(F.col("model") == model), query, best=limit)
+    best = keep_best(scores, "text", "score", "session_id", "seq", "chunk_index")
     return best.orderBy(F.col("score").desc(), "session_id", "seq", "chunk_index").limit(limit)
 
 
+def with_sessions(hits: DataFrame, sessions: DataFrame, projects: DataFrame) -> DataFrame:
+    """hits with session_uuid and project, of sessions that are indexed. Hits are few: they are the side to send."""
+    own = sessions.select(F.col("id").alias("session_id"), "session_uuid", "project_id")
+    names = projects.select(F.col("id").alias("project_id"), F.coalesce("cwd", "dir_name").alias("project"))
+    return hits.join(own, "session_id").join(names, "project_id", "left").drop("project_id")
+
+
 def validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted and of length 1, refused with a reason): right dimension, no nulls, a norm above 0."""
     n = norm(F.col("vector"))
@@ -90,6 +203,15 @@ def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
+def unembedded_by_class(events: DataFrame, tables: dict[str, DataFrame], models: list[str], limit: int | None = None) -> DataFrame:
+    """The work lists of several classes, each against its own table, as one."""
+    lists = [unembedded(events, table, models, (name,), limit).withColumn("vector_class", F.lit(name)) for name, table in sorted(tables.items())]
+    out = lists[0]
+    for one in lists[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def unembedded(events: DataFrame, vectors: DataFrame, models: list[str], classes: tuple[str, ...] = ("chat",), limit: int | None = None, least: int = 24) -> DataFrame:
     """Events without a vector of the models. The limit comes before the least length, on purpose."""
     done = vectors.where(F.col("model").isin(*models)).select("session_id", "seq").distinct()
@@ -105,6 +227,54 @@ def coverage(vectors: DataFrame) -> DataFrame:
     )
 
 
+def class_stats(vectors: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """For each class of the models: vectors, events, greatest dimension, bytes."""
+    own = vectors if models is None else vectors.where(F.col("model").isin(*models))
+    return own.groupBy("vector_class").agg(
+        F.count("*").alias("vectors"), F.countDistinct("session_id", "seq").alias("events"), F.max("dim").alias("dim"), F.sum(4 * F.col("dim")).alias("bytes")
+    )
+
+
+def vector_models(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("model", "dim").agg(F.count("*").alias("vectors")).orderBy(F.col("vectors").desc(), "model", "dim")
+
+
+def geometries(runs: DataFrame) -> DataFrame:
+    """Vectors by the window and stride of the runs that made them."""
+    return runs.groupBy(F.concat_ws("/", F.col("chunk_words").cast("string"), F.col("chunk_stride").cast("string")).alias("geometry")).agg(F.sum("vectors").alias("vectors"))
+
+
+def provenance(runs: DataFrame) -> DataFrame:
+    """One row: the providers other than the one on the device, and how many runs did not finish."""
+    return runs.agg(
+        F.array_sort(F.collect_set(F.when(F.col("provider") != "apple", F.col("provider")))).alias("remote"), F.count_if(F.col("finished_at").isNull()).alias("unfinished")
+    )
+
+
+def embedded_sessions(*tables: DataFrame) -> DataFrame:
+    """The sessions that any of the vector tables holds."""
+    out = tables[0].select("session_id")
+    for table in tables[1:]:
+        out = out.union(table.select("session_id"))
+    return out.distinct()
+
+
+def total_vectors(model: str, *tables: DataFrame) -> DataFrame:
+    """How many vectors of a model the tables hold together: counts of each, summed."""
+    count = lambda t: t.where(F.col("model") == model).agg(F.count("*").alias("n"))
+    out = count(tables[0])
+    for table in tables[1:]:
+        out = out.unionAll(count(table))
+    return out.agg(F.sum("n").alias("vectors"))
+
+
+def drop_legacy(vectors: DataFrame, events: DataFrame, models: list[str], current: list[str]) -> DataFrame:
+    """vectors without the models named, refused while an event of the chat class lacks a vector of the current ones."""
+    if not unembedded(events, vectors, current).isEmpty():
+        raise ValueError("the current models do not cover all events yet")
+    return vectors.where(~F.col("model").isin(*models))
+
+
 def chat_coverage(events: DataFrame, vectors: DataFrame) -> DataFrame:
     """How many chat events there are, and how many have a vector of any class."""
     pairs = vectors.select("session_id", "seq").distinct().withColumn("has", F.lit(1))
@@ -140,11 +310,18 @@ def hashing_provider(texts: pd.Series, dim: int = 64) -> list[np.ndarray]:
 
 
 def build_embeddings(
-    events: DataFrame, vectors: DataFrame, models: list[str], provider: Callable[[pd.Series], list[np.ndarray]] = hashing_provider, dim: int = 64, **work
+    events: DataFrame,
+    vectors: DataFrame,
+    models: list[str],
+    provider: Callable[[pd.Series], list[np.ndarray]] = hashing_provider,
+    dim: int = 64,
+    words: int = 100,
+    stride: int = 50,
+    **work,
 ) -> DataFrame:
     """New vectors of the work list, by the provider in Arrow batches; to be appended by class and model."""
     todo = unembedded(events, vectors, models, **work)
-    pieces = chunks(todo, 100, 50, 32, script_model(F.col("text"), dim=dim).alias("model"), vector_class(F.col("role")).alias("vector_class"))
+    pieces = chunks(todo, words, stride, 32, script_model(F.col("text"), dim=dim).alias("model"), vector_class(F.col("role")).alias("vector_class"))
     pieces = pieces.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -129,7 +129,7 @@ def read_context_window(spark, d):
     return sessions.read_context(demo.events(spark, d), 2, 2, 4, 3).select("seq", "role", "text")
 
 
-@query(q("ev", "SELECT session_id, seq, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '… [+' || (length(text) - 200) || ' chars]' ELSE text END AS shown FROM ev"))
+@query(q("ev", "SELECT session_id, seq, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || chr(10) || '  […' || (length(text) - 200) || ' more chars]' ELSE text END AS shown FROM ev"))
 def render_truncate(spark, d):
     return demo.events(spark, d).select("session_id", "seq", S.truncated(F.col("text"), 200).alias("shown"))
 
@@ -179,7 +179,7 @@ def db_overview(spark, d):
     return sessions.overview(demo.sessions(spark, d), demo.projects(spark, d), demo.events(spark, d))
 
 
-@query(q("se", "SELECT file_tier, import_status, count(*) AS files, CAST(sum(file_size) // 1000000 AS BIGINT) AS mb, CAST(sum(event_count) AS BIGINT) AS events FROM se GROUP BY 1, 2"))
+@query(q("se", "SELECT file_tier, import_status, count(*) AS files, CAST(sum(file_size) // 1000000 AS BIGINT) AS mb, CAST(sum(line_count) AS BIGINT) AS lines FROM se GROUP BY 1, 2"))
 def tier_status_stats(spark, d):
     return sessions.tier_status_stats(demo.sessions(spark, d))
 
@@ -292,13 +292,15 @@ def live_filter(spark, d):
     return sessions.live_filter(own, "a77").select("id", "file_tier")
 
 
-@query(q("se", """SELECT project, min(position) AS position, max(newest) AS newest, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS sessions, CAST(sum(files - 1) AS BIGINT) AS agents FROM
-    (SELECT session_uuid, min(project_id) AS project, min(id) AS position, max(file_mtime) AS newest, sum(file_size) AS bytes, count(*) AS files FROM se GROUP BY 1) GROUP BY 1"""))
+@query(q("se", """SELECT project, min(position) AS position, max(newest) AS newest, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS sessions, CAST(sum(files - 1) AS BIGINT) AS agents,
+    array_to_string(list_sort(list(DISTINCT source)), ' ') AS sources FROM
+    (SELECT session_uuid, min(project_id) AS project, min(id) AS position, max(file_mtime) AS newest, sum(file_size) AS bytes, count(*) AS files, min(coalesce(source, 'claude')) AS source FROM se GROUP BY 1) GROUP BY 1"""))
 def project_buckets(spark, d):
     groups = demo.sessions(spark, d).groupBy("session_uuid").agg(
-        F.min("project_id").alias("project"), F.min("id").alias("position"), F.max("file_mtime").alias("newest"), F.sum("file_size").alias("bytes"), F.count("*").alias("files")
-    )
-    return sessions.project_buckets(groups, "position")
+        F.min("project_id").alias("project"), F.min("id").alias("position"), F.max("file_mtime").alias("newest"), F.sum("file_size").alias("bytes"), F.count("*").alias("files"),
+        F.min(F.coalesce("source", F.lit("claude"))).alias("source"),
+    )
+    return sessions.project_buckets(groups, "position").withColumn("sources", F.array_join("sources", " "))
 
 
 def _log(spark, d):
@@ -319,15 +321,30 @@ def search_log_digest(spark, d):
     return sessions.log_digest(_log(spark, d), 200)
 
 
-@query(q("li", "SELECT DISTINCT line_type AS provider FROM li WHERE line_type <> 'view'"))
+_RUNS = """WITH ru AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'apple' ELSE event_type END AS provider, 100 * (1 + user_id % 3) AS chunk_words, 50 AS chunk_stride,
+    CASE WHEN event_id % 6 <> 0 THEN '2026' END AS finished_at, event_id % 17 AS vectors FROM events) """
+
+
+def _runs(spark, d):
+    return demo.table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "apple").otherwise(F.col("event_type")).alias("provider"), (100 * (1 + F.col("user_id") % 3)).alias("chunk_words"),
+        F.lit(50).alias("chunk_stride"), F.when(F.col("event_id") % 6 != 0, "2026").alias("finished_at"), (F.col("event_id") % 17).alias("vectors"),
+    )
+
+
+@query(_RUNS + "SELECT array_to_string(list_sort(list(DISTINCT provider) FILTER (WHERE provider <> 'apple')), ' ') AS remote, count(*) FILTER (WHERE finished_at IS NULL) AS unfinished FROM ru")
 def remote_providers(spark, d):
-    return demo.lines(spark, d).select(F.col("line_type").alias("provider")).where("provider <> 'view'").distinct()
+    return vectors.provenance(_runs(spark, d)).withColumn("remote", F.array_join("remote", " "))
 
 
-@query(q("li", "SELECT line_type || '/' || (user_id % 3) AS geometry, CAST(sum(event_id) AS BIGINT) AS vectors FROM li GROUP BY 1"))
+@query(_RUNS + "SELECT chunk_words || '/' || chunk_stride AS geometry, CAST(sum(vectors) AS BIGINT) AS vectors FROM ru GROUP BY 1")
 def geometry_histogram(spark, d):
-    own = demo.lines(spark, d).select(F.concat_ws("/", "line_type", (F.col("user_id") % 3).cast("string")).alias("geometry"), "event_id")
-    return own.groupBy("geometry").agg(F.sum("event_id").alias("vectors"))
+    return vectors.geometries(_runs(spark, d))
+
+
+@query(_RUNS + "SELECT id, provider, finished_at IS NULL AS interrupted FROM ru ORDER BY id DESC LIMIT 20")
+def newest_runs(spark, d):
+    return sessions.newest_runs(_runs(spark, d)).select("id", "provider", "interrupted")
 
 
 # --- sequences --------------------------------------------------------------------------------------------
@@ -426,12 +443,33 @@ def chat_coverage(spark, d):
 
 @query(q("ve", "SELECT model, dim, count(*) AS vectors FROM ve GROUP BY 1, 2 ORDER BY 3 DESC"))
 def vector_models(spark, d):
-    return demo.vectors(spark, d).groupBy("model", "dim").agg(F.count("*").alias("vectors")).orderBy(F.col("vectors").desc())
+    return vectors.vector_models(demo.vectors(spark, d))
 
 
-@query(q("ve", "SELECT vector_class, count(*) AS vectors, CAST(sum(4 * dim) AS BIGINT) AS bytes FROM ve GROUP BY 1"))
+@query(q("ve", "SELECT vector_class, count(*) AS vectors, count(DISTINCT (session_id, seq)) AS events, max(dim) AS dim, CAST(sum(4 * dim) AS BIGINT) AS bytes FROM ve WHERE model IN ('hash/en/r1/64') GROUP BY 1"))
 def class_stats(spark, d):
-    return demo.vectors(spark, d).groupBy("vector_class").agg(F.count("*").alias("vectors"), F.sum(4 * F.col("dim")).alias("bytes"))
+    return vectors.class_stats(demo.vectors(spark, d), ["hash/en/r1/64"])
+
+
+def _classes(spark, d):
+    v = demo.vectors(spark, d)
+    return {name: v.where(F.col("vector_class") == name) for name in ("chat", "tools")}
+
+
+@query(q("ve", "SELECT DISTINCT session_id FROM ve"))
+def embedded_sessions(spark, d):
+    return vectors.embedded_sessions(*_classes(spark, d).values())
+
+
+@query(q("ve", "SELECT CAST(count(*) AS BIGINT) AS vectors FROM ve WHERE model = 'hash/en/r1/64'"))
+def total_vectors(spark, d):
+    return vectors.total_vectors("hash/en/r1/64", *_classes(spark, d).values())
+
+
+@query(q("ev ve", """SELECT session_id, seq, CASE WHEN role IN ('user', 'assistant') THEN 'chat' ELSE 'tools' END AS vector_class FROM ev WHERE length(text) >= 24 AND NOT EXISTS (SELECT 1 FROM ve
+    WHERE ve.session_id = ev.session_id AND ve.seq = ev.seq AND vector_class = CASE WHEN role IN ('user', 'assistant') THEN 'chat' ELSE 'tools' END AND model = 'hash/en/r1/64')"""))
+def worklist_by_class(spark, d):
+    return vectors.unembedded_by_class(demo.events(spark, d), _classes(spark, d), ["hash/en/r1/64"]).select("session_id", "seq", "vector_class")
 
 
 @query(q("ve", "SELECT session_id, seq, vector_class FROM ve WHERE vector_class = 'chat' UNION ALL SELECT session_id, seq, vector_class FROM ve WHERE vector_class = 'tools' AND model = 'hash/en/r1/64'"))
@@ -483,6 +521,15 @@ def semantic_topk(spark, d):
     return _scores(spark, d).orderBy(F.col("score").desc(), "seq").limit(20).select("session_id", "seq", F.round("score", 5).alias("score"))
 
 
+@query(_v("""SELECT t.session_id, t.seq, round(t.score, 5) AS score, md5(CAST(o_orderkey - o_orderkey % 3 AS VARCHAR)) AS session_uuid FROM (SELECT * FROM
+    (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 60) ORDER BY score DESC, seq) AS r FROM sc) WHERE r = 1 ORDER BY score DESC, seq LIMIT 10) t JOIN orders ON o_orderkey = t.session_id"""))
+def semantic_sessions(spark, d):
+    v = demo.vectors(spark, d)
+    scores = vectors.semantic_scores(v, v.where("seq = 7").select(F.lit(0).alias("query_id"), "vector"), best=10)
+    hits = sequence.keep_best(scores, "text", "score", "seq").orderBy(F.col("score").desc(), "seq").limit(10)
+    return vectors.with_sessions(hits, demo.sessions(spark, d), demo.projects(spark, d)).select("session_id", "seq", F.round("score", 5).alias("score"), "session_uuid")
+
+
 @query(_v("SELECT session_id, seq, text, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 60) ORDER BY score DESC, seq) AS r FROM sc) WHERE r = 1"))
 def semantic_dedupe(spark, d):
     return sequence.keep_best(_scores(spark, d), "text", "score", "seq").select("session_id", "seq", "text", F.round("score", 5).alias("score"))
@@ -522,10 +569,17 @@ def vector_class(spark, d):
     return demo.events(spark, d).groupBy("role", S.vector_class(F.col("role")).alias("vector_class")).agg(F.count("*").alias("n"))
 
 
-@query(q("se", "SELECT id, CASE WHEN a[1:1] = 'a' THEN nullif(regexp_replace(substr(a, 2), '-?[0-9a-f]{16,}$', ''), '') END AS name FROM (SELECT id, 'a' || (id % 10) || 'x-' || session_uuid AS a FROM se)"))
+_AGENT = "'agent-' || CASE id % 4 WHEN 0 THEN 'a' || session_uuid WHEN 1 THEN 'ax' || (id % 10) || '-y-' || session_uuid WHEN 2 THEN 'afoo' ELSE 'b' || session_uuid END"
+
+
+@query(q("se", f"""SELECT id, name, coalesce(name, left(agent, 10)) AS label FROM (SELECT id, agent, CASE WHEN regexp_matches(bare, '^a.*[0-9a-f]{{16}}$')
+    THEN nullif(regexp_replace(substr(bare, 2), '-?[0-9a-f]{{16,}}$', ''), '') END AS name FROM (SELECT *, substr(agent, 7) AS bare FROM (SELECT id, {_AGENT} AS agent FROM se)))"""))
 def agent_display_name(spark, d):
-    agent = F.concat(F.lit("agent-a"), (F.col("id") % 10).cast("string"), F.lit("x-"), F.col("session_uuid"))
-    return demo.sessions(spark, d).select("id", S.agent_display_name(agent).alias("name"))
+    kind, uuid = F.col("id") % 4, F.col("session_uuid")
+    named = F.concat(F.lit("ax"), (F.col("id") % 10).cast("string"), F.lit("-y-"), uuid)
+    bare = F.when(kind == 0, F.concat(F.lit("a"), uuid)).when(kind == 1, named).when(kind == 2, "afoo").otherwise(F.concat(F.lit("b"), uuid))
+    agent = F.concat(F.lit("agent-"), bare)
+    return demo.sessions(spark, d).select("id", S.agent_display_name(agent).alias("name"), S.display_label(uuid, agent).alias("label"))
 
 
 @query(q("se", "SELECT id, array_to_string(string_split('rollout-2024-01-02-aa-bb-cc-dd-' || id, '-')[-5:], '-') AS uuid FROM se"))
@@ -534,17 +588,29 @@ def codex_uuid(spark, d):
     return demo.sessions(spark, d).select("id", S.uuid_of_rollout(name).alias("uuid"))
 
 
-@query("""SELECT c_custkey, CASE WHEN regexp_matches(n, '^[0-9]') THEN 't_' || n ELSE n END AS name FROM (SELECT c_custkey,
-    substr(regexp_replace(regexp_replace(lower(CASE WHEN c_custkey % 2 = 0 THEN c_custkey || ' ' ELSE '' END || c_name || '!'), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS n FROM customer)""")
+@query("""SELECT c_custkey, CASE WHEN length(n) BETWEEN 1 AND 48 THEN CASE WHEN regexp_matches(n, '^[0-9]') THEN 't_' || n ELSE n END END AS name FROM (SELECT c_custkey,
+    regexp_replace(regexp_replace(lower(CASE WHEN c_custkey % 2 = 0 THEN c_custkey || ' ' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN '??' ELSE repeat(c_name, c_custkey % 5) || '!' END),
+    '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS n FROM customer)""")
 def sanitize_name(spark, d):
-    raw = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(" "))).otherwise(""), "c_name", F.lit("!"))
+    name = F.when(F.col("c_custkey") % 7 == 0, "??").otherwise(F.concat(F.expr("repeat(c_name, int(c_custkey % 5))"), F.lit("!")))
+    raw = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(" "))).otherwise(""), name)
     return demo.table(spark, d, "customer").select("c_custkey", S.sanitize_name(raw).alias("name"))
 
 
-@query(q("se", """SELECT id, CASE WHEN s >= 1e9 THEN format('{:.1f}', round(s / 1e9, 1)) || ' GB' WHEN s >= 1e6 THEN format('{:.1f}', round(s / 1e6, 1)) || ' MB' WHEN s >= 1e3 THEN format('{:.1f}', round(s / 1e3, 1)) || ' KB' ELSE s || ' B' END AS size,
-    CASE WHEN a < 60 THEN a || 's' WHEN a < 3600 THEN (a // 60) || 'm' WHEN a < 86400 THEN (a // 3600) || 'h' ELSE (a // 86400) || 'd' END AS ago FROM (SELECT id, file_size * 7 AS s, id * 37 AS a FROM se)"""))
+@query(q("se", """SELECT id, CASE WHEN s < 1000 THEN s || ' B' WHEN s < 1000000 THEN (s // 1000) || ' KB' ELSE format('{:.1f}', round(s / 1e6, 1)) || ' MB' END AS size,
+    CASE WHEN a < 60 THEN a || 's' ELSE (a // 60) || 'm ' || lpad(CAST(a % 60 AS VARCHAR), 2, '0') || 's' END AS ago,
+    CASE WHEN a * 60 < 3600 THEN (a * 60 // 60) || ' min' ELSE (a * 60 // 3600) || ' hour' || CASE WHEN a * 60 // 3600 = 1 THEN '' ELSE 's' END END AS live_window
+    FROM (SELECT id, file_size * 7 AS s, id * 37 AS a FROM se)"""))
 def human_formats(spark, d):
-    return demo.sessions(spark, d).select("id", S.human_size(F.col("file_size") * 7).alias("size"), S.human_ago(F.col("id") * 37).alias("ago"))
+    ago = F.col("id") * 37
+    return demo.sessions(spark, d).select("id", S.live_size(F.col("file_size") * 7).alias("size"), S.live_ago(ago).alias("ago"), S.window_label(ago * 60).alias("live_window"))
+
+
+@query(q("se", """SELECT id, strftime(to_timestamp(file_mtime) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS utc, strftime(to_timestamp(file_mtime) AT TIME ZONE 'UTC', '%m-%d %H:%M') AS compact,
+    CASE WHEN length(started_at) >= 19 THEN substr(started_at, 12, 8) ELSE '—' END AS clock FROM se WHERE file_mtime > 0"""))
+def stamps(spark, d):
+    own = demo.sessions(spark, d).where("file_mtime > 0")
+    return own.select("id", S.utc_stamp(F.col("file_mtime")).alias("utc"), S.compact_stamp(F.col("file_mtime"), epoch=True).alias("compact"), S.short_time(F.col("started_at")).alias("clock"))
 
 
 @query("""SELECT event_id, CASE WHEN v < 60 THEN format('{:.1f}', round(v, 1)) || 's' ELSE CAST(floor(v) AS BIGINT) // 60 || 'm ' || lpad(CAST(CAST(floor(v) AS BIGINT) % 60 AS VARCHAR), 2, '0') || 's' END AS took
@@ -553,13 +619,128 @@ def run_durations(spark, d):
     return demo.table(spark, d, "events").select("event_id", S.run_duration(F.col("value") * 4).alias("took"))
 
 
-@query()
+_GRAPH = """WITH li AS (SELECT user_id AS s, event_id AS seq, event_type = 'signup' AS is_beat, event_type AS tool, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS target FROM events),
+    nu AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE is_beat) OVER (PARTITION BY s ORDER BY seq ROWS UNBOUNDED PRECEDING) AS beat FROM li) WHERE beat > 0),
+    ca AS (SELECT * FROM nu WHERE NOT is_beat),
+    no AS (SELECT s, 'beat' AS kind, 'beat ' || beat AS name, 1 AS weight, 1 AS beats, min(seq) AS first, 0 AS rank FROM nu WHERE is_beat GROUP BY s, beat
+        UNION ALL SELECT s, 'tool', tool, count(*), count(DISTINCT beat), min(seq), 1 FROM ca GROUP BY s, tool
+        UNION ALL SELECT s, 'target', tool || ' · ' || target, count(*) + CASE WHEN count(DISTINCT beat) > 1 THEN count(DISTINCT beat) ELSE 0 END, count(DISTINCT beat), min(seq), 2 FROM ca GROUP BY s, tool, target),
+    re AS (SELECT s, beat AS a, lead(beat) OVER (PARTITION BY s, tool, target ORDER BY beat) AS b FROM (SELECT DISTINCT s, tool, target, beat FROM ca))
+"""
+
+
+def _graph(spark, d):
+    beat = F.col("line_type") == "signup"
+    rows = demo.lines(spark, d).select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.lit(0).alias("call"), F.when(beat, F.col("line_type")).alias("label"),
+        F.when(~beat, F.col("line_type")).alias("tool"), F.when(~beat, F.floor("value").cast("string")).alias("target"),
+    )
+    return graph.session_graph(rows)
+
+
+@query(_GRAPH + "SELECT s AS session_id, kind, name, CAST(weight AS BIGINT) AS weight, row_number() OVER (PARTITION BY s ORDER BY first, rank) AS node FROM no")
+def session_graph_nodes(spark, d):
+    return _graph(spark, d)[0].select("session_id", "kind", "name", "weight", "node")
+
+
+@query(_GRAPH + """SELECT s AS session_id, 'spine' AS kind, 'beat ' || (beat - 1) AS a, 'beat ' || beat AS b, 1 AS weight FROM nu WHERE is_beat AND beat > 1
+    UNION ALL SELECT s, 'call', 'beat ' || beat, tool, count(*) FROM ca GROUP BY s, beat, tool
+    UNION ALL SELECT s, 'touch', tool, tool || ' · ' || target, count(*) FROM ca GROUP BY s, tool, target
+    UNION ALL SELECT s, 'recurring', 'beat ' || a, 'beat ' || b, count(*) FROM re WHERE b IS NOT NULL GROUP BY s, a, b""")
 def session_graph_edges(spark, d):
-    li = _beats(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "beat", F.col("line_type").alias("tool"), F.floor("value").cast("string").alias("target"))
-    return graph.session_graph(li)[1]
+    return _graph(spark, d)[1]
 
 
-@query()
+@query(_GRAPH + """SELECT s AS session_id, count(*) FILTER (WHERE kind = 'beat') AS beats, count(*) FILTER (WHERE kind = 'tool') AS tools, count(*) FILTER (WHERE kind = 'target') AS targets,
+    count(*) FILTER (WHERE kind = 'target' AND beats > 1) AS recurring FROM no GROUP BY s""")
 def session_graph_stats(spark, d):
-    li = _beats(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "beat", F.col("line_type").alias("tool"), F.floor("value").cast("string").alias("target"))
-    return graph.graph_stats(graph.session_graph(li)[0])
+    return graph.graph_stats(_graph(spark, d)[0])
+
+
+@query(_GRAPH + "SELECT s AS session_id, name, CAST(weight AS BIGINT) AS weight FROM no WHERE kind <> 'beat' ORDER BY no.weight DESC, s, name LIMIT 10")
+def graph_heaviest(spark, d):
+    return graph.heaviest(_graph(spark, d)[0]).select("session_id", "name", "weight")
+
+
+# --- lookups, totals and evaluation -------------------------------------------------------------------------
+
+
+@query(q("pr se", "SELECT se.id, coalesce(cwd, dir_name) AS project, file_size FROM se JOIN pr ON pr.id = project_id WHERE se.id = 7"))
+def session_by_id(spark, d):
+    return sessions.by_id(demo.sessions(spark, d), demo.projects(spark, d), 7).select("id", "project", "file_size")
+
+
+@query(q("se", "SELECT id FROM se WHERE file_path = (SELECT file_path FROM se WHERE id = 7)"))
+def id_by_path(spark, d):
+    own = demo.sessions(spark, d)
+    return sessions.id_of_path(own, own.where("id = 7").first()["file_path"])
+
+
+@query(q("se", f"SELECT id, file_path FROM se WHERE file_mtime >= {NOW} - 86400000 ORDER BY file_mtime DESC, file_path LIMIT 50"))
+def live_list(spark, d):
+    return sessions.recent_list(demo.sessions(spark, d), NOW, 86_400_000).select("id", "file_path").limit(50)
+
+
+@query(q("se dk", "").rstrip() + ", " + _DIFF + """ SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(dk.file_size) AS BIGINT) AS bytes, CAST(count(*) FILTER (WHERE state IN ('new', 'changed')) AS BIGINT) AS pending
+    FROM dk JOIN df ON df.file_path = dk.file_path""")
+def scan_totals(spark, d):
+    return sessions.scan_totals(project_scan(spark, d))
+
+
+_TERMS = ["tion", "reh", "zzzz", "an"]
+
+
+@query(q("ev", f"""SELECT term, position, n AS sessions FROM (SELECT t.term, t.position, count(DISTINCT session_id) AS n FROM ev JOIN
+    (SELECT unnest({_TERMS}) AS term, unnest(range(0, {len(_TERMS)})) AS position) t ON contains(lower(text), lower(t.term)) GROUP BY 1, 2) WHERE n >= 3 ORDER BY position LIMIT 2"""))
+def candidate_terms(spark, d):
+    terms = spark.createDataFrame(list(enumerate(_TERMS)), "position long, term string")
+    return evaluate.candidate_terms(demo.events(spark, d), terms, 3, 2)
+
+
+@query("""WITH ql AS (SELECT 0 AS query_id, 'substring' AS mode, 'tion' AS w, NULL AS ids UNION ALL SELECT 1, 'labeled', NULL, ['3:0', '4:1', '3:2'])
+    SELECT query_id, CAST(split_part(i, ':', 1) AS BIGINT) AS item_id FROM (SELECT query_id, unnest(ids) AS i FROM ql WHERE mode = 'labeled') UNION SELECT query_id, conv_id FROM conversations, ql WHERE mode = 'substring' AND text ILIKE '%' || w || '%'""")
+def eval_ground_truth(spark, d):
+    asked = spark.createDataFrame([(0, "tion", "substring", None, None), (1, "why", "labeled", None, ["3:0", "4:1", "3:2"])], "query_id int, query string, mode string, expect string, ids array<string>")
+    return evaluate.ground_truth(asked, demo.events(spark, d))
+
+
+@query("""SELECT CASE WHEN e % 2 = 0 THEN 'substring' ELSE 'labeled' END AS mode, count(*) AS queries, avg(CAST(e % 7 AS DOUBLE) / 7) AS recall_10, avg(CAST(e % 5 AS DOUBLE) / 5) AS rr
+    FROM (SELECT event_id AS e FROM events) GROUP BY 1""")
+def eval_mode_means(spark, d):
+    e = demo.table(spark, d, "events").select(F.col("event_id").alias("query_id"))
+    rows = e.select("query_id", (F.col("query_id") % 7 / 7).alias("recall_10"), (F.col("query_id") % 5 / 5).alias("rr"))
+    return evaluate.means(rows, e.select("query_id", F.when(F.col("query_id") % 2 == 0, "substring").otherwise("labeled").alias("mode")))
+
+
+@query(q("ev", "SELECT session_id, seq, '#' || seq || ' ' || role || chr(10) || CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || chr(10) || '  […' || (length(text) - 60) || ' more chars]' ELSE text END || chr(10) || chr(10) AS shown FROM ev"))
+def render_events(spark, d):
+    return demo.events(spark, d).select("session_id", "seq", S.rendered(F.col("seq"), F.col("role"), F.lit(None).cast("string"), F.col("text"), 60).alias("shown"))
+
+
+@query(q("pr se", """SELECT se.id, CASE file_tier WHEN 'session' THEN p || '/' || u WHEN 'subagent' THEN p || '/' || u || '/' || a ELSE p || '/' || coalesce(workflow_run_id, '?') || '/' || a END AS label
+    FROM (SELECT se.*, array_to_string(list_filter(string_split(dir_name, '-'), x -> x <> '')[-2:], '-') AS p, left(session_uuid, 8) AS u, coalesce(left(agent_id, 10), '?') AS a FROM se JOIN pr ON pr.id = project_id) se""").replace("x -> x <> ''", "lambda x: x <> ''"))
+def short_paths(spark, d):
+    own = sessions.with_projects(demo.sessions(spark, d), demo.projects(spark, d))
+    return own.select("id", S.short_path(*(F.col(c) for c in ("dir_name", "file_tier", "session_uuid", "agent_id", "workflow_run_id"))).alias("label"))
+
+
+_TAGS = "CASE WHEN event_id % 3 = 0 THEN ' a, ' || event_type || ',,b' ELSE event_type END"
+
+
+@query(f"SELECT event_id, array_to_string(list_filter(list_transform(string_split({_TAGS}, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM events")
+def csv_lists(spark, d):
+    tags = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" a, "), "event_type", F.lit(",,b"))).otherwise(F.col("event_type"))
+    return demo.table(spark, d, "events").select("event_id", F.array_join(S.csv_list(tags), "|").alias("tags"))
+
+
+@query("""SELECT event_id, CASE WHEN d > 0 THEN (e * 3.0 / d) * (event_id % 50) / 46.0 END AS eta, greatest(40, (event_id % 900) // 4) AS tokens FROM (SELECT event_id, event_id % 11 AS d, event_id % 13 AS e FROM events)""")
+def estimates(spark, d):
+    i = F.col("event_id")
+    eta = S.eta_seconds(i % 11, i % 13 * F.lit(3.0), i % 50, F.lit(46.0))
+    return demo.table(spark, d, "events").select("event_id", eta.alias("eta"), S.token_cost(i % 900, F.lit(0)).cast("long").alias("tokens"))
+
+
+@query(q("ev", """SELECT session_id, seq, lpad(CAST(seq AS VARCHAR), CAST(greatest(3, length(CAST(seq AS VARCHAR))) AS INTEGER), ' ') AS l, rpad(role, CAST(greatest(6, length(role)) AS INTEGER), ' ') AS r,
+    CASE WHEN length(f) > 30 THEN substr(f, 1, 30) || '…' ELSE f END AS one FROM (SELECT *, replace(text, chr(10), '⏎ ') AS f FROM ev)"""))
+def padded_rows(spark, d):
+    return demo.events(spark, d).select("session_id", "seq", S.pad_left(F.col("seq").cast("string"), 3).alias("l"), S.pad_right(F.col("role"), 6).alias("r"), S.one_line(F.col("text"), 30).alias("one"))

@@ -1,4 +1,8 @@
-"""Growing files as a stream: complete lines by byte offset; a partial last line waits for its newline."""
+"""Growing files as a stream: complete lines by byte offset; a partial last line waits for its newline.
+
+The driver looks at sizes and for each grown file at its end, for the last newline; what lies between two
+offsets is read by the executors, in ranges of a window each. A line belongs to the range that it begins in.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import glob
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from logloom.schemas import TAIL_ROWS
@@ -49,43 +53,82 @@ def aligned(path: str, offset: int, scan: int = CHUNK) -> int:
     return size if k < 0 else offset + k
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    """options: path (a glob), start (begin, end), rewindBytes, reads (windows of a file in one batch)."""
+def complete(path: str, window: int = 64 << 10) -> int:
+    """The offset behind the file's last newline; 0 without one. Looks back from the end, a window at a time."""
+    stop = os.path.getsize(path)
+    with open(path, "rb") as f:
+        while stop > 0:
+            start = max(0, stop - window)
+            f.seek(start)
+            k = f.read(stop - start).rfind(b"\n")
+            if k >= 0:
+                return start + k + 1
+            stop, window = start, window * 2
+    return 0
+
+
+def lines_between(path: str, start: int, stop: int) -> Iterator[tuple[int, str]]:
+    """(offset, line) of the lines that begin at or after start and before stop, the first of them after a newline."""
+    with open(path, "rb") as f:
+        f.seek(max(0, start - 1))
+        if start > 0 and f.read(1) != b"\n":
+            f.readline()
+        at = f.tell()
+        while at < stop:
+            line = f.readline()
+            if not line.endswith(b"\n"):
+                break
+            yield at, line[:-1].decode("utf-8", "replace")
+            at += len(line)
+
+
+class Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int, truncated: bool):
+        self.path, self.start, self.stop, self.truncated = path, start, stop, truncated
+
+
+class TailReader(DataSourceStreamReader):
+    """options: path (a glob), start (begin, end), rewindBytes, rangeBytes (of a file that one task reads)."""
 
     def __init__(self, options: dict[str, str]):
         self.pattern = options["path"]
         self.start, self.rewind = options.get("start", "begin"), int(options.get("rewindbytes", options.get("rewindBytes", 0)))
-        self.reads = int(options.get("reads", 16))
+        self.range = int(options.get("rangebytes", options.get("rangeBytes", CHUNK)))
+        self.known: dict[str, tuple[int, int]] = {}  # path: size and offset when last looked at
+
+    def _files(self) -> list[str]:
+        return sorted(glob.glob(self.pattern, recursive=True))
 
     def initialOffset(self) -> dict:
         if self.start == "begin":
             return {}
-        return {p: aligned(p, max(0, os.path.getsize(p) - self.rewind)) for p in sorted(glob.glob(self.pattern, recursive=True))}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = [], dict(start)
-        for path in sorted(glob.glob(self.pattern, recursive=True)):
-            at = int(end.get(path, 0))
-            for _ in range(self.reads):
-                found, at, truncated, more = read_lines(path, at)
-                rows += [(path, o, line, truncated) for o, line in found]
-                if not more:
-                    break
-            end[path] = at
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return {p: aligned(p, max(0, os.path.getsize(p) - self.rewind)) for p in self._files()}
+
+    def latestOffset(self) -> dict:
+        for path in self._files():
+            try:
+                size = os.path.getsize(path)
+                if self.known.get(path, (-1, 0))[0] != size:
+                    self.known[path] = size, complete(path)
+            except OSError:  # a file may vanish at any time
+                pass
+        return {path: at for path, (_, at) in self.known.items()}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
         for path, stop in sorted(end.items()):
             at, stop = int(start.get(path, 0)), int(stop)
-            if stop < at:
-                at = 0
-            while at < stop:
-                found, after, _, _ = read_lines(path, at, min(CHUNK, stop - at), stop - at)
-                for o, line in found:
-                    yield path, o, line, False
-                if after <= at:
-                    break
-                at = after
+            truncated = stop < at
+            for a in range(0 if truncated else at, stop, self.range):
+                out.append(Range(path, a, min(a + self.range, stop), truncated))
+        return out
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        try:
+            for offset, line in lines_between(partition.path, partition.start, partition.stop):
+                yield partition.path, offset, line, partition.truncated
+        except FileNotFoundError:
+            return
 
 
 class TailSource(DataSource):
@@ -98,7 +141,7 @@ class TailSource(DataSource):
     def schema(self) -> StructType:
         return TAIL_ROWS
 
-    def simpleStreamReader(self, schema: StructType) -> TailReader:
+    def streamReader(self, schema: StructType) -> TailReader:
         return TailReader(self.options)
 
 

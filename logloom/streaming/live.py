@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.blocks import block_array, extract_text, field, summarize
-from logloom.functions.scalar import CONVERSATIONAL
+from logloom.functions.scalar import CONVERSATIONAL, STATE_LINES, live_heat
+from logloom.operators.sequence import fold_state_runs
+from logloom.operators.sessions import group_live, live_index_states, recent
 from logloom.sources.tail import TailSource
-from logloom.sources.transcripts import rollout_text
+from logloom.sources.transcripts import ROLLOUT_SOURCE, rollout_text
 
 
 def tail(spark: SparkSession, pattern: str, **options: str) -> DataFrame:
@@ -45,19 +47,21 @@ def watch(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], N
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def arrivals(files: DataFrame, gone_after: str = "6 seconds") -> DataFrame:
-    """files: a stream of (path, at timestamp). The first sight of each path, again after it has been
-    away for ``gone_after``; state is a row a path and expires with it."""
+def arrivals(files: DataFrame, gone_after: str = "6 seconds", first_scan: str | None = None) -> DataFrame:
+    """files: a stream of (path, at timestamp). The first sight of each path, again after it has been away for
+    ``gone_after``; state is a row a path and expires with it. What was there up to first_scan (a stamp) does not
+    arrive: a scan that begins finds everything new."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     millis = int(pd.Timedelta(gone_after).total_seconds() * 1000)
+    quiet = pd.Timestamp(first_scan) if first_scan else pd.Timestamp.min
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         at = min(b["at"].min() for b in batches)
-        if not state.exists:
+        if not state.exists and at > quiet:
             yield pd.DataFrame({"path": [key[0]], "arrived_at": [at]})
         state.update((1,))
         state.setTimeoutDuration(millis)
@@ -65,6 +69,77 @@ def arrivals(files: DataFrame, gone_after: str = "6 seconds") -> DataFrame:
     return files.groupBy("path").applyInPandasWithState(run, "path string, arrived_at timestamp", "seen int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def track_arrivals(live: DataFrame, known: DataFrame, previous: DataFrame, now: float, suppress: bool = False, flash: float = 6.0) -> DataFrame:
+    """(file_path, arrived_at): what of live was not known before has arrived now, unless suppressed; earlier arrivals
+    (previous) keep their time, and go when they are no longer live or ``flash`` seconds old."""
+    fresh = F.when(F.col("k").isNull() & F.lit(not suppress), F.lit(float(now)))
+    both = live.select("file_path").distinct().join(known.select("file_path", F.lit(1).alias("k")).distinct(), "file_path", "left").join(previous, "file_path", "left")
+    return both.select("file_path", F.coalesce("arrived_at", fresh).alias("arrived_at")).where(F.lit(now) - F.col("arrived_at") < flash)
+
+
+def fleet(transcripts: DataFrame, rollouts: DataFrame, names: DataFrame, now: int, window: int) -> DataFrame:
+    """The files of both formats written within the window, the last written first: file_path, source, project (a known
+    folder, else the directory's name), session_uuid, file_tier, agent_id, workflow_run_id, file_mtime, file_size, seconds,
+    heat. transcripts: discover_files; rollouts: files with their headers; names: (dir_name, cwd)."""
+    common = ["file_path", "source", "dir_name", "session_uuid", "file_tier", "agent_id", "workflow_run_id", "file_mtime", "file_size"]
+    flow = F.lit(None).cast("string").alias("workflow_run_id")
+    other = rollouts.select("*", F.lit(ROLLOUT_SOURCE).alias("source"), F.coalesce("cwd", F.lit("(unknown)")).alias("dir_name"), F.coalesce("nickname", "agent_role").alias("agent_id"), flow)
+    both = transcripts.withColumn("source", F.lit("claude")).select(*common).unionByName(other.select(*common))
+    seconds = F.greatest(F.lit(now) - F.col("file_mtime"), F.lit(0))
+    own = recent(both, now, window).join(F.broadcast(names.select("dir_name", "cwd")), "dir_name", "left").withColumn("seconds", seconds)
+    return own.select(*common[:2], F.coalesce("cwd", "dir_name").alias("project"), *common[3:], "seconds", live_heat(F.col("seconds")).alias("heat")).orderBy(
+        F.col("file_mtime").desc(), "file_path"
+    )
+
+
+class LiveModel:
+    """What a live view shows, brought up to date by ``tick``: the fleet, its groups and index states, what has just
+    arrived, who entered and left the window, and the newest events, folded. State is a few rows a live file."""
+
+    def __init__(self, spark: SparkSession, keep: int = 150, expand: int = 20):
+        self.spark, self.keep, self.expand = spark, keep, expand
+        self.known: list[str] = []
+        self.arrived: dict[str, float] = {}
+        self.events: list[tuple] = []
+        self.window: int | None = None
+        self.last_id = 0
+
+    def tick(self, live: DataFrame, known: DataFrame, now: float, window: int, lines: DataFrame | None = None) -> dict:
+        """live: fleet(); known: the sessions table; lines: new rows of to_events(). The first tick and one with
+        another window show what is there without calling it new."""
+        suppress, self.window = self.window != window, window
+        paths = self.spark.createDataFrame([(p,) for p in self.known], "file_path string")
+        before = self.spark.createDataFrame(list(self.arrived.items()), "file_path string, arrived_at double")
+        states = live_index_states(live, known)
+        shown = live.join(states, "file_path").join(track_arrivals(live, paths, before, now, suppress), "file_path", "left").orderBy(F.col("file_mtime").desc(), "file_path").collect()
+        now_live, last = [r["file_path"] for r in shown], set(self.known)
+        entered, left = [p for p in now_live if p not in last], sorted(last - set(now_live))
+        self.known, self.arrived = now_live, {r["file_path"]: r["arrived_at"] for r in shown if r["arrived_at"] is not None}
+        if lines is not None:
+            fresh = lines.orderBy(F.col("path").desc(), F.col("offset").desc()).select("line_type", "ts", "role", "text", "summary").limit(self.keep).collect()[::-1]
+            self.events = [*self.events, *((self.last_id + 1 + k, *r) for k, r in enumerate(fresh))][-self.keep :]
+            self.last_id += len(fresh)
+        rows = self.spark.createDataFrame([(0, *e) for e in self.events], "key int, id long, line_type string, ts string, role string, text string, summary string")
+        return {
+            "sessions": shown, "groups": group_live(live, int(now)), "entered": entered, "left": left, "arrived": dict(self.arrived),
+            "folded": fold_state_runs(rows, "key", "id", "line_type", "ts", STATE_LINES), "expand_from": self.last_id - self.expand,
+            "status": f"{len(shown)} live",
+        }
+
+
+def wire_frames(fleet_rows: DataFrame, events: DataFrame, attached: str | None = None, history: DataFrame | None = None, errors: list[str] = ()) -> list[DataFrame]:
+    """Frames of every kind that listeners are sent: fleet, events, attached, history and error."""
+    spark = fleet_rows.sparkSession
+    out = [frames(fleet_rows, "fleet"), frames(events, "events")]
+    if attached is not None:
+        out.append(frames(spark.createDataFrame([(attached,)], "path string"), "attached"))
+    if history is not None:
+        out.append(frames(history, "history"))
+    if errors:
+        out.append(frames(spark.createDataFrame([(e,) for e in errors], "message string"), "error"))
+    return out
+
+
 def event_windows(events: DataFrame, at: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """An extension: counts of line types by event-time window, late rows dropped by a watermark."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), "line_type").agg(F.count("*").alias("lines"))
