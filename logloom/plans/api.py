@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.scalar import truncated
-from logloom.operators import search, sessions, topics
+from logloom.functions.query import parse_since
+from logloom.functions.scalar import rendered, truncated
+from logloom.operators import graph, search, sessions, topics
 from logloom.operators import vectors as vector_ops
+from logloom.sources.store import Store
+
+COUNTS = ("files_scanned", "files_new", "files_changed", "files_skipped", "files_failed")
 
 
 class Refused(ValueError):
@@ -93,6 +98,8 @@ COMMANDS = {
         Command("forget_topic", "Delete a topic and its hits.", (Param("name", required=True),)),
         Command("list_topics", "All topics."),
         Command("describe_tool", "A tool's parameters.", (Param("name", required=True),)),
+        Command("session_graph", "A transcript as beats, tools and targets.", (Param("path", required=True), Param("kind", default="nodes", choices=("nodes", "edges")))),
+        Command("import_index", "Bring the index up to date.", (Param("corpus", default="all"), Param("since"), Param("force", bool, default=False))),
     )
 }
 
@@ -110,9 +117,20 @@ class Engine:
     topic_hits: DataFrame | None = None
     provider: Callable = vector_ops.hashing_provider
     sources: dict[str, Callable[[str], DataFrame]] = field(default_factory=dict)
+    store: Store | None = None
+    roots: dict[str, str] = field(default_factory=dict)
+    errors: dict[str, str] = field(default_factory=dict)  # of the last trace, by source
+
+    @classmethod
+    def of(cls, store: Store, **more: Any) -> Engine:
+        """Over the tables of a store."""
+        read = store.read
+        return cls(store.spark, read("sessions"), read("projects"), read("events"), read("event_vectors"), read("topics"), read("topic_hits"), store=store, **more)
 
     def call(self, name: str, args: dict[str, Any] | None = None) -> DataFrame:
-        if name.startswith("dig_") and name not in COMMANDS:  # a promoted topic
+        if name.startswith("dig_") and name not in COMMANDS:
+            if name not in {c.name for c in self.tools()}:
+                raise Refused(f"no promoted topic {name[4:]!r}")
             return self.dig_topic(name=name[4:], **{k: v for k, v in COMMANDS["dig_topic"].validate({"name": name[4:], **(args or {})}).items() if k != "name"})
         if name not in COMMANDS:
             raise Refused(f"unknown tool {name!r}")
@@ -132,10 +150,14 @@ class Engine:
         return search.search_filtered(self.events, sessions.with_projects(self.sessions, self.projects), query, limit, engine, **filters)
 
     def read_session(self, session: str, start: int = 0, limit: int = 30) -> DataFrame:
-        return sessions.read_page(self.events, self._resolve(session), start, limit).withColumn("text", truncated(F.col("text")))
+        """The lines, rendered, and whether more follow: the one line beyond the page tells."""
+        page = sessions.read_page(self.events, self._resolve(session), start, limit + 1)
+        more = F.count("*").over(Window.partitionBy(F.lit(0))) > limit  # a page of rows
+        numbered = page.select("*", more.alias("more"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")).alias("n"))
+        return _rendered(numbered.where(F.col("n") <= limit).drop("n"))
 
     def read_context(self, session: str, seq: int, before: int = 4, after: int = 6) -> DataFrame:
-        return sessions.read_context(self.events, self._resolve(session), seq, before, after).withColumn("text", truncated(F.col("text")))
+        return _rendered(sessions.read_context(self.events, self._resolve(session), seq, before, after))
 
     def semantic_search(self, query: str, limit: int = 20) -> DataFrame:
         if self.vectors is None:
@@ -143,7 +165,27 @@ class Engine:
         import pandas as pd
 
         text = self.spark.createDataFrame([(query,)], "q string").select(vector_ops.script_model(F.col("q")).alias("m")).first()["m"]
-        return vector_ops.semantic_search(self.vectors, [float(x) for x in self.provider(pd.Series([query]))[0]], text, limit)
+        hits = vector_ops.semantic_search(self.vectors, [float(x) for x in self.provider(pd.Series([query]))[0]], text, limit)
+        found = vector_ops.with_sessions(hits, self.sessions, self.projects)
+        return found.orderBy(F.col("score").desc(), "session_id", "seq", "chunk_index")
+
+    def session_graph(self, path: str, kind: str = "nodes") -> DataFrame:
+        return graph.session_graph(graph.graph_lines(self.spark, path))[kind == "edges"]
+
+    def import_index(self, corpus: str = "all", since: str | None = None, force: bool = False) -> DataFrame:
+        """A run below each of the named roots; the counts of each."""
+        if self.store is None:
+            raise Refused("there is no store to import into")
+        named = self.roots if corpus == "all" else {k: v for k, v in self.roots.items() if k == corpus}
+        if not named:
+            raise Refused(f"unknown corpus {corpus!r}; known: {', '.join(sorted(self.roots)) or 'none'}")
+        now = datetime.now(timezone.utc)
+        cutoff = parse_since(since, now) if since else None
+        if since and since != "all" and cutoff is None:
+            raise Refused(f"{since!r} is no window of time")
+        counts = self.store.sync(named, now.strftime("%Y-%m-%d %H:%M:%S"), int(now.timestamp() * 1000), since=cutoff, force=force)
+        self.sessions, self.projects, self.events = (self.store.read(t) for t in ("sessions", "projects", "events"))
+        return self.spark.createDataFrame([(k, *(v[c] for c in COUNTS)) for k, v in sorted(counts.items())], f"corpus string, {', '.join(f'{c} long' for c in COUNTS)}")
 
     def index_status(self) -> DataFrame:
         return sessions.overview(self.sessions, self.projects, self.events)
@@ -180,15 +222,28 @@ class Engine:
             role = F.col("role") if "role" in hits.columns else F.lit(None).cast("string")
             return hits.select("session_id", uuid.alias("uuid"), role.alias("role"), F.lit(None).cast("string").alias("ts"), "score", F.substring("text", 1, 300).alias("snippet"))
 
-        hits, errors = topics.trace(name, {s: own if s == "sessions" else (lambda s=s: self.sources[s](query)) for s in named}, at)
+        hits, self.errors = topics.trace(name, {s: own if s == "sessions" else (lambda s=s: self.sources[s](query)) for s in named}, at, self._written)
         if hits is None:
-            raise Refused(f"no source answered: {errors}")
+            raise Refused(f"no source answered: {self.errors}")
         new = self.spark.createDataFrame([(name, query, engine, description, at, at, 0, None, False, named)], schemas.TOPICS)
-        self.topic_hits = topics.replace_hits(kept, name, hits)
+        self._keep(topic_hits=topics.replace_hits(kept, name, hits))
         own_hits = self.topic_hits.where(F.col("topic") == name)
-        self.topics = topics.finish_run(topics.upsert_topic(stored, new), name, own_hits.count(), at)
+        self._keep(topics=topics.finish_run(topics.upsert_topic(stored, new), name, own_hits.count(), at))
         return own_hits
 
+    def _written(self, hits: DataFrame) -> DataFrame:
+        """The rows of a source as they are now: 5,000 at most, as any search gives."""
+        return self.spark.createDataFrame(hits.limit(5000).collect(), hits.schema)
+
+    def _keep(self, **tables: DataFrame) -> None:
+        """Topics and their hits as they are now: in the store, else as local rows, so that no plan grows with each call."""
+        for name, rows in tables.items():
+            if self.store is not None:
+                self.store.replace(name, rows)
+                setattr(self, name, self.store.read(name))
+            else:
+                setattr(self, name, self.spark.createDataFrame(rows.collect(), rows.schema))
+
     def dig_topic(self, name: str, refresh: bool = True, limit: int = 20) -> DataFrame:
         stored, _ = self._topics()
         row = stored.where(F.col("name") == name).first()
@@ -199,26 +254,42 @@ class Engine:
         return topics.dig(self.topic_hits, name, limit)
 
     def promote_topic(self, name: str, promoted: bool = True) -> DataFrame:
-        self.topics = topics.set_promoted(self._topics()[0], name, promoted)
+        if self._topics()[0].where(F.col("name") == name).isEmpty():
+            raise Refused(f"unknown topic {name!r}")
+        self._keep(topics=topics.set_promoted(self.topics, name, promoted))
         return self.topics
 
     def demote_topic(self, name: str) -> DataFrame:
         return self.promote_topic(name, False)
 
     def forget_topic(self, name: str) -> DataFrame:
-        self.topics, self.topic_hits = topics.forget(*self._topics(), name)
+        kept, hits = topics.forget(*self._topics(), name)
+        self._keep(topics=kept, topic_hits=hits)
         return self.topics
 
+    def tools(self) -> list[Command]:
+        """The built-in tools, then one for each promoted topic."""
+        names = [r["name"] for r in self._topics()[0].where("promoted").orderBy("name").select("name").limit(1000).collect()]
+        params = tuple(p for p in COMMANDS["dig_topic"].params if p.name != "name")
+        return [*COMMANDS.values(), *(Command(f"dig_{n}", f"The hits of topic {n}.", params, "topic") for n in names)]
+
     def list_topics(self) -> DataFrame:
         return self._topics()[0].orderBy("name")
 
     def describe_tool(self, name: str) -> DataFrame:
-        if name not in COMMANDS:
+        known = {c.name: c for c in self.tools()}
+        if name not in known:
             raise Refused(f"unknown tool {name!r}")
-        rows = [(p.name, p.kind.__name__, p.required, None if p.default is None else str(p.default)) for p in COMMANDS[name].params]
+        rows = [(p.name, p.kind.__name__, p.required, None if p.default is None else str(p.default)) for p in known[name].params]
         return self.spark.createDataFrame(rows, "name string, type string, required boolean, default string")
 
 
-def surface() -> list[tuple[str, str, int]]:
+def _rendered(events: DataFrame) -> DataFrame:
+    """events with their text cut for a reader, and shown: number, role, stamp and text."""
+    ts = F.col("ts") if "ts" in events.columns else F.lit(None).cast("string")
+    return events.withColumn("shown", rendered(F.col("seq"), F.col("role"), ts, F.col("text"))).withColumn("text", truncated(F.col("text")))
+
+
+def surface(commands: Iterable[Command] | None = None) -> list[tuple[str, str, int]]:
     """(tool, origin, tokens) of everything that is offered, the dearest first."""
-    return sorted(((c.name, c.origin, c.cost()) for c in COMMANDS.values()), key=lambda x: (-x[2], x[0]))
+    return sorted(((c.name, c.origin, c.cost()) for c in commands or COMMANDS.values()), key=lambda x: (-x[2], x[0]))

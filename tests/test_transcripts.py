@@ -68,18 +68,18 @@ def test_lines_skip_blanks_and_keep_order(spark, corpus):
     assert transcripts.first_cwd(spark, corpus + "/proj/u1.jsonl").first()["cwd"] == "/home/a"
 
 
-def test_import_is_incremental(spark, corpus):
+def test_import_is_incremental(spark, corpus, tmp_path):
     known = spark.createDataFrame([], schemas.SESSIONS)
-    first = transcripts.incremental_import(spark, corpus, known, "now")
+    first = transcripts.incremental_import(spark, corpus, known, "now", str(tmp_path / "s1"))
     assert first.counts == {"files_scanned": 4, "files_new": 4, "files_changed": 0, "files_skipped": 0, "files_failed": 1}
     rows = {r["file_path"].split("corpus/")[1]: r for r in first.sessions.collect()}
     assert rows["proj2/u2.jsonl"]["import_status"] == "failed"
     assert rows["proj/u1/subagents/agent-a1.jsonl"]["parent_session_id"] == rows["proj/u1.jsonl"]["id"]
     assert first.events.count() == 4
     stored = spark.createDataFrame(first.sessions.collect(), first.sessions.schema)
-    second = transcripts.incremental_import(spark, corpus, stored, "later")
+    second = transcripts.incremental_import(spark, corpus, stored, "later", str(tmp_path / "s2"))
     assert second.counts["files_skipped"] == 3 and second.counts["files_changed"] == 1  # the failed one again
-    assert transcripts.incremental_import(spark, corpus, stored, "later", only=["none"]).counts["files_scanned"] == 0
+    assert transcripts.incremental_import(spark, corpus, stored, "later", str(tmp_path / "s3"), only=["none"]).counts["files_scanned"] == 0
     assert transcripts.replace_by_key(stored, second.sessions, "id").count() == 4
     projects = transcripts.upsert_projects(first.projects.withColumn("cwd", F.lit("/first")), second.projects)
     assert {r["cwd"] for r in projects.collect()} == {"/first"}
@@ -97,7 +97,7 @@ def test_rollouts(spark, tmp_path):
         {"type": "response_item", "payload": {"type": "reasoning"}},
     ]
     p.write_text("\n".join(map(json.dumps, rows)) + "\n\nbad\n" + '{"type":"x","timestamp":"t9"')
-    head = transcripts.rollout_headers(spark, str(p)).first()
+    head = transcripts.rollout_headers(transcripts.parse_rollouts(spark, str(p))).first()
     assert (head["session_uuid"], head["cwd"], head["parent_uuid"], head["file_tier"]) == ("aa-bb-cc-dd-ee", "/w", "par", "subagent")
     lines = transcripts.parse_rollouts(spark, str(p))
     texts = [(r["seq"], r["role"], r["text"]) for r in lines.where("text IS NOT NULL").orderBy("pos").collect()]
@@ -153,7 +153,7 @@ def test_summaries(spark):
     content = [{"type": "tool_use", "name": "Bash", "input": {"command": "ls\nrm"}}, {"type": "tool_result", "is_error": True}, {"type": "thinking", "thinking": "x" * 80}]
     df = spark.createDataFrame([(line("assistant", content),), (line("user", "plain"),)], "l string").select(F.parse_json("l").alias("v"))
     rows = [r["s"] for r in df.select(blocks.summarize(blocks.block_array(F.col("v"))).alias("s")).collect()]
-    assert rows == ["Bash · ls   → error   thinking… " + "x" * 64, None]
+    assert rows == ["Bash · ls   → error   thinking… " + "x" * 64 + "…", None]
 
 
 def test_query_compilation():
