@@ -134,6 +134,14 @@ def barrier(sql: str) -> Column:
     return F.expr(f"IF(spark_partition_id() >= 0, {sql}, NULL)")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_az(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
@@ -151,9 +159,12 @@ _libc = ctypes.CDLL(None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; that is set here only where it is unset."""
+    """A new folder below the one that spark.checkpoint.dir names. Where that is unset a session on one machine gets
+    a temporary one; on a cluster there is none that all would share, so it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="logloom-"))
         base = _own_dir[0]
