@@ -43,7 +43,6 @@ VERBS = {
 def _fleet(spark: SparkSession, root: str, store: Store, now: int, window: int):
     found = transcripts.rollout_files(spark, root)
     paths = [r["file_path"] for r in sessions.recent(found, now, window).select("file_path").limit(transcripts.READ_FILES).collect()]
-    rollouts = None
     if paths:
         rollouts = found.join(transcripts.rollout_headers(transcripts.parse_rollouts(spark, paths)), "file_path")
     else:

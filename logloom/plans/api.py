@@ -151,13 +151,19 @@ class Engine:
 
     def read_session(self, session: str, start: int = 0, limit: int = 30) -> DataFrame:
         """The lines, rendered, and whether more follow: the one line beyond the page tells."""
-        page = sessions.read_page(self.events, self._resolve(session), start, limit + 1)
+        own = self._resolve(session)
+        page = sessions.read_page(self._events_of(own), own, start, limit + 1)
         more = F.count("*").over(Window.partitionBy(F.lit(0))) > limit  # a page of rows
         numbered = page.select("*", more.alias("more"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")).alias("n"))
         return _rendered(numbered.where(F.col("n") <= limit).drop("n"))
 
     def read_context(self, session: str, seq: int, before: int = 4, after: int = 6) -> DataFrame:
-        return _rendered(sessions.read_context(self.events, self._resolve(session), seq, before, after))
+        own = self._resolve(session)
+        return _rendered(sessions.read_context(self._events_of(own), own, seq, before, after))
+
+    def _events_of(self, session: int) -> DataFrame:
+        """What holds a session's events: its files alone, where there is a store."""
+        return self.events if self.store is None else self.store.session_events(session)
 
     def semantic_search(self, query: str, limit: int = 20) -> DataFrame:
         if self.vectors is None:

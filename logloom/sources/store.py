@@ -2,8 +2,10 @@
 
 A table is the newest complete version below its folder; replacing one writes the next version and then
 drops those before the last two, so a reader is never left without files and an executor lost on the way
-leaves the old version as it was. Vectors are appended to partitions by class and model, and run logs get a
-row when a run begins and another when it ends. What grows with the corpus is never brought to the driver.
+leaves the old version as it was. What grows with the corpus is partitioned and never replaced as a whole:
+events and type counts by a bucket of their session, of which an import rewrites those that it touches, and
+vectors by class and model. Run logs get a row when a run begins and another when it ends. Nothing that grows
+with the corpus is brought to the driver.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from logloom import schemas
 from logloom.operators import vectors as vector_ops
@@ -31,7 +34,13 @@ TABLES = {
     "topic_hits": schemas.TOPIC_HITS,
     "search_log": schemas.SEARCH_LOG,
 }
-PARTITIONS = {"event_vectors": ["vector_class", "model"]}
+PARTITIONS = {"event_vectors": ["vector_class", "model"], "events": ["bucket"], "session_type_counts": ["bucket"]}
+#: Buckets of sessions.
+BUCKETS = 256
+
+
+def bucket(session_id: Column) -> Column:
+    return F.pmod(session_id, F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 class Store:
@@ -54,7 +63,7 @@ class Store:
         """Creates the tables that are not there yet, empty; those that are stay as they are."""
         for table, schema in TABLES.items():
             if not self._versions(table):
-                self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{table}/v0")
+                self._writer(table, self.spark.createDataFrame([], schema), "overwrite").parquet(f"{self.root}/{table}/v0")
 
     def read(self, table: str) -> DataFrame:
         """The newest version. Columns that older files lack are null."""
@@ -62,7 +71,14 @@ class Store:
         schema = TABLES[table]
         if not versions:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{versions[-1]}").select(*schema.names)
+        return self._read(table, f"{self.root}/{table}/v{versions[-1]}").select(*schema.names)
+
+    def _read(self, table: str, path: str) -> DataFrame:
+        """With the column of its partitions."""
+        schema = TABLES[table]
+        if PARTITIONS.get(table) == ["bucket"]:
+            schema = StructType([*schema.fields, StructField("bucket", IntegerType())])
+        return self.spark.read.schema(schema).parquet(path)
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """Writes the table's next version; rows may be derived from the current one."""
@@ -78,9 +94,40 @@ class Store:
 
     def _writer(self, table: str, rows: DataFrame, mode: str):
         typed = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields))
+        if PARTITIONS.get(table) == ["bucket"]:
+            typed = typed.withColumn("bucket", bucket(F.col("session_id")))
         writer = typed.write.mode(mode)
         return writer.partitionBy(*PARTITIONS[table]) if table in PARTITIONS else writer
 
+    def _overwrite_partitions(self, table: str, rows: DataFrame) -> None:
+        """Replaces the partitions that rows has, and no others; rows may be derived from them."""
+        staging = self._staging()
+        self._writer(table, rows, "overwrite").parquet(staging)
+        fresh = self._read(table, staging).select(*TABLES[table].names)
+        path = f"{self.root}/{table}/v{self._versions(table)[-1]}"
+        self._writer(table, fresh, "overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        self._discard(staging)
+
+    def replace_sessions(self, table: str, rows: DataFrame, ids: DataFrame) -> None:
+        """rows instead of what the table has of the sessions ids; only their buckets are read and written."""
+        touched = [r["bucket"] for r in ids.select(bucket(F.col("session_id"))).distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
+        path = f"{self.root}/{table}/v{self._versions(table)[-1]}"
+        kept = self._read(table, path).where(F.col("bucket").isin(touched)).join(ids.select("session_id").distinct(), "session_id", "left_anti")
+        names = TABLES[table].names
+        # a bucket whose last rows go is not in what is written: it must be emptied
+        whole = kept.select(*names).unionByName(rows.select(*names))
+        left = {r["bucket"] for r in whole.select(bucket(F.col("session_id"))).distinct().collect()}
+        self._overwrite_partitions(table, whole)
+        for b in set(touched) - left:
+            self._discard(f"{path}/bucket={b}")
+
+    def session_events(self, session_id: int) -> DataFrame:
+        """One session's events, of its bucket's files alone."""
+        path = f"{self.root}/events/v{self._versions('events')[-1]}"
+        return self._read("events", path).where((F.col("bucket") == session_id % BUCKETS) & (F.col("session_id") == session_id)).select(*TABLES["events"].names)
+
     def views(self) -> None:
         """Every table as a view, for SQL of one's own."""
         for table in TABLES:
@@ -135,7 +182,7 @@ class Store:
         sessions = transcripts.link_parents(stored)
         self.replace("projects", transcripts.upsert_projects(self.read("projects"), result.projects))
         for table, rows in (("session_type_counts", result.type_counts), ("events", result.events)):
-            self.replace(table, transcripts.replace_by_key(self.read(table), rows, "session_id", ids))
+            self.replace_sessions(table, rows, ids)
         self.replace("sessions", sessions.select(*schemas.SESSIONS.names))
 
     # --- vectors
@@ -160,9 +207,10 @@ class Store:
         log = {"id": run_id, "model": model, "provider": "load", "started_at": now}
         self._log("vector_runs", **log)
         good, refused = vector_ops.load_vectors(self.spark, path, model, vector_class)
-        keys = ["session_id", "seq", "chunk_index", "model", "vector_class"]
-        stored = self.read("event_vectors")
-        self.replace("event_vectors", stored.join(good.select(*keys), keys, "left_anti").select(*stored.columns).unionByName(good.select(*stored.columns)))
+        keys = ["session_id", "seq", "chunk_index"]
+        stored = self.read("event_vectors").where((F.col("model") == model) & (F.col("vector_class") == vector_class))
+        kept = stored.join(good.select(*keys), keys, "left_anti").select(*stored.columns)
+        self._overwrite_partitions("event_vectors", kept.unionByName(good.select(*stored.columns)))
         n, bad = good.count(), refused.count()
         self._log("vector_runs", **log, finished_at=now, vectors=n, skipped=bad, stopped=False)
         return n, bad

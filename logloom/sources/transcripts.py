@@ -93,6 +93,14 @@ def first_cwd(spark: SparkSession, paths: list[str] | str, lines: int = 4) -> Da
     return head.select("file_path", "pos", cwd.alias("cwd")).where("cwd IS NOT NULL").groupBy("file_path").agg(F.min_by("cwd", "pos").alias("cwd"))
 
 
+def probe_cwd(spark: SparkSession, scan: DataFrame) -> DataFrame:
+    """project_scan's rows and the folder that each one's sample file names. One file a project is read."""
+    paths = [r["sample_path"] for r in scan.select("sample_path").limit(READ_FILES).collect()]
+    if not paths:
+        return scan.withColumn("cwd", F.lit(None).cast("string"))
+    return scan.join(first_cwd(spark, paths).withColumnRenamed("file_path", "sample_path"), "sample_path", "left")
+
+
 # --- rollout files: another product's format ---------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom import __main__ as cli
 from logloom import schemas
 from logloom.operators import graph, vectors
+from logloom.operators import sessions as ops
 from logloom.plans.api import Engine, Refused
 from logloom.sources import tail, transcripts
 from logloom.sources.store import Store, exists
@@ -58,8 +59,16 @@ def test_imports_are_stored_and_logged(spark, root, tmp_path):
         store.import_transcripts(str(root / "none"), "t3", 3)
     store._log("import_runs", id=4, started_at="t4", files_scanned=1)
     assert [r["id"] for r in store.runs("import_runs").where("finished_at IS NULL").collect()] == [4]
+    one = rows["u1.jsonl"]["id"]
+    assert store.session_events(one).count() == 3 and "bucket" in store.session_events(one)._jdf.queryExecution().executedPlan().toString()
+    scan = transcripts.probe_cwd(spark, ops.project_scan(transcripts.discover_files(spark, str(root)).withColumn("state", F.lit("new"))))
+    assert {r["dir_name"]: r["cwd"] for r in scan.collect()} == {"proj a+b": "/home/a", "proj2": None}
+    # a session that comes to have no event leaves its bucket empty
+    (root / "proj2/u2.jsonl").write_text(line("mode") + "\n")
+    store.import_transcripts(str(root), "t5", 5)
+    assert store.read("events").count() == 4 and store.read("session_type_counts").where("line_type = 'mode'").count() == 1
     store.views()
-    assert spark.sql("SELECT count(*) AS n FROM events").first()["n"] == 5
+    assert spark.sql("SELECT count(*) AS n FROM events").first()["n"] == 4
 
 
 def test_rollouts_link_to_their_parents(spark, tmp_path):
