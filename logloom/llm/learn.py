@@ -14,10 +14,29 @@ from pyspark.sql import functions as F
 from .common import flat_utf8, hash_words, mix64, pieces, remainder
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], bound: int) -> tuple[pa.Array, np.ndarray]:
-    """(texts, labels) of at most ``bound`` labelled rows outside the fold (modulus, remainder held out), up
-    to half of the bound for each label, chosen by a hash of doc_id. Rows without id or label are left out;
-    of labels that differ for one id the largest counts."""
+#: Bytes of a text that a classifier may learn from at most: bounds a sample's bytes as its rows are bounded. Longer
+#: texts are scored whole like all others, but not learned from.
+LONGEST = 1 << 20
+
+
+@dataclass
+class Sample:
+    """Labelled texts, and the share of label 1 among all labelled rows that they were taken from."""
+
+    texts: pa.Array
+    y: np.ndarray
+    share: float
+
+    def weights(self) -> np.ndarray:
+        """What each row counts for, so that the labels weigh as they do among all rows; 1 on average."""
+        own = self.y.mean() if len(self.y) else 0.5
+        return np.where(self.y == 1, self.share / max(own, 1e-9), (1 - self.share) / max(1 - own, 1e-9))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], bound: int) -> Sample:
+    """At most ``bound`` labelled rows outside the fold (modulus, remainder held out), of LONGEST bytes at most, up
+    to half of the bound for each label, chosen by a hash of doc_id. Rows without id or label are left out; of
+    labels that differ for one id the largest counts, of texts the least."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
@@ -25,19 +44,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     order = F.xxhash64("doc_id", F.lit(17)).alias("o")
     picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(bound // 2) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most ``bound`` rows of two numbers
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+        .where(F.octet_length("text") <= LONGEST)
         .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
         .toArrow()
-        .sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        .sort_by([("doc_id", "ascending")])
     )
-    # repeated rows of an id would break the bound
-    ids_ = rows.column("doc_id").to_numpy()
-    rows = rows.filter(pa.array(np.append(True, ids_[1:] != ids_[:-1]) if len(ids_) else np.zeros(0, bool)))
-    return rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(np.float64)
+    total = sum(counts.values())
+    return Sample(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(np.float64), counts.get(1, 0) / total if total else 0.5)
 
 
 @dataclass

@@ -3,10 +3,13 @@
 Each word has a sparse ternary index vector (by hash) and so has its outward shape; a word's vector is
 the sum of its neighbours' index vectors over the sample. A document is the mean and spread of its
 words' vectors and a few sums over them. Network, vectors and temperature are fitted in numpy on the
-driver from a bounded sample of labelled rows (``sample``); every text is scored whole.
+driver from a bounded sample of labelled rows (``sample``), weighted by the labels' shares among all such
+rows; the temperature, fitted on folds that a network like it has not learned from, makes scores probabilities.
 
-Null and empty texts get the model's score of no words. Repeated rows are scored each on its own. With
-no labelled row, or labels of one kind only, every score is the share of label 1 (1 without any row).
+Null and empty texts get the model's score of no words, very long ones are scored whole. Repeated rows and
+rows without an id are scored each on its own (held_out is false without an id). With no labelled row, or
+labels of one kind only, every score is the share of label 1 (1 without any row). An empty table gives an
+empty result; other columns are neither read nor, unless with_quality is asked, passed on.
 """
 
 from __future__ import annotations
@@ -17,15 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import gram_hashes, mix64, pieces, read, remainder, settle
-from .learn import Adam, Vocabulary, labelled_sample, logit, parts_of, sigmoid, text_column, words_of
+from .learn import Adam, Sample, Vocabulary, labelled_sample, parts_of, sigmoid, text_column, words_of
 
 FOLD = (4, 2)
 SAMPLE = 4000
 DIM = 48
 SHAPES = 256
 CUT = 0.7
+#: Steps of training at least, however small the sample.
+STEPS = 200
+#: Parts of the sample that the temperature is fitted on in turn.
+FOLDS = 4
 
 
 def index_vectors(hashes: np.ndarray, dim: int = DIM, live: int = 6) -> np.ndarray:
@@ -50,54 +58,68 @@ def shapes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return ((kind[raw[begin]] * 4 + last[raw[end - 1]]) * 2 + second) * 5 + size
 
 
+def fitted_temperature(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """What logits are divided by so that their probabilities are the likeliest: by golden section over its logarithm.
+    Each label is held to be wrong for one row more than it is, so that separable rows don't make scores certain."""
+    n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(log_t: float) -> float:
+        x = z * np.exp(-log_t)
+        return float((weight * (np.logaddexp(0, x) - target * x)).sum())
+
+    low, high, ratio = np.log(0.02), np.log(20), (5**0.5 - 1) / 2
+    for _ in range(60):
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
 class PooledNetwork:
     def __init__(self, buckets: int = 1 << 14, hidden: int = 24, seed: int = 5):
         self.buckets, self.hidden, self.seed = buckets, hidden, seed
         self.constant: float | None = None
 
-    def fit(self, texts: pa.Array, y: np.ndarray, epochs: int = 60, batch: int = 64) -> PooledNetwork:
+    def fit(self, sample: Sample, epochs: int = 60, batch: int = 64) -> PooledNetwork:
+        texts, y = sample.texts, sample.y
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
             return self
+        weight = sample.weights()
         parts = parts_of(texts, 1 << 18)  # a part's word vectors take some hundred times its bytes
         self.vocabulary = self._widespread(parts)
         self.vectors = self._train_vectors(parts)
         x = np.concatenate([self.pooled(part) for part in parts])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x = np.clip((x - self.mean) / self.scale, -8, 8)
+        # the temperature comes from rows that the network of their fold has not seen, the network from all
+        fold, z = np.random.default_rng(self.seed).permutation(len(y)) % FOLDS, np.zeros(len(y))
+        for k in range(FOLDS):
+            self._train(x[fold != k], y[fold != k], weight[fold != k], epochs, batch)
+            z[fold == k] = self._forward(x[fold == k])
+        self.temperature = fitted_temperature(z, y, weight)
+        self._train(x, y, weight, epochs, batch)
+        return self
+
+    def _train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, batch: int) -> None:
         rng = np.random.default_rng(self.seed)
-        order = rng.permutation(len(y))
-        held, train = order[: len(y) // 4], order[len(y) // 4 :]
         self.p = {
             "A": rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], self.hidden)),
             "a": np.zeros(self.hidden),
             "u": rng.normal(0, self.hidden**-0.5, self.hidden),
             "b": np.zeros(1),
         }
-        opt = Adam(self.p, 0.004)
+        opt, order = Adam(self.p, 0.004), np.arange(len(y))
+        epochs = max(epochs, -(-STEPS * batch // max(1, len(y))))
         for epoch in range(epochs):
             opt.rate = 0.004 * (1 - epoch / epochs)
-            rng.shuffle(train)
-            for k in range(0, len(train), batch):
-                rows = train[k : k + batch]
+            rng.shuffle(order)
+            for k in range(0, len(order), batch):
+                rows = order[k : k + batch]
                 hid = np.tanh(x[rows] @ self.p["A"] + self.p["a"])
-                g = (sigmoid(hid @ self.p["u"] + self.p["b"][0]) - y[rows]) / len(rows)
+                g = weight[rows] * (sigmoid(hid @ self.p["u"] + self.p["b"][0]) - y[rows]) / len(rows)
                 back = g[:, None] * self.p["u"] * (1 - hid * hid)
                 opt.step({"A": x[rows].T @ back + 1e-3 * self.p["A"], "a": back.sum(0), "u": hid.T @ g + 1e-3 * self.p["u"], "b": np.array([g.sum()])})
-        # the sample takes labels in other shares than the corpus may have; the temperature only sets how sure scores are
-        z = self._forward(x[held])
-        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-        loss = [-(y[held] * np.log(sigmoid(z / t) + 1e-12) + (1 - y[held]) * np.log(1 - sigmoid(z / t) + 1e-12)).mean() for t in grid]
-        self.temperature = float(grid[int(np.argmin(loss))])
-        # the cut at 0.7 goes where it makes the fewest held-out errors
-        order = np.argsort(z, kind="stable")
-        zs, ys = z[order], y[held][order]
-        errors = np.append(0, np.cumsum(ys)) + np.append(np.cumsum((1 - ys)[::-1])[::-1], 0)
-        best = np.flatnonzero(errors == errors.min())
-        k = int(best[0])
-        cut = zs[0] - 1 if k == 0 else zs[-1] + 1 if k == len(zs) else (zs[k - 1] + zs[k]) / 2
-        self.shift = logit(CUT) - cut / self.temperature
-        return self
 
     def _widespread(self, parts: list[pa.Array]) -> Vocabulary:
         def words() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,37 +193,32 @@ class PooledNetwork:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         x = np.clip((self.pooled(texts) - self.mean) / self.scale, -8, 8)
-        return sigmoid(self._forward(x) / self.temperature + self.shift)
+        return sigmoid(self._forward(x) / self.temperature)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; other columns are left out."""
-    scored = with_quality(docs, labels, fold, sample)
-    return scored.select(
+    return with_quality(docs.select("doc_id", "text"), labels, "score", fold, sample).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(remainder("doc_id", fold[0]), F.lit(-1)) == fold[1]).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= CUT).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
     )
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, sample: int = SAMPLE, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """The columns ``keep`` of docs and __score."""
-    model = PooledNetwork().fit(*labelled_sample(docs, labels, "quality", fold, sample))
+def with_quality(docs: DataFrame, labels: DataFrame, score: str, fold: tuple[int, int] = FOLD, sample: int = SAMPLE) -> DataFrame:
+    """docs and a column of that name with the score."""
+    model = PooledNetwork().fit(labelled_sample(docs, labels, "quality", fold, sample))
     settle(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(*keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
             for batch in pieces(whole, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(model.scores(text_column(batch)), pa.float64())], [*batch.schema.names, "__score"]
-                )
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(text_column(batch)), pa.float64())], [*batch.schema.names, score])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(run, f"{kinds}, __score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
