@@ -64,9 +64,10 @@ def test_quality_sees_repetition(spark):
 
 def test_scores_don_t_depend_on_batches():
     texts = pa.array([" ".join(prose(random.Random(k), 30)) for k in range(40)] + ["", "x", None])
-    model = toxicity.Convolution().fit(texts, np.arange(43) % 2.0)
+    sample = learn.Sample(texts, np.arange(43) % 2.0, 0.3)
+    model = toxicity.Convolution().fit(sample)
     assert np.allclose(model.scores(texts), np.concatenate([model.scores(texts.slice(k, 1)) for k in range(43)]), atol=1e-5)
-    model = quality.PooledNetwork().fit(texts, np.arange(43) % 2.0)
+    model = quality.PooledNetwork().fit(sample)
     assert np.allclose(model.scores(texts), np.concatenate([model.scores(texts.slice(k, 1)) for k in range(43)]), atol=1e-5)
 
 
