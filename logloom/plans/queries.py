@@ -92,12 +92,13 @@ def search_filtered(spark, d):
 
 
 @query(
-    "SELECT count(*) AS hits, round(max(abs(score)), 4) AS top, round(max(abs(score)) - min(abs(score)), 4) AS spread FROM ("
+    "SELECT count(*) AS hits, round(max(abs(score)), 4) AS top, round(max(abs(score)) - min(abs(score)), 4) AS spread, "
+    "count(*) > 1 AND max(abs(score)) > 0 AND (max(abs(score)) - min(abs(score))) / max(abs(score)) < 0.05 AS flat FROM ("
     + _bm25(_TRI, [_SUB.format("ment", 4)], "", "WITH " + demo.SQL["ev"]) + ")"
 )
 def search_score_spread(spark, d):
     hits = _rounded(search.scored(demo.events(spark, d), search.compile_query("ment")))
-    return search.score_summary(hits).select("hits", F.round("top", 4).alias("top"), F.round("spread", 4).alias("spread"))
+    return search.score_summary(hits).select("hits", F.round("top", 4).alias("top"), F.round("spread", 4).alias("spread"), "flat")
 
 
 @query(q("ev", "SELECT session_id, seq FROM ev WHERE text ILIKE '%reh%'"))
@@ -105,9 +106,10 @@ def substring_truth(spark, d):
     return search.substring_truth(demo.events(spark, d), "reh").select("session_id", "seq")
 
 
-@query()
+@query(q("ev", """SELECT session_id, seq, CASE WHEN p > 49 THEN '…' ELSE '' END || substr(text, greatest(1, p - 48), least(48, p - 1)) || '«' || substr(text, p, 4) || '»' || substr(text, p + 4, 48)
+    || CASE WHEN length(text) > p + 51 THEN '…' ELSE '' END AS snippet FROM (SELECT *, instr(lower(text), 'tion') AS p FROM ev) WHERE p > 0"""))
 def search_snippets(spark, d):
-    hits = search.search(demo.events(spark, d), "tion", 20)
+    hits = search.substring_truth(demo.events(spark, d), "tion")
     return hits.select("session_id", "seq", search.snippet(F.col("text"), "tion").alias("snippet"))
 
 
@@ -151,6 +153,11 @@ for _key in sessions.SORT_KEYS:
         query(_list_sql(_key, _down), f"session_list_{_key}_{_name}")(_list(_key, _down))
 
 
+# text keys ascend where no direction is asked for, the others descend
+for _key, _down in (("project", False), ("size", True)):
+    query(_list_sql(_key, _down), f"session_list_{_key}_default")(lambda spark, d, key=_key: sessions.list_sessions(demo.sessions(spark, d), demo.projects(spark, d), key, limit=100))
+
+
 @query(q("pr se", """SELECT se.id, coalesce(cwd, dir_name) AS project, file_mtime FROM se JOIN pr ON pr.id = project_id
     WHERE file_tier = 'subagent' AND file_mtime >= 900000000 ORDER BY file_mtime DESC NULLS LAST, id DESC LIMIT 40"""))
 def session_list_tier_since(spark, d):
