@@ -8,8 +8,10 @@ is found is verified by the exact weighted similarity: sum of least over sum of
 each shingle, 0.75 or more.
 
 Words are lower-cased. Texts or items with one to four words have their whole sequence as the one
-shingle, so that such an item is found only in a text that is just it; null and empty ones match nothing. Repeated rows of either table add nothing to a pair; rows
-without an id are ignored. Columns other than the ids and texts are ignored.
+shingle, so that such an item is found only in a text that is just it; null and empty ones match nothing,
+very long ones are read whole. Repeated rows of either table add nothing to a pair; rows without an id are
+ignored (and stay, where leaks are taken out). Columns other than the ids and texts are ignored. An empty
+table of either kind gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import barrier, materialise, read
+from .common import barrier, materialise, read, unused
 
 SHINGLE = 5
 PERCENT = 75
@@ -73,7 +75,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document that holds an item."""
     items = materialise(shingled(benchmark, "item_id").dropDuplicates(["item_id", "shs"])).where("n > 0")
     at = items.select("item_id", "n", F.posexplode_outer("shs").alias("offset", "sh"))
-    texts = shingled(docs, "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = shingled(own, "doc_id")
 
     # documents' shingles that an item has, and the windows they suggest
     hits = texts.select("doc_id", F.col("n").alias("words"), F.posexplode_outer("shs").alias("pos", "sh")).join(_small(at.select("sh").distinct()), "sh")
@@ -84,8 +87,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     windows = materialise(suggested.distinct())
     wanted = _small(windows.select("doc_id").distinct())
+    # only the documents with windows are shingled again
     laid = (
-        texts.join(wanted, "doc_id", "left_semi")
+        shingled(own.join(wanted, "doc_id", "left_semi"), "doc_id")
         .join(windows, "doc_id")
         .select("doc_id", "start", "size", F.expr(f"slice(shs, start + 1, greatest(least(size, n) - {SHINGLE - 1}, 1))").alias("shs"))
         .select("*", F.xxhash64("shs", F.lit(1)).alias("u"), F.xxhash64("shs", F.lit(2)).alias("v"))
@@ -94,10 +98,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # equal windows are fingerprinted and compared once
     unique = materialise(laid.groupBy("size", "u", "v").agg(F.first("shs").alias("shs")))
     prints = fingerprints(unique, ["size", "u", "v"])
-    own = fingerprints(items.select("item_id", F.col("n").alias("size"), F.xxhash64("shs").alias("i"), "shs"), ["item_id", "size", "i"])
+    of_items = fingerprints(items.select("item_id", F.col("n").alias("size"), F.xxhash64("shs").alias("i"), "shs"), ["item_id", "size", "i"])
     near = (
         _blocks(prints)
-        .join(_small(_blocks(own).withColumnRenamed("fp", "item_fp")), ["size", "block", "value"])
+        .join(_small(_blocks(of_items).withColumnRenamed("fp", "item_fp")), ["size", "block", "value"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         .select("size", "u", "v", "item_id", "i")
         .distinct()
@@ -120,8 +124,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    name = unused(docs, "leaking")
+    bad = _small(materialise(leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()))
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
