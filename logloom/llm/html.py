@@ -5,8 +5,11 @@ and roles above them. The field has two labels, article and rest; its features a
 what the text looks like. It is trained in numpy on labelled pages (``labelled_pages`` makes them: many
 layouts, any of whose hints may be missing) and decoded by Viterbi, page by page, on the executors.
 
-Null and empty pages give an empty text. Pages repeat freely; other columns are left out. Broken markup
-(unclosed or stray tags, open quotes, raw "<") is read the way browsers do as far as text goes.
+Null and empty pages give an empty text, very long ones are read whole, an empty table gives an empty
+result. Pages repeat freely, with or without an id; other columns are left out. Broken markup (unclosed or
+stray tags, open quotes, raw "<", elements nested however deep) is read the way browsers do as far as text
+goes. Text that a browser does not show is left out: of scripts, styles, templates, controls, players, and of
+elements that are hidden by an attribute.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,19 +35,18 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:\b(class|id|role|aria-label|itemprop)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"[\s\x00]+")
-HIDDEN = re.compile(r"display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-SKIPPED = frozenset("head noscript template select button svg canvas object audio video datalist math".split())
+SKIPPED = frozenset("head template select button svg audio video datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
-#: Elements open at a time; deeper ones don't nest.
-DEPTH = 512
 #: A start tag on the left ends an open element on the right, up to the nearest of the barriers.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -71,12 +74,23 @@ def tokens(tag: str, attributes: str) -> frozenset:
     return frozenset(out)
 
 
+@lru_cache(maxsize=4096)
+def is_hidden(attributes: str) -> bool:
+    """Whether a start tag's attributes keep its element from being shown: by name, whatever other values say."""
+    for name, a, b, c in ANY_ATTRIBUTE.findall(attributes):
+        value, name = a or b or c, name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def blocks(page: str, known: frozenset | None = None) -> list[Block]:
     """The leaf blocks in page order. known: the features worth carrying (None: all)."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     text: list[str] = []
     linked = skip = 0  # characters inside links; open elements whose text doesn't count
+    opened: Counter = Counter()  # open elements by tag, so that stray end tags cost nothing
     empty: frozenset = frozenset()
 
     def flush() -> None:
@@ -92,8 +106,9 @@ def blocks(page: str, known: frozenset | None = None) -> list[Block]:
     def pop(n: int) -> None:
         nonlocal skip
         while len(stack) > n:
-            if stack.pop()[0].startswith("!"):
-                skip -= 1
+            tag = stack.pop()[0]
+            skip -= tag[0] == "!"
+            opened[tag.lstrip("!")] -= 1
 
     pos, end = 0, len(page)
     while pos < end:
@@ -103,7 +118,7 @@ def blocks(page: str, known: frozenset | None = None) -> list[Block]:
             if not skip:
                 data = entities.unescape(data)
                 text.append(data)
-                if any(t == "a" for t, _ in reversed(stack)):
+                if opened["a"]:
                     linked += len(data.strip())
             continue
         tag = m[2] or m[5]
@@ -113,7 +128,7 @@ def blocks(page: str, known: frozenset | None = None) -> list[Block]:
         if closing:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0].lstrip("!") == tag:
                     pop(k)
                     break
@@ -143,10 +158,10 @@ def blocks(page: str, known: frozenset | None = None) -> list[Block]:
         if known is not None:
             own &= known
         above = stack[-1][1] | own if stack else own
-        hidden = tag in SKIPPED or attributes and HIDDEN.search(attributes)
-        if len(stack) < DEPTH:
-            skip += bool(hidden)
-            stack.append((f"!{tag}" if hidden else tag, above))
+        hidden = tag in SKIPPED or bool(attributes) and is_hidden(attributes)
+        skip += hidden
+        opened[tag] += 1
+        stack.append((f"!{tag}" if hidden else tag, above))
     flush()
     return out
 

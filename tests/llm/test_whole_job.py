@@ -1,9 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from logloom.llm import repeats, warc
+from logloom.llm import html, repeats, warc
 
 from .test_text_operators import brute_repeats
 
@@ -63,3 +63,47 @@ def test_audit_of_two_archives(spark, tmp_path):
     assert b["damaged"] == [] and b["added"] == key("new") and not b["intact"] and a["n_records"] == 580
     same = warc.audit(leaves[0], leaves[0]).collect()
     assert len(same) == 2 and all(r["intact"] and r["n_compared"] == 1 for r in same)
+
+
+def texts(page):
+    return [b.text for b in html.blocks(page)]
+
+
+def test_attributes_hide_by_name():
+    shown = ['<p data-title="The hidden cost">x</p>', '<p class="text hidden md:block">x</p>', "<p title='aria-hidden=true'>x</p>", '<p style="display:block">x</p>', "<p aria-hidden=false>x</p>"]
+    gone = ["<p hidden>x</p>", '<p HIDDEN="">x</p>', '<p class=a style="color:red; display: none">x</p>', "<p aria-hidden='true'>x</p>", "<div hidden><p>x</div>"]
+    assert [texts(p) for p in shown] == [["x"]] * len(shown) and [texts(p) for p in gone] == [[]] * len(gone)
+    assert texts("<p>a <math><mi>b</mi></math> <object>c</object> <canvas>d</canvas></p><noscript>e</noscript>") == ["a b c d", "e"]
+
+
+def test_elements_nest_however_deep():
+    page = "<div>" * 3000 + "deep<p>more" + "</div>" * 3000 + "<p>after</p>" + "</b></section>" * 3000 + "<p>end"
+    assert texts(page) == ["deep", "more", "after", "end"]
+    assert html.blocks("<div class=a>" * 2000 + "<p>x</p>" + "</div>" * 2000 + "<p>y</p>")[-1].above == {"t:p"}
+
+
+#: Pages written by hand, whose layouts the generator of the labelled pages does not make, and their articles.
+WRITTEN = [
+    ("""<html><body><table><tr><td colspan=2><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></td></tr><tr><td width=150><b>Sections</b><br><a href=/1>Politics</a><br><a href=/2>Sport</a></td>
+      <td><h2>Bridge reopens after repairs</h2><p>The old bridge was opened again on Monday, after eight months of work on its piers.</p><p>Engineers had found cracks in two of them last spring, and traffic was sent by way of the ferry.</p></td></tr>
+      <tr><td colspan=2>Copyright 1999 The Valley Paper. All rights reserved.</td></tr></table></body></html>""",
+     ["Bridge reopens after repairs", "The old bridge was opened again on Monday, after eight months of work on its piers.", "Engineers had found cracks in two of them last spring, and traffic was sent by way of the ferry."]),
+    ("""<!doctype html><html><head><title>x</title><style>p{}</style></head><body><header class="site-header"><nav><ul><li><a href=/a>Start</a><li><a href=/b>Archive</a></ul></nav></header><main><article class="post"><h1>How bread rises</h1>
+      <p>Yeast feeds on the sugar in flour and gives off gas. The dough holds the gas because kneading has made it elastic.</p><blockquote>Good bread needs time more than work.</blockquote><ul><li>Mix flour, water and salt, and let them rest for half an hour.</li><li>Fold the dough every hour until it is smooth.</li></ul>
+      <p>Bake it hot, and let it cool before you cut it.</p></article></main><aside class="sidebar"><h3>Popular posts</h3><ul><li><a href=/p>Ten soups</a></li></ul></aside><footer><p>Subscribe to our newsletter</p><p>&copy; 2021 Kitchen notes</p></footer></body></html>""",
+     ["How bread rises", "Yeast feeds on the sugar in flour and gives off gas. The dough holds the gas because kneading has made it elastic.", "Good bread needs time more than work.",
+      "Mix flour, water and salt, and let them rest for half an hour.", "Fold the dough every hour until it is smooth.", "Bake it hot, and let it cool before you cut it."]),
+    ("""<div id=page><div id=cookie-banner>We use cookies. <button>Accept</button></div><div id=nav><a href=1>One</a><a href=2>Two</a></div><div id=content><div class=entry><h1>A walk along the coast</h1><p>We left the harbour early, while the boats were still coming in, and followed the path over the cliffs.</p>
+      <p>By noon the wind had turned, and we could see the island clearly across the strait.</p></div><div id=comments><h3>2 comments</h3><div class=comment><p>Lovely photos, thanks!</p></div><div class=comment><p>I was there last year.</p></div></div></div><div id=footer>Privacy policy | Terms of use</div></div>""",
+     ["A walk along the coast", "We left the harbour early, while the boats were still coming in, and followed the path over the cliffs.", "By noon the wind had turned, and we could see the island clearly across the strait."]),
+]
+
+
+def test_pages_written_by_hand(spark):
+    """Words of the articles found, and words found that are of them."""
+    field = html.trained()
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([(k, "u", p) for k, (p, _) in enumerate(WRITTEN)], "page_id long, url string, html string"), field).collect()}
+    for k, (_, article) in enumerate(WRITTEN):
+        want, found = " ".join(article).split(), got[k].split()
+        both = sum((Counter(want) & Counter(found)).values())
+        assert both >= 0.9 * len(want) and both >= 0.85 * len(found), (k, got[k])
