@@ -5,8 +5,10 @@ rules are learned by sequential covering from the statistics of a bounded sample
 (``sample``): a rule grows by the threshold with the best gain until it holds no wanted text, is pruned
 on rows kept aside, and the rows it covers leave before the next rule is learned.
 
-Null texts count as texts without words and fail the base rules, as do empty ones. Repeated rows are
-judged each on its own. Without labels, or with one kind only, there are no rules and the base decides.
+Null texts count as texts without words and fail the base rules, as do empty ones; very long ones are counted
+whole (in a wider form beyond a million words). Repeated rows and rows without an id are judged each on its
+own. Without labels, or with one kind only, there are no rules and the base decides. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,6 +76,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What rules look at: ratios of the statistics (what, per what).
 FEATURES = {
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -209,15 +212,19 @@ def sample_rows(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[li
     return [(list(r["x"]), r["y"]) for r in rows]
 
 
+_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+
+
+def base_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts and base_failed."""
+    return with_statistics(docs).select("doc_id", *BASE, F.expr(_FAILED).alias("base_failed"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the number of the rule that rejects (0: none)."""
     rules = learn(sample_rows(docs, labels, sample))
     counted = with_statistics(docs).select("*", *(v.alias(f"__{k}") for k, v in features().items()))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), verdict(rules).alias("rule"),
-    ).select("*", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+    return counted.select("doc_id", *BASE, F.expr(_FAILED).alias("base_failed"), verdict(rules).alias("rule")).select("*", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
