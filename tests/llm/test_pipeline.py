@@ -74,3 +74,30 @@ def test_stages_match_brute_force(spark, tmp_path):
     expected = defaultdict(int, {i: len(enc.encode_ordinary(t)) + 1 for i, t in seen[3]})
     assert packed.groupby("doc_id").length.sum().to_dict() == expected
     assert packed.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
+
+
+def test_rows_without_id_and_ids_of_several_texts(spark, tmp_path):
+    rng = random.Random(3)
+    make = lambda n: [f"m{rng.randrange(9000)}" for _ in range(n)]
+    a, b, c, d = (" ".join(make(60)) for _ in range(4))
+    near = " ".join([*a.split(" ")[:-1], "edited"])
+    passage = " ".join(make(52))
+    one, two = (" ".join(make(40)) + " " + passage for _ in range(2))
+    rows = [(1, a), (1, b), (1, a), (None, c), (None, near), (None, d), (None, d), (7, ""), (7, ""), (8, None), (9, one), (9, two)]
+    kinds = "doc_id long, text string, other_id int, key int, cut int, score int, n_chars long"
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, len(t or "")) for i, t in rows], kinds).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    assert kept.dtypes == docs.dtypes
+    told = lambda frame: sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+    assert told(kept) == sorted([(1, a), (1, b), (None, c), (None, d), (7, ""), (7, ""), (8, None), (9, one), (9, two)], key=str)
+    cut = stages["suffix-array dedup"](spark, kept, str(tmp_path))
+    assert cut.dtypes == docs.dtypes
+    own = [t.split() for i, t in told(cut) if i == 9]  # the passage stays in one of the texts of that id
+    assert sorted(map(len, own)) == [40, 92] and len(told(cut)) == 9
+
+
+def test_empty_run(spark, tmp_path):
+    for name, kinds in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
