@@ -10,7 +10,7 @@ sets read and their exact overlap counted.
 A shingle's holders are never paired with each other wholesale. Each holder is compared with the two
 of its group for which the fewest rarer shingles come before this one: an original stands there, for
 its edited copies have rare shingles of their own first. What links is one component, and only holders
-outside of their group's main component are compared further, with four more of its members and then
+outside of their group's main component are compared further, with two more of its members and then
 with whatever sizes, places and bitmaps allow. So no link between components is lost, a large group of
 near copies costs a few comparisons a member, and groups that merely share text are told apart by
 bitmaps. Shingles with many holders are salted in every join.
