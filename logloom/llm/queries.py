@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from .common import UPPER, LOWER, read
 from .decontaminate import op6_decontamination
 from .html import op4_html_extraction
 from .jaccard import op7_jaccard_join
-from .lm import op2_lm_scoring
+from .lm import op2_lm_scoring, unigram_base
 from .packing import op10_best_fit_packing
 from .quality import op3_quality_classifier
 from .repeats import op1_suffix_dedup
-from .rules import op5_quality_rules
+from .rules import base_statistics, op5_quality_rules
 from .toxicity import op9_toxicity
 from .warc import op8_warc_fixity
 
@@ -24,6 +25,85 @@ QUERIES = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    # what SQL can tell of op2 and op5
+    "unigram_base": lambda spark, sf_dir: unigram_base(read(spark, sf_dir, "documents")),
+    "text_statistics": lambda spark, sf_dir: base_statistics(read(spark, sf_dir, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: Every run of 50 words that has occurred before, by document and place; those that overlap are one passage.
+_REPEATS = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1:pos + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM d WHERE len(w) >= 50)),
+c AS (SELECT doc_id, pos, lag(doc_id) OVER (PARTITION BY h ORDER BY doc_id, pos) AS src FROM g),
+f AS (SELECT doc_id, pos, src, CASE WHEN pos < lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM c WHERE src IS NOT NULL),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM f)
+SELECT doc_id, min(pos) AS start_word, max(pos) + 50 - min(pos) AS n_words, arg_min(src, pos) AS source_id FROM s GROUP BY doc_id, span
+"""
+
+#: All pairs by shared shingles, then the smallest id that links reach.
+_LINKS = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_FOLDED)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, least) AS (SELECT a, a FROM e UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT node, min(least) AS least FROM r GROUP BY 1) m ON m.node = d.doc_id
+"""
+
+#: Windows of an item's size laid by every shared shingle, compared exactly with multiplicities; the best of each pair.
+_LEAKS = rf"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+ds AS (SELECT doc_id, len(w) AS words, i, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i + 1:i + 5], ' ') END AS g
+    FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT item_id, len(w) AS n, i, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i + 1:i + 5], ' ') END AS g
+    FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM b WHERE len(w) > 0)),
+bc AS (SELECT item_id, n, g, count(*) AS c FROM bs GROUP BY 1, 2, 3),
+t AS (SELECT item_id, n, sum(c) AS total FROM bc GROUP BY 1, 2),
+h AS (SELECT DISTINCT doc_id, words, item_id, n, greatest(0, least(ds.i - bs.i, words - n)) AS start FROM ds JOIN bs USING (g)),
+w AS (SELECT h.doc_id, h.item_id, h.start, h.n, least(h.n, h.words) AS size, ds.g, count(*) AS c
+    FROM h JOIN ds ON ds.doc_id = h.doc_id AND ds.i >= h.start AND ds.i < h.start + greatest(least(h.n, h.words) - 4, 1) GROUP BY ALL),
+o AS (SELECT w.doc_id, w.item_id, w.start, w.n, sum(w.c) AS own, sum(least(w.c, coalesce(bc.c, 0))) AS common
+    FROM w LEFT JOIN bc ON bc.item_id = w.item_id AND bc.g = w.g GROUP BY ALL),
+x AS (SELECT doc_id, o.item_id, start, o.n, common / (own + total - common) AS similarity FROM o JOIN t ON t.item_id = o.item_id WHERE 100 * common >= 75 * (own + total - common))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, similarity FROM x
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+#: Words, lines and windows of three words.
+_STATISTICS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+r AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM r),
+k AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+"""
+
+#: DuckDB has no crc32, so here all texts are counted, none is held out.
+_UNIGRAMS = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_FOLDED)} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM x GROUP BY 1),
+t AS (SELECT (SELECT count(*) FROM x) + (SELECT count(*) FROM d) AS n, (SELECT count(*) FROM c) + 1 AS v, (SELECT count(*) FROM d) AS ends),
+s AS (SELECT doc_id, count(*) AS words, sum(log10(c + 1)) AS logs FROM x JOIN c USING (word) GROUP BY 1)
+SELECT d.doc_id, coalesce(words, 0) + 1 AS n_tokens, t.n AS train_tokens, coalesce(logs, 0) + log10(ends + 1) - (coalesce(words, 0) + 1) * log10(t.n + t.v + 1) AS base_score
+FROM d CROSS JOIN t LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": _REPEATS,
+    "op6_decontamination": _LEAKS,
+    "op7_jaccard_join": _LINKS,
+    "unigram_base": _UNIGRAMS,
+    "text_statistics": _STATISTICS,
+}
