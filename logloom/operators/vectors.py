@@ -105,8 +105,11 @@ def centred(vector: Column, mean: Column, renormalise: bool = True) -> Column:
 def _centred_rows(x: np.ndarray, mean: np.ndarray, renormalise: bool) -> np.ndarray:
     moved = x - mean
     if renormalise:
-        length = np.linalg.norm(moved, axis=1, keepdims=True)
-        moved = np.where(length <= TINY, x, moved / np.maximum(length, TINY))
+        length = np.sqrt(np.einsum("ij,ij->i", moved, moved))[:, None]
+        moved /= np.maximum(length, TINY)
+        tiny = length[:, 0] <= TINY
+        if tiny.any():
+            moved[tiny] = x[tiny]
     return moved
 
 
