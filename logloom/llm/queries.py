@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import UPPER, LOWER, read
 from .decontaminate import op6_decontamination
+from .fim import op11_fill_in_middle
 from .html import op4_html_extraction
 from .jaccard import op7_jaccard_join
 from .lm import op2_lm_scoring, unigram_base
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
     # what SQL can tell of op2 and op5
     "unigram_base": lambda spark, sf_dir: unigram_base(read(spark, sf_dir, "documents")),
     "text_statistics": lambda spark, sf_dir: base_statistics(read(spark, sf_dir, "documents")),
@@ -100,10 +102,23 @@ SELECT d.doc_id, coalesce(words, 0) + 1 AS n_tokens, t.n AS train_tokens, coales
 FROM d CROSS JOIN t LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
+#: Cuts by code points, drawn by the hash of the id.
+_MIDDLES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h FROM d),
+c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": _REPEATS,
     "op6_decontamination": _LEAKS,
     "op7_jaccard_join": _LINKS,
+    "op11_fill_in_middle": _MIDDLES,
     "unigram_base": _UNIGRAMS,
     "text_statistics": _STATISTICS,
 }
