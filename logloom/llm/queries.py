@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op12_chat_formatting
 from .common import UPPER, LOWER, read
 from .decontaminate import op6_decontamination
 from .fim import op11_fill_in_middle
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_chat_formatting": op12_chat_formatting,
     # what SQL can tell of op2 and op5
     "unigram_base": lambda spark, sf_dir: unigram_base(read(spark, sf_dir, "documents")),
     "text_statistics": lambda spark, sf_dir: base_statistics(read(spark, sf_dir, "documents")),
@@ -114,11 +116,23 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a EN
 FROM p
 """
 
+#: Turns in order, each with its mark, a blank, the escaped text and its end.
+_CHATS = r"""
+WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+    regexp_replace(text, '([\[<])(\\*)(/?(?:INST|SYS|ROLE)\]|/?s>)', '\1\\\2\3', 'g') AS inside, regexp_replace(role, '([\[<])(\\*)(/?(?:INST|SYS|ROLE)\]|/?s>)', '\1\\\2\3', 'g') AS other FROM a),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS lines, coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS learned,
+    3 + sum(CASE role WHEN 'user' THEN 6 WHEN 'assistant' THEN 7 WHEN 'system' THEN 5 ELSE 13 + length(other) END + 1 + length(inside) + 4) AS formatted_chars FROM e GROUP BY 1)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": _REPEATS,
     "op6_decontamination": _LEAKS,
     "op7_jaccard_join": _LINKS,
     "op11_fill_in_middle": _MIDDLES,
+    "op12_chat_formatting": _CHATS,
     "unigram_base": _UNIGRAMS,
     "text_statistics": _STATISTICS,
 }
