@@ -14,6 +14,7 @@ from .quality import op3_quality_classifier
 from .repeats import op1_suffix_dedup
 from .rules import base_statistics, op5_quality_rules
 from .toxicity import op9_toxicity
+from .trie import op13_prefix_trie
 from .warc import op8_warc_fixity
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_chat_formatting": op12_chat_formatting,
+    "op13_prefix_trie": op13_prefix_trie,
     # what SQL can tell of op2 and op5
     "unigram_base": lambda spark, sf_dir: unigram_base(read(spark, sf_dir, "documents")),
     "text_statistics": lambda spark, sf_dir: base_statistics(read(spark, sf_dir, "documents")),
@@ -127,12 +129,32 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
+#: Every node by the digests of its turns; what lies below a node by its descendants. crc32 is worked out bit by bit.
+_TRIE = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), text) AS i, coalesce(role, '') AS r, coalesce(text, '') AS x
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, xor(list_reduce(flatten([[ascii(z), 0, 0, 0, 0, 0, 0, 0] FOR z IN string_split(CAST(c AS VARCHAR), '')]),
+    lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384), 4294967295), 4294967295) % 6 AS h FROM t),
+w AS (SELECT ids.c, i, r, x FROM ids JOIN t ON t.c = ids.c - (ids.c % 100 + 100) % 100 AND t.i <= ids.h UNION ALL SELECT t.c, i, r, x FROM t JOIN ids ON ids.c = t.c AND t.i > ids.h),
+k AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, length(x) AS size, md5(length(r) || ':' || r || x) AS k FROM w),
+s AS (SELECT ids.c, coalesce(string_agg(k.k, '' ORDER BY d), '') AS path, count(d) AS n FROM ids LEFT JOIN k ON k.c = ids.c GROUP BY 1),
+m AS (SELECT s.c, n, d, substr(path, 1, 32 * d) AS p FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM s) s),
+a AS (SELECT m.d, p, min(m.c) AS conv_id, count(*) AS n_convs, max(coalesce(size, 0)) AS size, coalesce(string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) FILTER (m.n = m.d), '') AS ends
+    FROM m LEFT JOIN k ON k.c = m.c AND k.d = m.d GROUP BY 1, 2),
+o AS (SELECT d - 1 AS d, substr(p, 1, 32 * (d - 1)) AS p, count(*) AS n_children FROM a WHERE d > 0 GROUP BY 1, 2),
+e AS (SELECT a.*, coalesce(n_children, 0) AS n_children FROM a LEFT JOIN o USING (d, p)),
+b AS (SELECT up, substr(p, 1, 32 * up) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM e) GROUP BY 1, 2)
+SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, e.n_convs, CAST(e.n_children AS BIGINT) AS n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(e.ends) AS ends_sha256
+FROM e JOIN b ON b.up = e.d AND b.p = e.p LEFT JOIN a q ON q.d = e.d - 1 AND q.p = substr(e.p, 1, 32 * (e.d - 1))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": _REPEATS,
     "op6_decontamination": _LEAKS,
     "op7_jaccard_join": _LINKS,
     "op11_fill_in_middle": _MIDDLES,
     "op12_chat_formatting": _CHATS,
+    "op13_prefix_trie": _TRIE,
     "unigram_base": _UNIGRAMS,
     "text_statistics": _STATISTICS,
 }

@@ -1,0 +1,110 @@
+"""The trie against a brute-force one over all prefixes."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from logloom.llm import trie
+
+NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def brute(sequences):
+    """Rows NODE of {conv_id: [turn, ...]}, a turn being anything whose last element is its text."""
+    members = defaultdict(list)
+    for c, s in sequences.items():
+        for d in range(len(s) + 1):
+            members[tuple(s[:d])].append(c)
+    children = defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[q] for q in children[p]) or 1
+        saved[p] = sum(saved[q] for q in children[p]) + (len(members[p]) - 1) * (len(p[-1][-1]) if p else 0)
+    rows = []
+    for p, own in members.items():
+        ends = ",".join(str(c) for c in sorted(own) if len(sequences[c]) == len(p))
+        rows.append((min(own), len(p), min(members[p[:-1]]) if p else None, len(own), len(children[p]), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(map(repr, rows))
+
+
+def path_of(turns):
+    return b"".join(hashlib.md5(x.encode()).digest()[:12] + len(x).to_bytes(4, "big") for (x,) in turns)
+
+
+def split_trie(sequences, cuts, many):
+    """NODE rows by Patricia trees over parts of the sorted paths, joined as the plan joins them."""
+    items = sorted((path_of(s), c) for c, s in sequences.items())
+    rows, bounds = [], [0, *sorted(cuts), len(items)]
+    for pid, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        tree = trie.Patricia(True, many)
+        for path, c in items[a:b]:
+            tree.ends_at(path, c)
+        tree.open()
+        rows += [{**r, "pid": pid} for r in tree.take()]
+    left = sorted((r for r in rows if r["kind"] in ("open", "path")), key=lambda r: (r["pid"], r["nth"]))
+    joined = trie.Patricia(False, 1 << 60)
+    for r in left:
+        joined.join(r)
+    joined.close()
+    top = joined.take()
+    names = {(r["pid"], r["serial"]): r for r in top if r["kind"] == "name"}
+    owners = {k: (r["nth"], r["inner"]) for k, r in names.items()}
+    lows = {k: r["conv_id"] for k, r in names.items()} | {(r["pid"], r["serial"]): r["conv_id"] for r in rows if r["kind"] == "name"}
+    lists = defaultdict(list)
+    for r in sorted((r for r in rows if r["kind"] == "ids"), key=lambda r: (r["pid"], r["nth"])):
+        lists[owners.get((r["pid"], r["serial"]), (r["pid"], r["serial"]))].append(r["ids"])
+    out = []
+    for r in [r for r in rows + top if r["kind"] == "node"]:
+        parent = r.get("parent_conv_id")
+        if r.get("parent_serial") is not None:
+            parent = lows[r["pid"], r["parent_serial"]]
+        ends = r["ends"] or hashlib.sha256(",".join(lists[r["pid"], r["serial"]]).encode()).hexdigest()
+        for k, saved in enumerate(r["savings"].tolist()):
+            d = r["depth"] - k
+            out.append((r["conv_id"], d, parent if d == r["up"] + 1 else r["conv_id"], r["n_convs"], 1 if k else r["n_children"], r["n_leaves"], saved, trie.NO_ENDS if k else ends))
+    assert len(left) <= sum(2 * max(map(len, sequences.values())) + 5 for _ in bounds)
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_trees_of_parts_join_to_the_whole(seed):
+    rng = random.Random(seed)
+    letters = "ab" if seed % 3 else "abcdefghij"
+    sequences = {c: [(rng.choice(letters) * rng.randrange(1, 3),) for _ in range(rng.choice([0, 1, 2, 3, 9]))] for c in rng.sample(range(-50, 400), rng.randrange(1, 90))}
+    if seed % 2:
+        sequences |= {1000 + k: [("hot",)] * 4 for k in range(50)}
+        sequences |= {2000 + k: [("hot",)] * 2 + [(f"own{k}",)] for k in range(40)}
+    cuts = rng.choices(range(len(sequences) + 1), k=rng.choice([0, 1, 4, 12]))
+    assert split_trie(sequences, cuts, rng.choice([1, 2, 5, 1 << 14])) == brute(sequences)
+
+
+def rebuilt(rows):
+    own = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "")):
+        if c is not None:
+            own[c].append((role or "", text or ""))
+    out = {}
+    for c, s in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - c % 100, [])[:h] + s[h:]
+    return out
+
+
+def test_rebuilt_conversations_of_a_table(spark):
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["x", "é😀", None, "hello " * 3, ""])) for c in [*rng.sample(range(1000), 150), 0, 100, -3, -150] for t in range(rng.randrange(1, 7))]
+    rows += [(c, t, "user", f"same {t}") for c in range(5000, 5300) for t in range(8)]  # copies
+    rows += [(7, t, "user", f"long {t}") for t in range(2000)]
+    rows += [(None, 0, "user", "nobody"), (8, None, "user", "first"), (8, 0, "user", "b"), (9, 1, "a", "tie"), (9, 1, "b", "tie"), (10, 0, "user", "twice"), (10, 0, "user", "twice")]
+    frame = spark.createDataFrame([(*r, 1, b"p", "k") for r in rows], "conv_id long, turn long, role string, text string, block int, path binary, key string").repartition(7)
+    got = trie.prefix_trie(trie.rebuilt(frame))
+    assert tuple(sorted(got.columns)) == tuple(sorted(NODE))
+    got = got.select(*NODE).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute(rebuilt(rows))
+    assert trie.prefix_trie(trie.rebuilt(frame.where("false"))).count() == 0
