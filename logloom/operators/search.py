@@ -1,8 +1,8 @@
 """Ranked text search over events: substring and token matching, BM25, filters, snippets.
 
 One pass computes each phrase's occurrences; a one-row aggregate of it (rows, mean length, rows with
-each phrase) is joined back by a broadcast of that row. Nothing but the top rows is sorted. For repeated
-searches ``build_postings`` writes a term table bucketed by term, so a query reads its terms alone.
+each phrase) is joined back by a broadcast of that row. Nothing but the top rows is sorted. Where an index is
+kept, ``textindex`` answers the same searches from posting lists.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(f"({TOKEN})"), 1)
 
 
-def _tokens_of(phrase: str) -> list[str]:
+def tokens_of(phrase: str) -> list[str]:
     plain = phrase.translate(str.maketrans(ACCENTED, PLAIN)).lower()
     return re.findall(r"[^\W_]+", plain)
 
@@ -36,7 +36,7 @@ def _occurrences(query: TextQuery, phrase: str, last: bool, text: Column, toks:
     """How often a phrase stands in a row; overlapping ones count."""
     if query.engine == "substring":
         return F.regexp_count(F.lower(text), F.lit(f"(?={re.escape(phrase)})")).cast("double")
-    words = _tokens_of(phrase)
+    words = tokens_of(phrase)
     if not words:
         return F.lit(0.0)
     prefix = last and query.prefix
@@ -52,6 +52,15 @@ def _occurrences(query: TextQuery, phrase: str, last: bool, text: Column, toks:
     ).cast("double")
 
 
+def bm25(phrases: list[tuple[Column, Column]], rows: Column, length: Column, mean_length: Column) -> Column:
+    """The score of a row: phrases are (how often it stands here, rows that hold it); more negative is better."""
+    total = F.lit(0.0)
+    for f, df in phrases:
+        idf = F.greatest(F.lit(LEAST_IDF), F.ln((rows - df + 0.5) / (df + 0.5)))
+        total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean_length))
+    return -total
+
+
 def scored(events: DataFrame, query: TextQuery) -> DataFrame:
     """Matching rows of events and their score: BM25, more negative is better."""
     n = len(query.phrases)
@@ -69,14 +78,10 @@ def scored(events: DataFrame, query: TextQuery) -> DataFrame:
         F.avg("__d").alias("__avg"),
         *(F.count_if(F.col(f"__f{k}") > 0).cast("double").alias(f"__n{k}") for k in range(n)),
     )
-    total = F.lit(0.0)
-    for k in range(n):
-        f, df = F.col(f"__f{k}"), F.col(f"__n{k}")
-        idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("__n") - df + 0.5) / (df + 0.5)))
-        total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__d") / F.col("__avg")))
+    score = bm25([(F.col(f"__f{k}"), F.col(f"__n{k}")) for k in range(n)], F.col("__n"), F.col("__d"), F.col("__avg"))
     hit = reduce(lambda a, b: a & b, (F.col(f"__f{k}") > 0 for k in range(n)))
     # stats is one row
-    return counted.where(hit).join(F.broadcast(stats)).select(*events.columns, (-total).alias("score"))
+    return counted.where(hit).join(F.broadcast(stats)).select(*events.columns, score.alias("score"))
 
 
 def search(events: DataFrame, text: str, limit: int = 200, engine: str | None = None) -> DataFrame:
@@ -128,27 +133,3 @@ def score_summary(hits: DataFrame) -> DataFrame:
 
 def substring_truth(events: DataFrame, needle: str) -> DataFrame:
     return events.where(contains_ci(F.col("text"), needle))
-
-
-def build_postings(events: DataFrame, table: str, buckets: int = 64) -> None:
-    """Saves (term, session_id, seq, tf, d), bucketed and sorted by term, for search_postings."""
-    each = events.select("session_id", "seq", tokens(F.col("text")).alias("t")).select("session_id", "seq", F.size("t").alias("d"), F.explode("t").alias("term"))
-    counted = each.groupBy("term", "session_id", "seq").agg(F.count("*").alias("tf"), F.first("d").alias("d"))
-    counted.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
-
-
-def search_postings(postings: DataFrame, n_rows: int, mean_length: float, words: list[str], limit: int = 200) -> DataFrame:
-    """BM25 over postings for whole words, all of them to be found."""
-    own = postings.where(F.col("term").isin(*words))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))  # a row a word
-    idf = F.greatest(F.lit(LEAST_IDF), F.ln((n_rows - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / mean_length))
-    return (
-        own.join(F.broadcast(df), "term")
-        .groupBy("session_id", "seq")
-        .agg((-F.sum(part)).alias("score"), F.count("*").alias("found"))
-        .where(F.col("found") == len(set(words)))
-        .drop("found")
-        .orderBy("score", "session_id", "seq")
-        .limit(limit)
-    )

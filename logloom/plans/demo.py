@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.operators import textindex
+from logloom.sources.scratch import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +17,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
 
 
+_indexes: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, indexed) of all events: an index that is written once an application and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        own = events(spark, sf_dir)
+        _indexes[key] = written(textindex.postings(own, 1), "kind", "part"), written(textindex.indexed(own, 1))
+    return _indexes[key]
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("c_name")
     return table(spark, sf_dir, "customer").select(

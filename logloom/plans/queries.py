@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import scalar as S
-from logloom.operators import evaluate, graph, search, sequence, sessions, topics, vectors
+from logloom.operators import evaluate, graph, search, sequence, sessions, textindex, topics, vectors
 from logloom.plans import demo
 from logloom.plans.demo import with_tables as q
 
@@ -80,6 +80,31 @@ def search_token_and_prefix(spark, d):
     return _rounded(search.scored(demo.events(spark, d), search.compile_query("is to", "token"))).orderBy("score", "session_id", "seq").limit(50)
 
 
+def _from_index(spark, d, text: str, engine: str | None = None):
+    hits = textindex.scored(*demo.index(spark, d), search.compile_query(text, engine))
+    return _rounded(hits).orderBy("score", "session_id", "seq").limit(50)
+
+
+@query(_bm25(_TRI, [_SUB.format("tion", 4)], " ORDER BY 3, 1, 2 LIMIT 50", "WITH " + demo.SQL["ev"]))
+def index_search_substring(spark, d):
+    return _from_index(spark, d, "tion")
+
+
+@query(_bm25(_TRI, [_SUB.format("the", 3), _SUB.format("tion", 4)], " ORDER BY 3, 1, 2 LIMIT 50", "WITH " + demo.SQL["ev"]))
+def index_search_two_phrases(spark, d):
+    return _from_index(spark, d, "the tion")
+
+
+@query(_bm25(f"len({_TOK})", [f"len(list_filter({_TOK}, lambda t: starts_with(t, 'an')))"], " ORDER BY 3, 1, 2 LIMIT 50", "WITH " + demo.SQL["ev"]))
+def index_search_token_prefix(spark, d):
+    return _from_index(spark, d, "an")
+
+
+@query(_bm25(f"len({_TOK})", [f"len(list_filter({_TOK}, lambda t: t = 'is'))", f"len(list_filter({_TOK}, lambda t: starts_with(t, 'to')))"], " ORDER BY 3, 1, 2 LIMIT 50", "WITH " + demo.SQL["ev"]))
+def index_search_token_and_prefix(spark, d):
+    return _from_index(spark, d, "is to", "token")
+
+
 @query(
     "SELECT session_id, seq, score FROM (" + _bm25(_TRI, [_SUB.format("tion", 4)], "", "WITH " + demo.SQL["ev"]) + ") JOIN ("
     + q("pr se", "SELECT se.id FROM se JOIN pr ON pr.id = se.project_id WHERE (cwd ILIKE '%machinery%' OR dir_name ILIKE '%machinery%') AND started_at >= '1993-01-01' AND started_at <= '1999-12-31'")

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from logloom import schemas
+from logloom.operators import search, textindex
 from logloom.operators import vectors as vector_ops
+from logloom.operators.sessions import with_projects
 from logloom.sources import transcripts
 
 TABLES = {
@@ -27,6 +29,8 @@ TABLES = {
     "sessions": schemas.SESSIONS,
     "session_type_counts": schemas.SESSION_TYPE_COUNTS,
     "events": schemas.EVENTS,
+    "postings": schemas.POSTINGS,
+    "indexed": schemas.INDEXED,
     "import_runs": schemas.IMPORT_RUNS,
     "event_vectors": schemas.EVENT_VECTORS,
     "vector_runs": schemas.VECTOR_RUNS,
@@ -34,7 +38,11 @@ TABLES = {
     "topic_hits": schemas.TOPIC_HITS,
     "search_log": schemas.SEARCH_LOG,
 }
-PARTITIONS = {"event_vectors": ["vector_class", "model"], "events": ["bucket"], "session_type_counts": ["bucket"]}
+PARTITIONS = {"event_vectors": ["vector_class", "model"], "events": ["bucket"], "session_type_counts": ["bucket"], "postings": ["kind", "part"], "indexed": ["bucket"]}
+#: Parquet's own settings: postings are sorted by term, so small row groups leave little to read beside a term.
+OPTIONS = {"postings": {"parquet.block.size": 8 << 20}}
+#: The text index is compacted when it has grown by so many segments.
+COMPACT_EVERY = 32
 #: Buckets of sessions.
 BUCKETS = 256
 
@@ -96,7 +104,7 @@ class Store:
         typed = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields))
         if PARTITIONS.get(table) == ["bucket"]:
             typed = typed.withColumn("bucket", bucket(F.col("session_id")))
-        writer = typed.write.mode(mode)
+        writer = typed.write.mode(mode).options(**OPTIONS.get(table, {}))
         return writer.partitionBy(*PARTITIONS[table]) if table in PARTITIONS else writer
 
     def _overwrite_partitions(self, table: str, rows: DataFrame) -> None:
@@ -183,8 +191,47 @@ class Store:
         self.replace("projects", transcripts.upsert_projects(self.read("projects"), result.projects))
         for table, rows in (("session_type_counts", result.type_counts), ("events", result.events)):
             self.replace_sessions(table, rows, ids)
+        self._index(result.events.join(ids, "session_id", "left_semi"), ids)
         self.replace("sessions", sessions.select(*schemas.SESSIONS.names))
 
+    # --- the text index
+
+    def _index(self, events: DataFrame, ids: DataFrame) -> None:
+        """A segment with the postings of the sessions ids; what older segments have of them counts no more."""
+        segment = (self.read("indexed").agg(F.max("segment")).first()[0] or 0) + 1
+        self.append("postings", textindex.postings(events, segment))
+        self.replace_sessions("indexed", textindex.indexed(events, segment), ids)
+        if segment % COMPACT_EVERY == 0:
+            self.compact_index()
+
+    def compact_index(self) -> None:
+        """Writes the postings that count as the table's next version."""
+        live = self.read("indexed").select("session_id", "segment")
+        kept = self.read("postings").join(live, ["session_id", "segment"], "left_semi").select(*schemas.POSTINGS.names)
+        salt = F.pmod(F.xxhash64("session_id", "seq"), F.lit(textindex.SALTS))
+        self.replace("postings", kept.repartition("kind", "part", salt).sortWithinPartitions("kind", "part", "term", "session_id", "seq"))
+
+    def index_events(self) -> None:
+        """Indexes all stored events anew, as for a store that was made before there was an index."""
+        events = self.read("events")
+        self.replace("postings", textindex.postings(events, 1))
+        self.replace("indexed", textindex.indexed(events, 1))
+
+    def has_index(self) -> bool:
+        return not self.read("indexed").isEmpty()
+
+    def search(self, text: str, limit: int = 200, engine: str | None = None, **filters: str | None) -> DataFrame:
+        """search.search_filtered from the index: scores from postings, then the best events from their buckets."""
+        kept = with_projects(self.read("sessions"), self.read("projects")).where(search.session_filter(**filters))
+        named = kept.select(F.col("id").alias("session_id"), "session_uuid", "file_tier", "cwd", "dir_name", "started_at")
+        hits = textindex.scored(self.read("postings"), self.read("indexed"), search.compile_query(text, engine))
+        best = hits.join(named, "session_id").orderBy("score", "session_id", "seq").limit(limit).withColumn("bucket", bucket(F.col("session_id")))
+        path = f"{self.root}/events/v{self._versions('events')[-1]}"
+        rows = self._read("events", path)
+        # limit rows at most; their buckets alone are read
+        both = rows.join(F.broadcast(best) if limit <= textindex.BROADCAST_ROWS else best, ["bucket", "session_id", "seq"]).drop("bucket")
+        return both.select("session_id", *(c for c in schemas.EVENTS.names if c != "session_id"), "score", *(c for c in named.columns if c != "session_id")).orderBy("score", "session_id", "seq")
+
     # --- vectors
 
     def build_embeddings(self, models: list[str], now: str, run_id: int, provider=vector_ops.hashing_provider, name: str = "hash", dim: int = 64, words: int = 100, stride: int = 50, **work) -> dict[str, int]:

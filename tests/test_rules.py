@@ -200,24 +200,3 @@ def test_harness(spark):
     assert evaluate.mode_means(evaluate.harness(asked, events, stored, embed)).count() == 2
     terms = spark.createDataFrame([(0, "log")], "position long, term string")
     assert evaluate.written_queries(terms, ['{"mode":"labeled"}', "// no"])[1:] == ["// labelled by hand", '{"mode":"labeled"}']
-
-
-def test_postings_rank_as_scans_do(spark, tmp_path):
-    from logloom.operators import search
-
-    texts = ["append only log", "only append", "append append log", "nothing", "log of logs"] + [f"filler {k} append" if k % 3 else f"row {k}" for k in range(20)]
-    events = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "session_id long, seq long, role string, text string")
-    search.build_postings(events, "postings_of_a_test", 4)
-    try:
-        table = spark.table("postings_of_a_test")
-        length = sum(len(t.split()) for t in texts) / len(texts)
-        for words in (["append"], ["append", "log"]):
-            got = {r["session_id"]: r["score"] for r in search.search_postings(table, len(texts), length, words).collect()}
-            whole = {k: t.split() for k, t in enumerate(texts)}
-            want = {k for k, t in whole.items() if all(w in t for w in words)}
-            assert got.keys() == want
-            if len(words) == 1:  # as the scan ranks it, whose last word is a prefix
-                scan = {r["session_id"]: r["score"] for r in search.search(events, "append", engine="token").collect()}
-                assert all(abs(scan[k] - got[k]) < 1e-9 for k in got)
-    finally:
-        spark.sql("DROP TABLE postings_of_a_test")
