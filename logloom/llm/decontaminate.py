@@ -9,14 +9,15 @@ each shingle, 0.75 or more.
 
 Words are lower-cased. Texts or items with one to four words have their whole sequence as the one
 shingle, so that such an item is found only in a text that is just it; null and empty ones match nothing,
-very long ones are read whole. Repeated rows of either table add nothing to a pair; rows without an id are
-ignored (and stay, where leaks are taken out). Columns other than the ids and texts are ignored. An empty
-table of either kind gives an empty result.
+very long ones are read whole. Repeated rows of either table add nothing to a pair. Texts under one id are
+documents of their own; of a pair of ids the best window of any is told. Documents without an id are not told of,
+but they are screened where leaks are taken out; items without an id are ignored. Columns other than the ids and
+texts are ignored. An empty table of either kind gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import barrier, materialise, read, unused
@@ -29,10 +30,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shingled(table: DataFrame, key: str) -> DataFrame:
-    """(key, n, shs): words and hashes of the shingles in order. Outer explodes below: others bring
+    """(key, n, shs) of (key, text): words and hashes of the shingles in order. Outer explodes below: others bring
     filters on the array, which the optimizer would push down."""
-    words = table.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias(key),
+    words = table.select(
+        key,
         barrier(r"filter(split(lower(coalesce(CAST(text AS STRING), '')), '[\\x20\\x09-\\x0D]+'), x -> x != '')").alias("w"),
     )
     return words.select(
@@ -67,31 +68,43 @@ def _blocks(prints: DataFrame) -> DataFrame:
     return prints.select("*", F.explode(F.expr(f"array({parts})")).alias("x")).select(*prints.columns, "x.block", "x.value")
 
 
-#: Numbers the repeats of a shingle, so that sets of the results count multiplicities.
-_NUMBERED = "transform({c}, (x, i) -> xxhash64(x, size(filter(slice({c}, 1, i), y -> y = x))))"
+def _numbered(table: DataFrame, column: str, name: str) -> DataFrame:
+    """table with ``name``: the shingles of ``column``, repeats numbered, so that sets of the results count
+    multiplicities. Sorted, then run by run: linear but for the sort."""
+    sorted_ = table.select("*", barrier(f"array_sort({column})").alias("srt"))
+    runs = sorted_.select("*", barrier("filter(sequence(0, size(srt) - 1), i -> i = 0 OR srt[i] <> srt[i - 1])").alias("runs"))
+    each = "transform(sequence(0, IF(j + 1 < size(runs), runs[j + 1], size(srt)) - a - 1), r -> xxhash64(srt[a], r))"
+    return runs.select("*", barrier(f"flatten(transform(runs, (a, j) -> {each}))").alias(name)).drop("srt", "runs")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, similarity: the best window of each document that holds an item."""
-    items = materialise(shingled(benchmark, "item_id").dropDuplicates(["item_id", "shs"])).where("n > 0")
+def document(docs: DataFrame) -> Column:
+    """What a document is known by: its id and a hash of its text. A struct, whose null id is equal to a null id."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text"))
+
+
+def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(d, item_id, start, size, similarity): every window of a document (d, as ``document`` has it) that holds an item."""
+    read_items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = materialise(shingled(read_items, "item_id").dropDuplicates(["item_id", "shs"])).where("n > 0")
     at = items.select("item_id", "n", F.posexplode_outer("shs").alias("offset", "sh"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = shingled(own, "doc_id")
+    own = docs.select(document(docs).alias("d"), "text")
+    texts = shingled(own, "d")
 
     # documents' shingles that an item has, and the windows they suggest
-    hits = texts.select("doc_id", F.col("n").alias("words"), F.posexplode_outer("shs").alias("pos", "sh")).join(_small(at.select("sh").distinct()), "sh")
+    hits = texts.select("d", F.col("n").alias("words"), F.posexplode_outer("shs").alias("pos", "sh")).join(_small(at.select("sh").distinct()), "sh")
     suggested = hits.join(_small(at), "sh").select(
-        "doc_id",
+        "d",
         F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("words") - F.col("n"))).alias("start"),
         F.col("n").alias("size"),
     )
     windows = materialise(suggested.distinct())
-    wanted = _small(windows.select("doc_id").distinct())
+    wanted = _small(windows.select("d").distinct())
     # only the documents with windows are shingled again
     laid = (
-        shingled(own.join(wanted, "doc_id", "left_semi"), "doc_id")
-        .join(windows, "doc_id")
-        .select("doc_id", "start", "size", F.expr(f"slice(shs, start + 1, greatest(least(size, n) - {SHINGLE - 1}, 1))").alias("shs"))
+        shingled(own.join(wanted, "d", "left_semi"), "d")
+        .join(windows, "d")
+        .select("d", "start", "size", F.expr(f"slice(shs, start + 1, greatest(least(size, n) - {SHINGLE - 1}, 1))").alias("shs"))
         .select("*", F.xxhash64("shs", F.lit(1)).alias("u"), F.xxhash64("shs", F.lit(2)).alias("v"))
     )
     laid = materialise(laid)
@@ -109,15 +122,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sides = near.join(unique, ["size", "u", "v"]).join(
         _small(items.select("item_id", F.xxhash64("shs").alias("i"), F.col("shs").alias("item_shs"))), ["item_id", "i"]
     )
+    numbered = _numbered(_numbered(sides, "shs", "a"), "item_shs", "b")
     exact = (
-        sides.select("size", "u", "v", "item_id", F.expr(_NUMBERED.format(c="shs")).alias("a"), F.expr(_NUMBERED.format(c="item_shs")).alias("b"))
-        .select("size", "u", "v", "item_id", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+        numbered.select("size", "u", "v", "item_id", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
         .where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both")))
         .select("size", "u", "v", "item_id", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
     )
+    return laid.select("d", "start", "size", "u", "v").join(exact, ["size", "u", "v"]).select("d", "item_id", "start", "size", "similarity")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, similarity: the best window of each document that holds an item."""
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("s"), F.col("size").alias("z"))).alias("m")
-    found = laid.select("doc_id", "start", "size", "u", "v").join(exact, ["size", "u", "v"]).groupBy("doc_id", "item_id").agg(best)
-    return found.select(
+    named = found(docs, benchmark).where("d.doc_id IS NOT NULL").groupBy(F.col("d.doc_id").alias("doc_id"), "item_id").agg(best)
+    return named.select(
         "doc_id", "item_id", (-F.col("m.s")).cast("long").alias("start_word"), F.col("m.z").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity")
     )
 
@@ -125,8 +143,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item."""
     name = unused(docs, "leaking")
-    bad = _small(materialise(leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()))
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    bad = _small(materialise(found(docs, benchmark).select(F.col("d").alias(name)).distinct()))
+    return docs.join(bad, document(docs) == bad[name], "left_anti")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -65,18 +65,18 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT node, min(least) AS
 
 #: Windows of an item's size laid by every shared shingle, compared exactly with multiplicities; the best of each pair.
 _LEAKS = rf"""
-WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT DISTINCT doc_id, md5(text) AS t, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark WHERE item_id IS NOT NULL),
-ds AS (SELECT doc_id, len(w) AS words, i, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i + 1:i + 5], ' ') END AS g
+ds AS (SELECT doc_id, t, len(w) AS words, i, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i + 1:i + 5], ' ') END AS g
     FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
 bs AS (SELECT item_id, len(w) AS n, i, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i + 1:i + 5], ' ') END AS g
     FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM b WHERE len(w) > 0)),
 bc AS (SELECT item_id, n, g, count(*) AS c FROM bs GROUP BY 1, 2, 3),
 t AS (SELECT item_id, n, sum(c) AS total FROM bc GROUP BY 1, 2),
-h AS (SELECT DISTINCT doc_id, words, item_id, n, greatest(0, least(ds.i - bs.i, words - n)) AS start FROM ds JOIN bs USING (g)),
-w AS (SELECT h.doc_id, h.item_id, h.start, h.n, least(h.n, h.words) AS size, ds.g, count(*) AS c
-    FROM h JOIN ds ON ds.doc_id = h.doc_id AND ds.i >= h.start AND ds.i < h.start + greatest(least(h.n, h.words) - 4, 1) GROUP BY ALL),
-o AS (SELECT w.doc_id, w.item_id, w.start, w.n, sum(w.c) AS own, sum(least(w.c, coalesce(bc.c, 0))) AS common
+h AS (SELECT DISTINCT doc_id, t, words, item_id, n, greatest(0, least(ds.i - bs.i, words - n)) AS start FROM ds JOIN bs USING (g)),
+w AS (SELECT h.doc_id, h.t, h.item_id, h.start, h.n, least(h.n, h.words) AS size, ds.g, count(*) AS c
+    FROM h JOIN ds ON ds.doc_id = h.doc_id AND ds.t = h.t AND ds.i >= h.start AND ds.i < h.start + greatest(least(h.n, h.words) - 4, 1) GROUP BY ALL),
+o AS (SELECT w.doc_id, w.t, w.item_id, w.start, w.n, sum(w.c) AS own, sum(least(w.c, coalesce(bc.c, 0))) AS common
     FROM w LEFT JOIN bc ON bc.item_id = w.item_id AND bc.g = w.g GROUP BY ALL),
 x AS (SELECT doc_id, o.item_id, start, o.n, common / (own + total - common) AS similarity FROM o JOIN t ON t.item_id = o.item_id WHERE 100 * common >= 75 * (own + total - common))
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, similarity FROM x

@@ -6,7 +6,7 @@ rules are learned by sequential covering from the statistics of a bounded sample
 on rows kept aside, and the rows it covers leave before the next rule is learned.
 
 Null texts count as texts without words and fail the base rules, as do empty ones; very long ones are counted
-whole (in a wider form beyond a million words). Repeated rows and rows without an id are judged each on its
+whole, in the same way. Repeated rows and rows without an id are judged each on its
 own. Without labels, or with one kind only, there are no rules and the base decides. An empty table gives an
 empty result; other columns are ignored.
 """
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import barrier, read
 
 SAMPLE = 6000
-#: Positions that a packed window key can hold; texts with more words take the wider form.
-_PACKED = 1 << 20
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -32,33 +30,15 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"),
     ).select("doc_id", "t", barrier(r"filter(split(t, '[\\x20\\x09-\\x0D]+'), x -> x != '')").alias("w"))
-    # each window of three words: 44 bits of its hash and its position, in one number
+    # the windows of three words, by hash and position: equal ones stand side by side
     keys = words.select(
-        "*",
-        barrier(
-            f"""CASE WHEN size(w) BETWEEN 3 AND {_PACKED} THEN
-                sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {-_PACKED}L) | i)) END"""
-        ).alias("k"),
-        barrier(
-            f"""CASE WHEN size(w) > {_PACKED} THEN
-                sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS p))) END"""
-        ).alias("long_k"),
+        "*", barrier("CASE WHEN size(w) >= 3 THEN sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS p))) END").alias("k")
     )
     # windows that equal a neighbour in that order: their positions, in the text's order
-    same = "w[{a}] = w[{b}] AND w[{a} + 1] = w[{b} + 1] AND w[{a} + 2] = w[{b} + 2]"
-    packed = [same.format(a=f"int(x & {_PACKED - 1}L)", b=f"int(k[{j}] & {_PACKED - 1}L)") for j in ("j - 1", "j + 1")]
-    wide = [same.format(a="x.p", b=f"long_k[{j}].p") for j in ("j - 1", "j + 1")]
+    same = "k[{j}].h = x.h AND w[x.p] = w[k[{j}].p] AND w[x.p + 1] = w[k[{j}].p + 1] AND w[x.p + 2] = w[k[{j}].p + 2]"
+    equal = f"(j > 0 AND {same.format(j='j - 1')}) OR (j < size(k) - 1 AND {same.format(j='j + 1')})"
     found = keys.select(
-        "*",
-        barrier(
-            f"""CASE WHEN k IS NOT NULL THEN sort_array(transform(filter(k, (x, j) ->
-                  (j > 0 AND (k[j - 1] ^ x) BETWEEN 0 AND {_PACKED - 1} AND {packed[0]})
-                  OR (j < size(k) - 1 AND (k[j + 1] ^ x) BETWEEN 0 AND {_PACKED - 1} AND {packed[1]})),
-                  x -> int(x & {_PACKED - 1}L)))
-                WHEN long_k IS NOT NULL THEN sort_array(transform(filter(long_k, (x, j) ->
-                  (j > 0 AND long_k[j - 1].h = x.h AND {wide[0]}) OR (j < size(long_k) - 1 AND long_k[j + 1].h = x.h AND {wide[1]})), x -> x.p))
-                ELSE array() END"""
-        ).alias("p"),
+        "*", barrier(f"CASE WHEN k IS NULL THEN CAST(array() AS ARRAY<INT>) ELSE sort_array(transform(filter(k, (x, j) -> {equal}), x -> x.p)) END").alias("p")
     )
     lines = F.expr(r"filter(split(t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')")
     return found.select("doc_id", "t", "w", "p", lines.alias("lines")).select(

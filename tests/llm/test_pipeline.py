@@ -95,6 +95,15 @@ def test_rows_without_id_and_ids_of_several_texts(spark, tmp_path):
     assert cut.dtypes == docs.dtypes
     own = [t.split() for i, t in told(cut) if i == 9]  # the passage stays in one of the texts of that id
     assert sorted(map(len, own)) == [40, 92] and len(told(cut)) == 9
+    # leaks go by id and text: namesakes of a leaking text stay, and rows without an id are screened
+    leak, item = " ".join(make(30)), make(20)
+    leak += " " + " ".join(item) + " " + " ".join(make(30))
+    spark.createDataFrame([(1, " ".join(item)), (None, a)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, leak), (1, b), (None, leak), (None, c), (2, b), (3, None), (None, None), (4, leak), (4, leak)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, len(t or "")) for i, t in rows], kinds).repartition(3)
+    clean = stages["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert clean.dtypes == docs.dtypes
+    assert told(clean) == sorted([(1, b), (None, c), (2, b), (3, None), (None, None)], key=str)
 
 
 def test_empty_run(spark, tmp_path):

@@ -218,7 +218,7 @@ def test_leaks(spark, empty):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
     assert got == expected
     kept = decontaminate.without_leaks(docs, bench)
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in expected} and kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()} == {i for i, _ in rows if i is not None} - {i for i, _ in expected} and kept.columns == docs.columns
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
@@ -240,9 +240,7 @@ def base_counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(held)
 
 
-@pytest.mark.parametrize("packed", [1 << 20, 64])
-def test_statistics(spark, corpus, monkeypatch, packed):
-    monkeypatch.setattr(rules, "_PACKED", packed)
+def test_statistics(spark, corpus):
     rows = corpus[0] + [(200, "a b c\na b c\n\na b c #$"), (201, "x x x x x"), (202, "p q r s p q r t q r s"), (203, "\n".join(["same line"] * 40))]
     frame = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, w long")
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rules.with_statistics(frame).collect())
