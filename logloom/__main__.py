@@ -42,11 +42,7 @@ VERBS = {
 
 def _fleet(spark: SparkSession, root: str, store: Store, now: int, window: int):
     found = transcripts.rollout_files(spark, root)
-    paths = [r["file_path"] for r in sessions.recent(found, now, window).select("file_path").limit(transcripts.READ_FILES).collect()]
-    if paths:
-        rollouts = found.join(transcripts.rollout_headers(transcripts.parse_rollouts(spark, paths)), "file_path")
-    else:
-        rollouts = found.where("false").select("*", *(F.lit(None).cast("string").alias(c) for c in ("session_uuid", "cwd", "nickname", "agent_role", "parent_uuid", "file_tier")))
+    rollouts = found.join(transcripts.probe_headers(sessions.recent(found, now, window)), "file_path")
     return live.fleet(transcripts.discover_files(spark, root), rollouts, store.read("projects"), now, window)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions.blocks import block_array, extract_text, field, first_line, graph_target, tool_calls
 from logloom.operators.sequence import recurring_targets, spine_edges
-from logloom.sources.lines import located_lines
+from logloom.sources import ranges
+from logloom.sources.lines import as_object, located_lines
 
 
 #: Bytes of a file that a graph is made of, from its end.
@@ -16,18 +17,23 @@ READ_CAP = 8 << 20
 
 def graph_lines(spark: SparkSession, paths: list[str] | str, cap: int = READ_CAP) -> DataFrame:
     """The lines that a session's graph is made of, a row a beat (a user's line with text: label) or tool call
-    (call, tool, target), of each file's last ``cap`` bytes; of the whole file where no line begins in them.
-    session_id is the file's path, seq the line's byte offset, truncated whether the file has lines before."""
-    lines = located_lines(spark, paths)
-    file = Window.partitionBy("session_id")
-    start = F.when(F.col("size") > cap, F.col("size") - cap).otherwise(0)
-    some = F.max(F.when(F.col("seq") >= start, 1).otherwise(0)).over(file)
-    kept = lines.select("*", (some == 1).alias("some"), start.alias("start")).where("NOT some OR seq >= start")
+    (call, tool, target), of each file's last ``cap`` bytes; of its first where no line begins in those. Nothing else
+    is read, where the paths allow it. session_id is the file's path, seq the line's byte offset, truncated whether the
+    file has lines before."""
+    files = ranges.listed(spark, paths)
+    if all(map(ranges.reachable, [paths] if isinstance(paths, str) else paths)):
+        kept = ranges.tails(files, cap).select(F.col("file_path").alias("session_id"), F.col("offset").alias("seq"), "truncated", as_object().alias("v"))
+    else:
+        lines, file = located_lines(spark, paths), Window.partitionBy("session_id")
+        start = F.greatest(F.col("size") - cap, F.lit(0))
+        some = F.max(F.when(F.col("seq") >= start, 1).otherwise(0)).over(file) == 1
+        placed = lines.select("*", some.alias("some"), start.alias("start")).where("seq >= start OR (NOT some AND seq < {0})".format(cap))
+        kept = placed.select("session_id", "seq", (F.col("some") & (F.col("start") > 0)).alias("truncated"), "v")
     kind, v = field(F.col("v"), "$.type"), F.col("v")
     said = F.when(kind == "user", extract_text(v))
     label = F.when(said != "", F.substring(F.coalesce(F.nullif(first_line(said), F.lit("")), said), 1, 64))
     calls = F.when(label.isNull(), tool_calls(block_array(v)))
-    rows = kept.where(kind.isNotNull()).select("session_id", "seq", (F.col("some") & (F.col("start") > 0)).alias("truncated"), label.alias("label"), F.posexplode_outer(calls).alias("call", "c"))
+    rows = kept.where(kind.isNotNull()).select("session_id", "seq", "truncated", label.alias("label"), F.posexplode_outer(calls).alias("call", "c"))
     found = rows.where("label IS NOT NULL OR c IS NOT NULL")
     tool = F.when(F.col("c").isNotNull(), F.coalesce("c.name", F.lit("tool")))
     return found.select("session_id", "seq", "truncated", "label", "call", tool.alias("tool"), F.nullif(graph_target(F.col("c.input")), F.lit("")).alias("target"))

@@ -11,13 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.blocks import extract_text, field
 from logloom.functions.scalar import CONVERSATIONAL, diff_state, uuid_of_rollout
 from logloom.operators.sessions import link_parents, link_rollout_parents
-from logloom.sources.lines import parsed_lines
+from logloom.sources import ranges
+from logloom.sources.lines import as_object, parsed_lines, running
 
 #: Paths of one read: their list is held by the driver, as is that of any directory that Spark reads.
 READ_FILES = 5000
@@ -32,11 +33,16 @@ def _listing(spark: SparkSession, root: str, pattern: str, modified_after: str |
     )
 
 
+def _resolved(spark: SparkSession, root: str) -> str:
+    """The root as a listing spells it, without a last slash."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def discover_files(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """file_path, file_mtime, file_size, dir_name, file_tier, session_uuid, agent_id, workflow_run_id of every
     transcript below root; other depths and workflow journals are left out, and so are files without a byte yet."""
-    rel = F.concat(F.lit("/"), F.element_at(F.split(F.col("file_path"), f"{root.rstrip('/').split('/')[-1]}/", 2), -1))
-    parts = F.split(rel, "/")
+    parts = F.split(F.substring(F.col("file_path"), len(_resolved(spark, root)) + 1, 1 << 30), "/")
     depth = F.size(parts) - 1
     is_flow = (depth == 6) & (parts[3] == "subagents") & (parts[4] == "workflows") & parts[5].startswith("wf_") & (parts[6] != "journal.jsonl")
     tier = F.when(depth == 2, "session").when((depth == 4) & (parts[3] == "subagents"), "subagent").when(is_flow, "workflow_agent")
@@ -53,8 +59,7 @@ def discover_files(spark: SparkSession, root: str, modified_after: str | None =
 def parse_sessions(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """A row a non-blank line: file_path, seq (blank lines don't count), line_type, ts, cwd, role, text; line_type is
     null for lines that are no JSON object."""
-    w = Window.partitionBy("file_path").orderBy("pos")
-    lines = parsed_lines(spark, paths).where("trim(raw) <> ''").withColumn("seq", F.row_number().over(w).cast("long") - 1)
+    lines = parsed_lines(spark, paths).where("trim(raw) <> ''").withColumn("seq", F.col("line").cast("long"))
     kind = field(F.col("v"), "$.type")
     talk = kind.isin(*CONVERSATIONAL)
     return lines.select(
@@ -86,19 +91,27 @@ def session_summaries(lines: DataFrame) -> DataFrame:
     )
 
 
-def first_cwd(spark: SparkSession, paths: list[str] | str, lines: int = 4) -> DataFrame:
-    """The working folder that one of a file's first lines names."""
-    head = parsed_lines(spark, paths).where(F.col("pos") < lines)
+#: How far into a file its working folder and its header are looked for.
+CWD_BYTES, CWD_LINES = 64 << 10, 4
+HEADER_BYTES, HEADER_LINES = 128 << 10, 8
+
+
+def _first_lines(files: DataFrame, most: int, lines: int) -> DataFrame:
+    """(file_path, pos, v) of the files' first lines that are JSON objects, read from their first bytes alone."""
+    return ranges.heads(files, most, lines).select("file_path", "pos", as_object().alias("v")).where("v IS NOT NULL")
+
+
+def first_cwd(files: DataFrame) -> DataFrame:
+    """(file_path, cwd): the working folder that one of the first lines of files (file_path) names."""
     cwd = F.nullif(field(F.col("v"), "$.cwd"), F.lit(""))
-    return head.select("file_path", "pos", cwd.alias("cwd")).where("cwd IS NOT NULL").groupBy("file_path").agg(F.min_by("cwd", "pos").alias("cwd"))
+    found = _first_lines(files, CWD_BYTES, CWD_LINES).select("file_path", "pos", cwd.alias("cwd")).where("cwd IS NOT NULL")
+    return found.groupBy("file_path").agg(F.min_by("cwd", "pos").alias("cwd"))
 
 
-def probe_cwd(spark: SparkSession, scan: DataFrame) -> DataFrame:
-    """project_scan's rows and the folder that each one's sample file names. One file a project is read."""
-    paths = [r["sample_path"] for r in scan.select("sample_path").limit(READ_FILES).collect()]
-    if not paths:
-        return scan.withColumn("cwd", F.lit(None).cast("string"))
-    return scan.join(first_cwd(spark, paths).withColumnRenamed("file_path", "sample_path"), "sample_path", "left")
+def probe_cwd(scan: DataFrame) -> DataFrame:
+    """project_scan's rows and the folder that each one's sample file names."""
+    probed = first_cwd(scan.select(F.col("sample_path").alias("file_path")))
+    return scan.join(probed.withColumnRenamed("file_path", "sample_path"), "sample_path", "left")
 
 
 # --- rollout files: another product's format ---------------------------------------------------------------
@@ -117,6 +130,14 @@ def _header(v: Column) -> Column:
     )
 
 
+def probe_headers(files: DataFrame) -> DataFrame:
+    """rollout_headers of files (file_path), of which the first bytes alone are read."""
+    meta = F.when(field(F.col("v"), "$.type") == "session_meta", _header(F.col("v")))
+    found = _first_lines(files, HEADER_BYTES, HEADER_LINES).select("file_path", "pos", meta.alias("header")).where("header IS NOT NULL")
+    empty = files.select("file_path", F.lit(HEADER_LINES).cast("long").alias("pos"), F.lit(None).cast(found.schema["header"].dataType).alias("header"))
+    return rollout_headers(found.unionByName(empty))
+
+
 def rollout_headers(lines: DataFrame) -> DataFrame:
     """Of the first session_meta among a file's first lines (parse_rollouts): uuid (else from the name), cwd, parent, file_tier."""
     first = lines.groupBy("file_path").agg(F.min_by("header", F.when(F.col("header").isNotNull(), F.col("pos"))).alias("h"))
@@ -155,15 +176,15 @@ def rollout_text(v: Column) -> Column:
 def parse_rollouts(spark: SparkSession, paths: list[str] | str, head: int = 8) -> DataFrame:
     """A row a line (blank ones too): file_path, pos, line_type, ts, role, text, header (of a session_meta among the
     first lines) and seq, which counts lines with text alone. An unfinished last line tells no stamp and is not malformed."""
-    w = Window.partitionBy("file_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = parsed_lines(spark, paths).select("*", rollout_text(F.col("v")).alias("t"))
+    lines = running(lines, seq=F.col("t").isNotNull().cast("long"))
     malformed = F.col("v").isNull() & (F.trim("raw") != "") & ~F.col("last")
     kind = F.concat_ws("/", F.coalesce(field(F.col("v"), "$.type"), F.lit("(no type)")), field(F.col("v"), "$.payload.type"))
     meta = (F.col("pos") < head) & (field(F.col("v"), "$.type") == "session_meta")
     return lines.select(
         "file_path", "pos", F.when(malformed, "(malformed)").when(F.col("v").isNotNull(), kind).alias("line_type"),
         F.when(~F.col("last"), field(F.col("v"), "$.timestamp")).alias("ts"), F.col("t.role").alias("role"), F.col("t.text").alias("text"),
-        F.when(F.col("t").isNotNull(), F.count("t").over(w) - 1).alias("seq"), F.when(meta, _header(F.col("v"))).alias("header"),
+        F.when(F.col("t").isNotNull(), F.col("seq")).alias("seq"), F.when(meta, _header(F.col("v"))).alias("header"),
     )
 
 

@@ -65,7 +65,7 @@ def test_lines_skip_blanks_and_keep_order(spark, corpus):
     assert (s["line_count"], s["event_count"], s["started_at"], s["ended_at"], s["cwd"], s["description"]) == (
         4, 2, "2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z", "/home/a", "hello  world",
     )
-    assert transcripts.first_cwd(spark, corpus + "/proj/u1.jsonl").first()["cwd"] == "/home/a"
+    assert transcripts.first_cwd(transcripts.discover_files(spark, corpus).where("session_uuid = 'u1' AND file_tier = 'session'")).first()["cwd"] == "/home/a"
 
 
 def test_import_is_incremental(spark, corpus, tmp_path):
