@@ -65,21 +65,18 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
             return reports.diff(own, transcripts.discover_files(spark, a.root), a.root)
         case "scan":
             files = transcripts.discover_files(spark, a.root)
-            return reports.scan(files.drop("file_size").join(sessions.manifest_diff(own, files), "file_path"))
+            return reports.scan(sessions.scan_states(own, files))
         case "list":
-            return reports.listing(own, projects, a.sort, None if a.dir is None else a.dir == "desc", a.tier, a.limit)
+            return reports.listing(own, projects, a.sort, None if a.dir is None else a.dir == "desc", a.tier, a.limit or 40)
         case "status":
-            return reports.status(own, projects, events)
+            return reports.status(own, projects)
         case "runs":
-            return reports.runs(store.runs("import_runs"), a.limit)
+            return reports.runs(store.runs("import_runs"), a.limit or 20)
         case "searches":
-            return reports.searches(store.read("search_log"), a.limit)
+            return reports.searches(store.read("search_log"), a.limit or 50)
         case "search":
-            engine, began = Engine.of(store), now.timestamp()
-            hits = search.search_filtered(events, sessions.with_projects(own, projects), a.query, a.limit)
-            log = engine.log_search(store.read("search_log"), a.query, "text", hits, began, stamp)
-            store.replace("search_log", log)
-            return reports.table(hits.select("session_uuid", "seq", "role", F.round("score", 3).alias("score"), one_line(F.col("text"), 100).alias("text")), a.limit)
+            hits = Engine.of(store).call("search_sessions", {"query": a.query, "limit": a.limit or 40})
+            return reports.table(hits.select("session_uuid", "seq", "role", F.round("score", 3).alias("score"), one_line(F.col("snippet"), 120).alias("snippet")), a.limit or 40)
         case "graph":
             lines = graph.graph_lines(spark, a.path)
             cut = not lines.where("truncated").limit(1).isEmpty()
@@ -101,7 +98,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
             return [*reports.table(rows.drop("query_id")), "", *reports.table(evaluate.mode_means(rows))]
         case "live":
             rows = _fleet(spark, a.root, store, int(now.timestamp()), a.window)
-            return reports.table(rows.select("heat", "seconds", "project", "session_uuid", "file_tier", "agent_id", utc_stamp(F.col("file_mtime")).alias("at")), a.limit)
+            return reports.table(rows.select("heat", "seconds", "project", "session_uuid", "file_tier", "agent_id", utc_stamp(F.col("file_mtime")).alias("at")), a.limit or 40)
         case "tail":
             lines = live.to_events(live.tail(spark, a.path, start=a.start))
             out: list[str] = []
@@ -118,7 +115,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("verb", choices=tuple(VERBS))
     p.add_argument("--index", required=True, help="the folder of the index, shared with the executors")
     for name, kind, default in (
-        ("root", str, "."), ("roots", str, "{}"), ("since", str, None), ("sort", str, "updated"), ("dir", str, None), ("tier", str, None), ("limit", int, 40), ("query", str, ""),
+        ("root", str, "."), ("roots", str, "{}"), ("since", str, None), ("sort", str, "updated"), ("dir", str, None), ("tier", str, None), ("limit", int, None), ("query", str, ""),
         ("path", str, ""), ("model", str, "hash/en/r1/64"), ("dump", str, None), ("window", int, 300), ("start", str, "begin"), ("checkpoint", str, None),
     ):
         p.add_argument(f"--{name}", type=kind, default=default)

@@ -80,17 +80,19 @@ def tier_status_stats(sessions: DataFrame) -> DataFrame:
     )
 
 
-def overview(sessions: DataFrame, projects: DataFrame, events: DataFrame) -> DataFrame:
-    """Everything a status line shows, in one row: one aggregate a table, joined as single rows."""
+def overview(sessions: DataFrame, projects: DataFrame) -> DataFrame:
+    """The whole index in one row: sessions, projects, imported and failed ones, bytes of the files it covers, their
+    events and lines, and when the first project was seen. One aggregate a table, joined as single rows."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     one = sessions.agg(
         F.count("*").alias("sessions"),
-        F.count_if(F.col("file_tier") == "session").alias("main_sessions"),
+        F.count_if(F.col("import_status") == "imported").alias("imported"),
         F.count_if(F.col("import_status") == "failed").alias("failed"),
-        F.count_if(F.col("import_status") == "stale").alias("stale"),
-        F.sum("file_size").alias("bytes"),
-        F.max("file_mtime").alias("newest"),
+        total("file_size").alias("bytes"),
+        total("event_count").alias("events"),
+        total("line_count").alias("lines"),
     )
-    return one.join(F.broadcast(projects.agg(F.count("*").alias("projects")))).join(F.broadcast(events.agg(F.count("*").alias("events"))))
+    return one.join(F.broadcast(projects.agg(F.count("*").alias("projects"), F.min("first_seen_at").alias("first_seen_at"))))
 
 
 def project_shape(sessions: DataFrame, projects: DataFrame, limit: int = 15) -> DataFrame:
@@ -142,6 +144,15 @@ def project_scan(files: DataFrame) -> DataFrame:
     )
 
 
+def scan_states(known: DataFrame, disk: DataFrame) -> DataFrame:
+    """disk (file_path, file_mtime, file_size, ...) with state as a scan tells it: new, changed where stamp or size differ,
+    else unchanged; whether an import failed makes no difference."""
+    k = known.select("file_path", F.col("file_mtime").alias("__m"), F.col("file_size").alias("__s"))
+    same = (F.col("__m") == F.col("file_mtime")) & (F.col("__s") == F.col("file_size"))
+    state = F.when(F.col("__m").isNull(), "new").when(same, "unchanged").otherwise("changed")
+    return disk.join(k, "file_path", "left").withColumn("state", state).drop("__m", "__s")
+
+
 def scan_totals(projects: DataFrame) -> DataFrame:
     return projects.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum(F.col("new") + F.col("changed")).alias("pending"))
 

@@ -20,6 +20,10 @@ from logloom.functions.scalar import vector_class
 from logloom.operators.sequence import chunks, keep_best
 
 TINY = 1e-6
+#: Chunks of one event that are embedded unless another number is asked for.
+MOST_CHUNKS = 32
+#: Languages that models are told apart by; any other text counts as the first's.
+LANGUAGES = ("en", "th", "zh-Hans", "ja")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -215,6 +219,16 @@ def unembedded_by_class(events: DataFrame, tables: dict[str, DataFrame], models:
     return out
 
 
+def family(models: list[str]) -> list[str]:
+    """The models and their siblings: names are provider/language/revision/dimension, and a text is embedded by that
+    of its language."""
+    out = list(models)
+    for parts in (m.split("/") for m in models):
+        if len(parts) == 4 and parts[1] in LANGUAGES:
+            out += ["/".join((parts[0], x, *parts[2:])) for x in LANGUAGES]
+    return list(dict.fromkeys(out))
+
+
 def unembedded(events: DataFrame, vectors: DataFrame, models: list[str], classes: tuple[str, ...] = ("chat",), limit: int | None = None, least: int = 24) -> DataFrame:
     """Events without a vector of the models. The limit comes before the least length, on purpose."""
     done = vectors.where(F.col("model").isin(*models)).select("session_id", "seq").distinct()
@@ -320,26 +334,29 @@ def build_embeddings(
     dim: int = 64,
     words: int = 100,
     stride: int = 50,
+    most: int = MOST_CHUNKS,
     **work,
 ) -> DataFrame:
-    """New vectors of the work list, by the provider in Arrow batches; to be appended by class and model."""
-    todo = unembedded(events, vectors, models, **work)
-    pieces = chunks(todo, words, stride, 32, script_model(F.col("text"), dim=dim).alias("model"), vector_class(F.col("role")).alias("vector_class"))
+    """New vectors of the work list, by the provider in Arrow batches; to be appended by class and model. Work is what
+    has a vector of none of the models' family. most: chunks of an event, the first ones (0: all). Where the provider
+    gives None for a text its vector is null."""
+    todo = unembedded(events, vectors, family(models), **work)
+    pieces = chunks(todo, words, stride, most, script_model(F.col("text"), dim=dim).alias("model"), vector_class(F.col("role")).alias("vector_class"))
     pieces = pieces.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(vector=[v.tolist() for v in provider(frame["text"])], dim=dim, text=frame["text"].str.slice(0, 400))
+            yield frame.assign(vector=[None if v is None else v.tolist() for v in provider(frame["text"])], dim=dim, text=frame["text"].str.slice(0, 400))
 
     return pieces.mapInPandas(
         run, "session_id long, seq long, model string, vector_class string, chunk_index int, text string, vector array<float>, dim int"
     )
 
 
-def dump_chunks(events: DataFrame, vectors: DataFrame, models: list[str], path: str, **work) -> None:
+def dump_chunks(events: DataFrame, vectors: DataFrame, models: list[str], path: str, most: int = MOST_CHUNKS, **work) -> None:
     """The work list's chunks as JSON lines for an engine elsewhere."""
-    todo = unembedded(events, vectors, models, **work)
-    chunks(todo).write.mode("overwrite").json(path)
+    todo = unembedded(events, vectors, family(models), **work)
+    chunks(todo, most=most).write.mode("overwrite").json(path)
 
 
 def load_vectors(spark, path: str, model: str, vector_class_name: str) -> tuple[DataFrame, DataFrame]:

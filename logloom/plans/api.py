@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from logloom.functions.query import parse_since
 from logloom.functions.scalar import rendered, truncated
 from logloom.operators import graph, search, sessions, topics
 from logloom.operators import vectors as vector_ops
+from logloom.sources import transcripts
+from logloom.sources.scratch import written
 from logloom.sources.store import Store
 
 COUNTS = ("files_scanned", "files_new", "files_changed", "files_skipped", "files_failed")
@@ -82,15 +85,17 @@ class Command:
 
 
 _LIMIT = Param("limit", int, default=20, least=1, most=5000)
+#: A session is named by its uuid's beginning, which may be all digits, or by its id.
+_ID = Param("id", int, least=-(1 << 63), most=(1 << 63) - 1)
 COMMANDS = {
     c.name: c
     for c in (
         Command("search_sessions", "Ranked text search.", (Param("query", required=True), Param("project"), Param("tier", choices=("session", "subagent", "workflow_agent")), Param("since"), Param("until"), _LIMIT)),
-        Command("read_session", "Lines of a session from a number on.", (Param("session", required=True), Param("from", int, default=0, least=0, most=1 << 40), Param("limit", int, default=30, least=1, most=5000))),
-        Command("read_context", "Lines around one line.", (Param("session", required=True), Param("seq", int, required=True, least=0, most=1 << 40), Param("before", int, default=4, least=0, most=1000), Param("after", int, default=6, least=0, most=1000))),
+        Command("read_session", "Lines of a session from a number on.", (Param("session"), _ID, Param("from", int, default=0, least=0, most=1 << 40), Param("limit", int, default=30, least=1, most=5000))),
+        Command("read_context", "Lines around one line.", (Param("session"), _ID, Param("seq", int, required=True, least=0, most=1 << 40), Param("before", int, default=4, least=0, most=1000), Param("after", int, default=6, least=0, most=1000))),
         Command("semantic_search", "Search by meaning.", (Param("query", required=True), _LIMIT)),
         Command("index_status", "What the index holds."),
-        Command("list_sessions", "Sessions in an order.", (Param("sort", default="updated", choices=tuple(sessions.SORT_KEYS)), Param("dir", choices=("asc", "desc")), Param("tier", choices=("session", "subagent", "workflow_agent")), Param("since", int, least=0, most=1 << 40), Param("limit", int, default=40, least=1, most=5000))),
+        Command("list_sessions", "Sessions in an order.", (Param("sort", default="updated", choices=tuple(sessions.SORT_KEYS)), Param("dir", choices=("asc", "desc")), Param("tier", choices=("session", "subagent", "workflow_agent")), Param("since"), Param("limit", int, default=40, least=1, most=5000))),
         Command("trace_topic", "Run and remember a query over sources.", (Param("name", required=True), Param("query", required=True), Param("engine", default="text", choices=("text", "vector")), Param("description"), Param("sources", list))),
         Command("dig_topic", "A topic's hits, its sources in turn.", (Param("name", required=True), Param("refresh", bool, default=True), _LIMIT)),
         Command("promote_topic", "Make a topic a tool of its own.", (Param("name", required=True),)),
@@ -137,28 +142,43 @@ class Engine:
         own = COMMANDS[name].validate(args or {})
         return getattr(self, name)(**{("start" if k == "from" else k): v for k, v in own.items()})
 
-    def _resolve(self, session: str) -> int:
-        """The id behind an id or a uuid's beginning; refuses none and several."""
-        if session.isdigit():
-            return int(session)
+    def _resolve(self, session: str | None, id: int | None) -> int:
+        """The id, or the one behind a uuid's beginning; refuses none and several."""
+        if (session is None) == (id is None):
+            raise Refused("either session, a uuid's beginning, or id is required")
+        if id is not None:
+            return id
         rows = sessions.resolve_distinct(sessions.by_uuid_prefix(self.sessions, session)).select("id").limit(2).collect()
         if len(rows) != 1:
             raise Refused(f"{'no' if not rows else 'more than one'} session begins with {session!r}")
         return rows[0]["id"]
 
     def search_sessions(self, query: str, limit: int = 20, engine: str | None = None, **filters: str | None) -> DataFrame:
-        return search.search_filtered(self.events, sessions.with_projects(self.sessions, self.projects), query, limit, engine, **filters)
-
-    def read_session(self, session: str, start: int = 0, limit: int = 30) -> DataFrame:
+        """The hits, with a snippet each; from the index where one is kept. A store's log gets a row about the search."""
+        began = time.time()
+        if self.store is not None and self.store.has_index():
+            hits = self.store.search(query, limit, engine, **filters)
+        else:
+            hits = search.search_filtered(self.events, sessions.with_projects(self.sessions, self.projects), query, limit, engine, **filters)
+        phrases = search.compile_query(query, engine).phrases
+        shown = hits.withColumn("snippet", F.coalesce(search.snippet(F.col("text"), phrases[0]), F.substring("text", 1, 96)) if phrases else F.lit(None).cast("string"))
+        if self.store is not None:
+            shown = shown.persist()  # limit rows: counted for the log, then given out
+            row = search.score_summary(shown).first()
+            stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+            self.store.log_search(int(began * 1000), stamp, query, "text", row["hits"], int((time.time() - began) * 1000), row["top"], row["spread"])
+        return shown
+
+    def read_session(self, session: str | None = None, id: int | None = None, start: int = 0, limit: int = 30) -> DataFrame:
         """The lines, rendered, and whether more follow: the one line beyond the page tells."""
-        own = self._resolve(session)
+        own = self._resolve(session, id)
         page = sessions.read_page(self._events_of(own), own, start, limit + 1)
         more = F.count("*").over(Window.partitionBy(F.lit(0))) > limit  # a page of rows
         numbered = page.select("*", more.alias("more"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")).alias("n"))
         return _rendered(numbered.where(F.col("n") <= limit).drop("n"))
 
-    def read_context(self, session: str, seq: int, before: int = 4, after: int = 6) -> DataFrame:
-        own = self._resolve(session)
+    def read_context(self, seq: int, session: str | None = None, id: int | None = None, before: int = 4, after: int = 6) -> DataFrame:
+        own = self._resolve(session, id)
         return _rendered(sessions.read_context(self._events_of(own), own, seq, before, after))
 
     def _events_of(self, session: int) -> DataFrame:
@@ -185,27 +205,35 @@ class Engine:
         named = self.roots if corpus == "all" else {k: v for k, v in self.roots.items() if k == corpus}
         if not named:
             raise Refused(f"unknown corpus {corpus!r}; known: {', '.join(sorted(self.roots)) or 'none'}")
-        now = datetime.now(timezone.utc)
-        cutoff = parse_since(since, now) if since else None
-        if since and since != "all" and cutoff is None:
-            raise Refused(f"{since!r} is no window of time")
+        now, cutoff = datetime.now(timezone.utc), self._cutoff(since)
         counts = self.store.sync(named, now.strftime("%Y-%m-%d %H:%M:%S"), int(now.timestamp() * 1000), since=cutoff, force=force)
         self.sessions, self.projects, self.events = (self.store.read(t) for t in ("sessions", "projects", "events"))
         return self.spark.createDataFrame([(k, *(v[c] for c in COUNTS)) for k, v in sorted(counts.items())], f"corpus string, {', '.join(f'{c} long' for c in COUNTS)}")
 
     def index_status(self) -> DataFrame:
-        return sessions.overview(self.sessions, self.projects, self.events)
-
-    def list_sessions(self, sort: str = "updated", dir: str | None = None, tier: str | None = None, since: int | None = None, limit: int = 40) -> DataFrame:
-        return sessions.list_sessions(self.sessions, self.projects, sort, None if dir is None else dir == "desc", tier, since, limit)
-
-    def log_search(self, log: DataFrame, query: str, engine: str, hits: DataFrame, started: float, stamp: str) -> DataFrame:
-        """log with a row about a search."""
-        row = search.score_summary(hits).first()
-        fresh = self.spark.createDataFrame(
-            [(int(started * 1000), stamp, query, engine, None, row["hits"], int((time.time() - started) * 1000), row["top"], row["spread"])], log.schema
-        )
-        return log.unionByName(fresh)
+        """The overview, how many chat events are embedded, when the last import ended, what the roots hold that is not
+        indexed, and files and bytes by tier. One row."""
+        one = sessions.overview(self.sessions, self.projects)
+        embedded = self.vectors if self.vectors is not None else self.spark.createDataFrame([], "session_id long, seq long")
+        one = one.join(F.broadcast(vector_ops.chat_coverage(self.events, embedded).select(F.col("events").alias("chat_events"), F.col("embedded").alias("embedded_events"))))
+        if self.store is not None:
+            one = one.join(F.broadcast(self.store.read("import_runs").agg(F.max("finished_at").alias("last_import"))))
+            pending = [sessions.scan_states(self.sessions, transcripts.discover_files(self.spark, root)).select("state") for root in self.roots.values()]
+            if pending:
+                found = reduce(DataFrame.unionByName, pending)
+                one = one.join(F.broadcast(found.agg(*(F.count_if(F.col("state") == s).alias(f"pending_{s}") for s in ("new", "changed")))))
+        tiers = sessions.count_and_size(self.sessions, "file_tier")  # a row a tier
+        return one.join(F.broadcast(tiers.agg(F.sort_array(F.collect_list(F.struct("file_tier", "files", "bytes"))).alias("tiers"))))
+
+    def list_sessions(self, sort: str = "updated", dir: str | None = None, tier: str | None = None, since: str | None = None, limit: int = 40) -> DataFrame:
+        return sessions.list_sessions(self.sessions, self.projects, sort, None if dir is None else dir == "desc", tier, self._cutoff(since), limit)
+
+    def _cutoff(self, since: str | None) -> int | None:
+        """Epoch seconds of a window's begin; refuses a text that is none."""
+        cutoff = parse_since(since, datetime.now(timezone.utc)) if since else None
+        if since and since.strip().lower() != "all" and cutoff is None:
+            raise Refused(f"{since!r} is no window of time: all, today, 90m, 12h, 7d or yyyy-MM-dd")
+        return cutoff
 
     def _topics(self) -> tuple[DataFrame, DataFrame]:
         from logloom import schemas
@@ -238,8 +266,8 @@ class Engine:
         return own_hits
 
     def _written(self, hits: DataFrame) -> DataFrame:
-        """The rows of a source as they are now: 5,000 at most, as any search gives."""
-        return self.spark.createDataFrame(hits.limit(5000).collect(), hits.schema)
+        """The rows of a source as they are now, whatever it gives later."""
+        return written(hits)
 
     def _keep(self, **tables: DataFrame) -> None:
         """Topics and their hits as they are now: in the store, else as local rows, so that no plan grows with each call."""
@@ -275,7 +303,7 @@ class Engine:
 
     def tools(self) -> list[Command]:
         """The built-in tools, then one for each promoted topic."""
-        names = [r["name"] for r in self._topics()[0].where("promoted").orderBy("name").select("name").limit(1000).collect()]
+        names = [r["name"] for r in self._topics()[0].where("promoted").orderBy("name").select("name").toLocalIterator()]
         params = tuple(p for p in COMMANDS["dig_topic"].params if p.name != "name")
         return [*COMMANDS.values(), *(Command(f"dig_{n}", f"The hits of topic {n}.", params, "topic") for n in names)]
 

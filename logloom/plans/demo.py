@@ -35,6 +35,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("id"),
         F.concat(F.lit("-home-"), name).alias("dir_name"),
         F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("/home/"), F.lower("c_mktsegment"), F.lit("/"), name)).alias("cwd"),
+        F.concat(F.lit("2024-"), F.lpad((F.col("c_custkey") % 12 + 1).cast("string"), 2, "0"), F.lit("-01")).alias("first_seen_at"),
     )
 
 
@@ -101,7 +102,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "ev": "ev AS (SELECT conv_id AS session_id, turn AS seq, role, text FROM conversations)",
     "pr": """pr AS (SELECT c_custkey AS id, '-home-' || c_name AS dir_name,
-        CASE WHEN c_custkey % 5 <> 0 THEN '/home/' || lower(c_mktsegment) || '/' || c_name END AS cwd FROM customer)""",
+        CASE WHEN c_custkey % 5 <> 0 THEN '/home/' || lower(c_mktsegment) || '/' || c_name END AS cwd,
+        '2024-' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '-01' AS first_seen_at FROM customer)""",
     "se": """se AS (SELECT o_orderkey AS id, o_custkey AS project_id, md5(CAST(o_orderkey - o_orderkey % 3 AS VARCHAR)) AS session_uuid,
         '/corpus/' || o_custkey || '/' || o_orderkey || '.jsonl' AS file_path,
         CASE o_orderstatus WHEN 'F' THEN 'session' WHEN 'O' THEN 'subagent' ELSE 'workflow_agent' END AS file_tier,

@@ -204,11 +204,12 @@ def source_tier_counts(spark, d):
     return sessions.count_and_size(demo.sessions(spark, d).withColumn("source", F.coalesce("source", F.lit("claude"))), "source", "file_tier")
 
 
-@query(q("se", """SELECT count(*) AS sessions, count(*) FILTER (WHERE file_tier = 'session') AS main_sessions, count(*) FILTER (WHERE import_status = 'failed') AS failed,
-    count(*) FILTER (WHERE import_status = 'stale') AS stale, CAST(sum(file_size) AS BIGINT) AS bytes, max(file_mtime) AS newest,
-    (SELECT count(*) FROM customer) AS projects, (SELECT count(*) FROM conversations) AS events FROM se"""))
+@query(q("se pr", """SELECT (SELECT count(*) FROM se) AS sessions, (SELECT count(*) FROM pr) AS projects, (SELECT count(*) FROM se WHERE import_status = 'imported') AS imported,
+    (SELECT count(*) FROM se WHERE import_status = 'failed') AS failed, CAST((SELECT coalesce(sum(file_size), 0) FROM se) AS BIGINT) AS bytes,
+    CAST((SELECT coalesce(sum(event_count), 0) FROM se) AS BIGINT) AS events, CAST((SELECT coalesce(sum(line_count), 0) FROM se) AS BIGINT) AS lines,
+    (SELECT min(first_seen_at) FROM pr) AS first_seen_at"""))
 def db_overview(spark, d):
-    return sessions.overview(demo.sessions(spark, d), demo.projects(spark, d), demo.events(spark, d))
+    return sessions.overview(demo.sessions(spark, d), demo.projects(spark, d))
 
 
 @query(q("se", "SELECT file_tier, import_status, count(*) AS files, CAST(sum(file_size) // 1000000 AS BIGINT) AS mb, CAST(sum(line_count) AS BIGINT) AS lines FROM se GROUP BY 1, 2"))
@@ -275,12 +276,12 @@ def gone_from_disk(spark, d):
 _RANK = "CASE file_tier WHEN 'session' THEN 0 WHEN 'subagent' THEN 1 ELSE 2 END"
 
 
-@query(q("se dk", "").rstrip() + ", " + _DIFF + f"""SELECT CAST(project_id AS VARCHAR) AS dir_name, count(*) AS files, CAST(sum(dk.file_size) AS BIGINT) AS bytes,
-    count(*) FILTER (WHERE state = 'new') AS new, count(*) FILTER (WHERE state = 'changed') AS changed, arg_min(dk.file_path, ({_RANK}, dk.file_path)) AS sample_path
-    FROM dk JOIN df ON df.file_path = dk.file_path GROUP BY 1""")
+@query(q("se dk", f"""SELECT CAST(dk.project_id AS VARCHAR) AS dir_name, count(*) AS files, CAST(sum(dk.file_size) AS BIGINT) AS bytes, count(*) FILTER (WHERE se.file_path IS NULL) AS new,
+    count(*) FILTER (WHERE se.file_mtime <> dk.file_mtime OR se.file_size <> dk.file_size) AS changed,
+    arg_min(dk.file_path, ({_RANK.replace('file_tier', 'dk.file_tier')}, dk.file_path)) AS sample_path FROM dk LEFT JOIN se ON se.file_path = dk.file_path GROUP BY 1"""))
 def project_scan(spark, d):
-    files = demo.disk(spark, d).drop("file_size").join(_diff(spark, d), "file_path").withColumn("dir_name", F.col("project_id").cast("string"))
-    return sessions.project_scan(files)
+    files = sessions.scan_states(demo.sessions(spark, d), demo.disk(spark, d))
+    return sessions.project_scan(files.withColumn("dir_name", F.col("project_id").cast("string")))
 
 
 @query(q("se dk", """SELECT dk.file_path, CASE WHEN se.file_path IS NULL THEN 'new' WHEN import_status = 'failed' THEN 'failed'

@@ -38,11 +38,11 @@ def listing(sessions: DataFrame, projects: DataFrame, sort: str = "updated", des
     return [*out, f"{len(out) - 1} rows · sort {sort} · tier {tier or 'all'} · limit {limit}"]
 
 
-def status(sessions: DataFrame, projects: DataFrame, events: DataFrame) -> list[str]:
+def status(sessions: DataFrame, projects: DataFrame) -> list[str]:
     by_tier = ops.tier_status_stats(sessions).orderBy("file_tier", "import_status")
     by_source = ops.count_and_size(sessions.withColumn("source", F.coalesce("source", F.lit("claude"))), "source", "file_tier").orderBy("source", "file_tier")
     span = sessions.agg(F.min("started_at").alias("first"), F.max("ended_at").alias("last"))
-    return [*table(ops.overview(sessions, projects, events)), "", *table(by_tier), "", *table(by_source), "", *table(span)]
+    return [*table(ops.overview(sessions, projects)), "", *table(by_tier), "", *table(by_source), "", *table(span)]
 
 
 def scan(files: DataFrame) -> list[str]:

@@ -151,6 +151,12 @@ class Store:
         schema = TABLES[table]
         self.append(table, self.spark.createDataFrame([tuple(row.get(n) for n in schema.names)], schema))
 
+    def log_search(self, id: int, ts: str, query: str, engine: str, hits: int, ms: int, top: float | None, spread: float | None) -> None:
+        """Appends a row about a search, however many write at once. The log is compacted now and then."""
+        self._log("search_log", id=id, ts=ts, query=query, engine=engine, hits=hits, ms=ms, top_score=top, score_spread=spread)
+        if id % COMPACT_EVERY == 0:
+            self.replace("search_log", self.read("search_log").coalesce(1))
+
     def _staging(self) -> str:
         return f"{self.root}/_staging/{uuid.uuid4().hex}"
 
@@ -242,11 +248,12 @@ class Store:
         fresh = vector_ops.build_embeddings(self.read("events"), before, models, provider, dim, words, stride, **work)
         fresh.write.parquet(staging)  # embedded once
         done = self.spark.read.schema(fresh.schema).parquet(staging)
-        n = done.agg(F.count("*").alias("vectors"), F.countDistinct("session_id", "seq").alias("events")).first()
-        self.append("event_vectors", done)
+        good = done.where("vector IS NOT NULL")
+        n = good.agg(F.count("*").alias("vectors"), F.countDistinct("session_id", "seq").alias("events")).first()
+        counts = {"events": n["events"], "vectors": n["vectors"], "skipped": done.where("vector IS NULL").count()}
+        self.append("event_vectors", good)
         self._discard(staging)
-        counts = {"events": n["events"], "vectors": n["vectors"]}
-        self._log("vector_runs", **log, finished_at=now, skipped=0, stopped=False, **counts)
+        self._log("vector_runs", **log, finished_at=now, stopped=False, **counts)
         return counts
 
     def load_vectors(self, path: str, model: str, vector_class: str, now: str, run_id: int) -> tuple[int, int]:
