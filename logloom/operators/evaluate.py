@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.search import search
-from logloom.operators.vectors import semantic_search
+from logloom.functions.query import compile_query
+from logloom.operators import textindex
+from logloom.operators.vectors import semantic_search_many
 
 
 def load_queries(spark, path: str) -> DataFrame:
@@ -71,28 +72,35 @@ def ground_truth(queries: DataFrame, events: DataFrame) -> DataFrame:
     return named.unionByName(found).distinct()
 
 
-def harness(queries: DataFrame, events: DataFrame, vectors: DataFrame, embed: Callable[[str], tuple[str, list[float]]], ks: tuple[int, ...] = (10, 50), fetch: int = FETCH) -> DataFrame:
+def harness(
+    queries: DataFrame, events: DataFrame, vectors: DataFrame, embed: Callable[[str], tuple[str, list[float]]], ks: tuple[int, ...] = (10, 50), fetch: int = FETCH,
+    index: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """A row a query: mode, n_truth, n_embedded, recall and reciprocal rank of text search (kw_) and of semantic search
     (sem_), the latter among the true sessions that have a vector at all, and no_coverage where none has. embed: a
-    text's (model, vector)."""
+    text's (model, vector). index: (postings, indexed), where one is kept; else the events are indexed on the way. One
+    plan for all queries of text search, and one for those of each model."""
     asked = queries.collect()
     if len(asked) > 10_000:
         raise ValueError("at most 10,000 queries")
-    ranked: dict[str, list[DataFrame]] = {"kw": [], "sem": []}
+    postings, indexed = index or (textindex.postings(events, 1), textindex.indexed(events, 1))
+    spark = events.sparkSession
+    texts = textindex.search_many(postings, indexed, [(q["query_id"], compile_query(q["query"])) for q in asked], fetch)
+    by_model: dict[str, list[tuple[int, list[float]]]] = {}
     for q in asked:
         model, vector = embed(q["query"])
-        for kind, hits, order in (
-            ("kw", search(events, q["query"], fetch), ["score", "session_id", "seq"]),
-            ("sem", semantic_search(vectors, vector, model, fetch), [F.col("score").desc(), "session_id", "seq"]),
-        ):
-            rank = F.row_number().over(Window.partitionBy(F.lit(q["query_id"])).orderBy(*order))  # fetch rows at most
-            ranked[kind].append(hits.select(F.lit(q["query_id"]).alias("query_id"), F.col("session_id").alias("item_id"), rank.alias("rank")))
+        by_model.setdefault(model, []).append((q["query_id"], [float(x) for x in vector]))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "session_id", "seq")
+    semantic = []
+    for model, rows in by_model.items():  # a language each
+        hits = semantic_search_many(vectors.where(F.col("model") == model), spark.createDataFrame(rows, "query_id int, vector array<double>"), fetch)
+        semantic.append(hits.select("query_id", F.col("session_id").alias("item_id"), F.row_number().over(order).alias("rank")))
+    ranked = {"kw": texts.select("query_id", F.col("session_id").alias("item_id"), "rank"), "sem": reduce(DataFrame.unionByName, semantic) if semantic else None}
     truth = ground_truth(queries, events)
     embedded = truth.join(vectors.select(F.col("session_id").alias("item_id")).distinct(), "item_id", "left_semi")
     out = queries.select("query_id", "query", "mode")
     for kind, wanted, size in (("kw", truth, "n_truth"), ("sem", embedded, "n_embedded")):
-        hits = reduce(DataFrame.unionByName, ranked[kind])
-        scores = evaluate(hits, wanted, ks)
+        scores = evaluate(ranked[kind] if ranked[kind] is not None else wanted.where("false").withColumn("rank", F.lit(1)), wanted, ks)
         out = out.join(scores.select("query_id", F.col("n_truth").alias(size), *(F.col(c).alias(f"{kind}_{c}") for c in scores.columns if c not in ("query_id", "n_truth"))), "query_id", "left")
     filled = out.fillna(0)
     return filled.withColumn("no_coverage", (F.col("n_truth") > 0) & (F.col("n_embedded") == 0))

@@ -17,7 +17,7 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.query import TextQuery
@@ -140,3 +140,43 @@ def scored(postings: DataFrame, sessions: DataFrame, query: TextQuery) -> DataFr
     # one row each
     told = live.where(hit).join(F.broadcast(size)).join(F.broadcast(with_phrase))
     return told.select("session_id", "seq", bm25([(F.col(f"f{k}"), F.col(f"n{k}")) for k in range(n)], F.col("n"), F.col("d"), F.col("avg")).alias("score"))
+
+
+def search_many(postings: DataFrame, sessions: DataFrame, queries: list[tuple[int, TextQuery]], limit: int = 200) -> DataFrame:
+    """(query_id, session_id, seq, score, rank): the best events of each of many searches, of either engine, in one plan:
+    the queries' terms are a table that the postings are joined with once. At most BROADCAST_ROWS terms in all."""
+    spark = postings.sparkSession
+    rows = []
+    for query_id, query in queries:
+        phrases = [slots_of(query, k) for k in range(len(query.phrases))]
+        if all(phrases):
+            rows += [(query_id, len(phrases), KINDS[query.engine], k, len(slots), s.term, s.offset, s.prefix) for k, slots in enumerate(phrases) for s in slots]
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"at most {BROADCAST_ROWS} terms in one search")
+    asked = spark.createDataFrame(rows, "query_id int, n_phrases int, kind string, k int, n_slots int, term string, offset int, prefix boolean")
+    wanted = F.broadcast(asked.where("NOT prefix").drop("prefix"))
+    if any(r[-1] for r in rows):
+        begun = asked.where("prefix").drop("prefix").withColumnRenamed("term", "begin").drop("kind")
+        known = postings.where("kind = 'token'").select("kind", "term").distinct()
+        # as many rows as terms begin so: Spark chooses how to join them
+        wanted = asked.where("NOT prefix").drop("prefix").unionByName(known.join(F.broadcast(begun), F.col("term").startswith(F.col("begin"))).drop("begin"))
+    parts = sorted({part_of(r[2], r[5]) for r in rows if not (r[-1] and len(r[5]) < 2)})
+    read = postings if any(r[-1] and len(r[5]) < 2 for r in rows) else postings.where(F.col("part").isin(parts))
+    live = read.join(wanted, ["kind", "term"]).join(sessions.select("session_id", "segment"), ["session_id", "segment"], "left_semi")
+    # a phrase begins where all of its slots say so
+    by = ("query_id", "k", "session_id", "seq")
+    begins = F.flatten(F.collect_list(F.expr("transform(places, x -> x - offset)")))  # of one event
+    rest = [F.first(c).alias(c) for c in ("n_slots", "n_phrases", "kind", "d")]
+    held = live.groupBy(*by).agg(F.array_sort(begins).alias("s"), *rest).where("size(s) >= n_slots")
+    counted = held.select(*by, "n_phrases", "kind", F.col("d").cast("double").alias("d"), F.expr("size(filter(sequence(0, size(s) - n_slots), i -> s[i] = s[i + n_slots - 1]))").cast("double").alias("f"))
+    found = counted.where("f > 0")
+    having = found.groupBy("query_id", "k").agg(F.count("*").cast("double").alias("df"))  # a row a phrase
+    size = sessions.agg(F.sum("n_rows").cast("double").alias("n"), *((F.sum(f"{kind}_length") / F.sum("n_rows")).alias(f"{kind}_avg") for kind in KINDS.values()))
+    mean = F.when(F.col("kind") == "gram", F.col("gram_avg")).otherwise(F.col("token_avg"))
+    each = found.join(F.broadcast(having), ["query_id", "k"]).join(F.broadcast(size))
+    scores = each.select("query_id", "session_id", "seq", "n_phrases", bm25([(F.col("f"), F.col("df"))], F.col("n"), F.col("d"), mean).alias("part"))
+    total = scores.groupBy("query_id", "session_id", "seq").agg(F.sum("part").alias("score"), F.count("*").alias("found"), F.first("n_phrases").alias("n_phrases")).where("found = n_phrases")
+    # Spark keeps the first rows of each query in every task before it shuffles them
+    order = Window.partitionBy("query_id").orderBy("score", "session_id", "seq")
+    best = total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.select("query_id", "session_id", "seq", "score", F.col("rank").cast("long").alias("rank"))

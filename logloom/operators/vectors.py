@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructField, StructType
 
@@ -183,6 +183,15 @@ def semantic_search(vectors: DataFrame, query_vector: list[float], model: str, l
     return best.orderBy(F.col("score").desc(), "session_id", "seq", "chunk_index").limit(limit)
 
 
+def semantic_search_many(vectors: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """The best chunks for each of many queries (query_id, vector) of one model, one for each beginning of a text."""
+    scores = semantic_scores(vectors, queries, best=limit)
+    text = F.substring("text", 1, 60)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "session_id", "seq", "chunk_index"))
+    first = scores.withColumn("__r", rank("query_id", text)).where("__r = 1")
+    return first.withColumn("__r", rank("query_id")).where(F.col("__r") <= limit).drop("__r")
+
+
 def with_sessions(hits: DataFrame, sessions: DataFrame, projects: DataFrame) -> DataFrame:
     """hits with session_uuid and project, of sessions that are indexed. Hits are few: they are the side to send."""
     own = sessions.select(F.col("id").alias("session_id"), "session_uuid", "project_id")

@@ -714,8 +714,8 @@ def live_list(spark, d):
     return sessions.recent_list(demo.sessions(spark, d), NOW, 86_400_000).select("id", "file_path").limit(50)
 
 
-@query(q("se dk", "").rstrip() + ", " + _DIFF + """ SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(dk.file_size) AS BIGINT) AS bytes, CAST(count(*) FILTER (WHERE state IN ('new', 'changed')) AS BIGINT) AS pending
-    FROM dk JOIN df ON df.file_path = dk.file_path""")
+@query(q("se dk", """SELECT count(*) AS files, CAST(sum(dk.file_size) AS BIGINT) AS bytes,
+    count(*) FILTER (WHERE se.file_path IS NULL OR se.file_mtime <> dk.file_mtime OR se.file_size <> dk.file_size) AS pending FROM dk LEFT JOIN se ON se.file_path = dk.file_path"""))
 def scan_totals(spark, d):
     return sessions.scan_totals(project_scan(spark, d))
 
@@ -737,6 +737,25 @@ def eval_ground_truth(spark, d):
     return evaluate.ground_truth(asked, demo.events(spark, d))
 
 
+_ASKED = [(0, "tion"), (1, "the tion"), (2, "an"), (3, "nowhere at all"), (4, "ment")]
+
+
+def _best(query_id: int, sql: str) -> str:
+    return f"(SELECT {query_id} AS query_id, session_id, seq, score, row_number() OVER (ORDER BY score, session_id, seq) AS rank FROM ({sql}))"
+
+
+@query("SELECT * FROM " + " UNION ALL SELECT * FROM ".join(_best(k, _bm25(d, f, " ORDER BY 3, 1, 2 LIMIT 20", "WITH " + demo.SQL["ev"])) for k, d, f in (
+    (0, _TRI, [_SUB.format("tion", 4)]), (1, _TRI, [_SUB.format("the", 3), _SUB.format("tion", 4)]),
+    (2, f"len({_TOK})", [f"len(list_filter({_TOK}, lambda t: starts_with(t, 'an')))"]), (4, _TRI, [_SUB.format("ment", 4)]))))
+def index_search_many(spark, d):
+    """Several searches of both engines, in one plan."""
+    asked = [(k, search.compile_query(text)) for k, text in _ASKED]
+    hits = textindex.search_many(*demo.index(spark, d), asked, 1 << 30)
+    shown = hits.select("query_id", "session_id", "seq", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "session_id", "seq"))
+    return shown.withColumn("rank", rank.cast("long")).where("rank <= 20")
+
+
 @query("""SELECT CASE WHEN e % 2 = 0 THEN 'substring' ELSE 'labeled' END AS mode, count(*) AS queries, avg(CAST(e % 7 AS DOUBLE) / 7) AS recall_10, avg(CAST(e % 5 AS DOUBLE) / 5) AS rr
     FROM (SELECT event_id AS e FROM events) GROUP BY 1""")
 def eval_mode_means(spark, d):

@@ -85,3 +85,24 @@ def test_an_index_follows_its_imports(spark, tmp_path):
     store.index_events()
     assert same() == 2 and store.read("postings").select("segment").distinct().count() == 1
     assert store.search("append", tier="subagent").count() == 0 and store.search("append", 1).count() == 1
+
+
+def test_many_searches_are_one_plan(spark, events):
+    postings, sessions = written(textindex.postings(events, 1), "kind", "part"), written(textindex.indexed(events, 1))
+    texts = ["append only", "log log", "aaa", "to", "a", "is to", "cafe", "the append only log", "append nowhere", "a b", ""]
+    asked = [(k, compile_query(t)) for k, t in enumerate(texts)] + [(50, compile_query("only log", "token")), (51, compile_query("is to", "token"))]
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    counts = []
+    for name, some in (("few", asked[:2]), ("many", asked)):
+        spark.sparkContext.setJobGroup(name, name)
+        rows = textindex.search_many(postings, sessions, some, 7).collect()
+        counts.append(jobs(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] <= counts[0] + 3  # a prefix takes one more join, not more for more queries
+    for query_id, query in asked:
+        want = [(r["session_id"], r["seq"], round(r["score"], 9)) for r in search.scored(events, query).orderBy("score", "session_id", "seq").limit(7).collect()]
+        got = sorted((r["rank"], r["session_id"], r["seq"], round(r["score"], 9)) for r in rows if r["query_id"] == query_id)
+        assert [x[0] for x in got] == list(range(1, len(want) + 1))
+        assert sorted(x[3] for x in got) == sorted(x[2] for x in want)
+        assert {x[1:3] for x in got if x[3] < want[-1][2]} == {x[:2] for x in want if x[2] < want[-1][2]}
+    assert textindex.search_many(postings, sessions, [(0, compile_query(""))]).count() == 0
