@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructField, StructType
@@ -74,28 +75,69 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[own][:, None] + np.arange(dim)].astype(np.float64) if len(own) else np.zeros((0, dim)), own
 
 
-def mean_vector(vectors: DataFrame, column: str = "vector") -> DataFrame:
-    """One row: the mean of all vectors, place by place. A task gives its sums as one row."""
+def _sums(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts, place by place, of the vectors in the batches' first column."""
+    sums, counts = np.zeros(0), np.zeros(0, np.int64)
+    for batch in batches:
+        flat, at = _rows(batch.column(0))
+        size = np.diff(at)
+        dim = int(size.max(initial=0))
+        if dim > len(sums):
+            sums, counts = (np.pad(x, (0, dim - len(x))) for x in (sums, counts))
+        if dim and (size == dim).all():
+            sums[:dim] += flat.reshape(-1, dim).sum(0, dtype=np.float64)
+            counts[:dim] += len(size)
+        elif dim:
+            place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+            sums[:dim] += np.bincount(place, flat, dim)
+            counts[:dim] += np.bincount(place, minlength=dim)
+    return sums, counts
+
+
+def vector_sums(vectors: DataFrame, *keys: str, column: str = "vector") -> DataFrame:
+    """(keys, sums, counts): mergeable statistics of the vectors of each key: adding place by place joins two. A task
+    gives one row for each key that it meets; keys are few (classes and models)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros(0), np.zeros(0, np.int64)
+        held: dict[tuple, list] = {}
         for batch in batches:
-            flat, at = _rows(batch.column(0))
-            size = np.diff(at)
-            dim = int(size.max(initial=0))
-            if dim > len(sums):
-                sums, counts = (np.pad(x, (0, dim - len(x))) for x in (sums, counts))
-            if dim and (size == dim).all():
-                sums[:dim] += flat.reshape(-1, dim).sum(0, dtype=np.float64)
-                counts[:dim] += len(size)
-            elif dim:
-                place = np.arange(len(flat)) - np.repeat(at[:-1], size)
-                sums[:dim] += np.bincount(place, flat, dim)
-                counts[:dim] += np.bincount(place, minlength=dim)
-        yield pa.RecordBatch.from_arrays([pa.array([sums]), pa.array([counts])], ["s", "n"])
-
-    parts = vectors.select(column).mapInArrow(run, "s array<double>, n array<long>")
-    each = parts.select(F.posexplode(F.arrays_zip("s", "n")).alias("pos", "x")).groupBy("pos").agg((F.sum("x.s") / F.sum("x.n")).alias("m"))
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch])
+            for key in set(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else {()}:
+                part = own
+                for k, value in zip(keys, key):
+                    part = part.filter(pc.is_null(part[k]) if value is None else pc.equal(part[k], value))
+                sums, counts = _sums(part.select([column]).combine_chunks().to_batches())
+                a, n = held.get(key, (np.zeros(0), np.zeros(0, np.int64)))
+                dim = max(len(a), len(sums))
+                grown = lambda x: np.pad(x, (0, dim - len(x)))
+                held[key] = [grown(a) + grown(sums), grown(n) + grown(counts)]
+        rows = [(*key, *x) for key, x in held.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], [*keys, "sums", "counts"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sums array<double>", "counts array<long>"])
+    return merged_sums(vectors.select(column, *keys).mapInArrow(run, schema), *keys)
+
+
+def merged_sums(sums: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, sums, counts) added up: one row a key."""
+    each = sums.select(*keys, F.posexplode(F.arrays_zip("sums", "counts")).alias("pos", "x"))
+    placed = each.groupBy(*keys, "pos").agg(F.sum("x.sums").alias("s"), F.sum("x.counts").alias("n"))
+    whole = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "s", "n"))).alias("x"))  # dim values
+    return whole.select(*keys, F.transform("x", lambda x: x["s"]).alias("sums"), F.transform("x", lambda x: x["n"]).alias("counts"))
+
+
+def mean_vector(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """One row: the mean of all vectors, place by place; empty without any."""
+    return mean_of(vector_sums(vectors, column=column))
+
+
+def mean_of(sums: DataFrame) -> DataFrame:
+    """One row: the mean that statistics (sums, counts) of any number of rows tell."""
+    each = sums.select(F.posexplode(F.arrays_zip("sums", "counts")).alias("pos", "x")).groupBy("pos").agg((F.sum("x.sums") / F.sum("x.counts")).alias("m"))
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"))  # dim values
 
 
@@ -117,10 +159,28 @@ def _centred_rows(x: np.ndarray, mean: np.ndarray, renormalise: bool) -> np.ndar
     return moved
 
 
-def semantic_scores(vectors: DataFrame, queries: DataFrame, renormalise: bool = True, best: int | None = None, chars: int = 60) -> DataFrame:
+def _products(x: np.ndarray, mean: np.ndarray, side: np.ndarray, renormalise: bool) -> np.ndarray:
+    """_centred_rows(x) @ side without a centred copy of x: one product with the queries and the mean, and squares."""
+    both = x @ np.column_stack([side, mean])
+    scores = both[:, :-1] - mean @ side
+    if renormalise:
+        squares = np.einsum("ij,ij->i", x, x)
+        rest = squares - 2 * both[:, -1] + mean @ mean
+        # near the mean differences of squares tell little: those few rows go the long way
+        near = rest <= np.maximum(1e-3 * squares, TINY**2)
+        scores /= np.sqrt(np.where(near, 1, rest))[:, None]
+        if near.any():
+            scores[near] = _centred_rows(x[near], mean, True) @ side
+    return scores
+
+
+def semantic_scores(
+    vectors: DataFrame, queries: DataFrame, renormalise: bool = True, best: int | None = None, chars: int = 60, mean: list[float] | None = None
+) -> DataFrame:
     """vectors without their vector, and query_id and score, for every query (query_id, vector); queries are a few
     rows, checked here. Vectors of another dimension than the queries' are left out. best: each task keeps only,
-    for each query, its so many best texts by their first ``chars`` characters, of which the overall best are part."""
+    for each query, its so many best texts by their first ``chars`` characters, of which the overall best are part.
+    mean: where it is known from stored statistics; else the vectors are read once more for it."""
     asked = queries.select("query_id", "vector").limit(10_001).toArrow()
     if asked.num_rows > 10_000:
         raise ValueError("at most 10,000 queries in one search")
@@ -132,7 +192,7 @@ def semantic_scores(vectors: DataFrame, queries: DataFrame, renormalise: bool =
     dim = int(np.diff(at).max())
     side, asked_rows = _matrix(asked.column("vector").combine_chunks(), dim)
     ids = asked.column("query_id").combine_chunks().take(pa.array(asked_rows))
-    mean = np.asarray(mean_vector(vectors).first()["mean"], np.float64)  # dim numbers
+    mean = np.asarray(mean_vector(vectors).first()["mean"] if mean is None else mean, np.float64)  # dim numbers
     mean = np.resize(mean, dim) if len(mean) >= dim else np.zeros(dim)
     shared = vectors.sparkSession.sparkContext.broadcast((_centred_rows(side, mean, renormalise).T, mean, ids))
 
@@ -141,7 +201,7 @@ def semantic_scores(vectors: DataFrame, queries: DataFrame, renormalise: bool =
         kept: pa.RecordBatch | None = None
         for batch in batches:
             x, rows = _matrix(batch.column("vector"), len(mean))
-            scores = _centred_rows(x, mean, renormalise) @ side
+            scores = _products(x, mean, side, renormalise)
             own = batch.drop_columns(["vector"]).take(pa.array(rows))
             for q in range(len(ids)):
                 columns = [*own.columns, pa.repeat(ids[q], len(rows)), pa.array(scores[:, q])]
@@ -174,11 +234,11 @@ def _best_texts(rows: pa.RecordBatch, best: int, chars: int) -> pa.RecordBatch:
     return rows.take(pa.array(np.sort(np.array(keep, np.int64))))
 
 
-def semantic_search(vectors: DataFrame, query_vector: list[float], model: str, limit: int = 20) -> DataFrame:
-    """The best chunks of one model, one for each beginning of a text."""
+def semantic_search(vectors: DataFrame, query_vector: list[float], model: str, limit: int = 20, mean: list[float] | None = None) -> DataFrame:
+    """The best chunks of one model, one for each beginning of a text. mean: that of the model's vectors, where it is known."""
     spark = vectors.sparkSession
     query = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, vector array<double>")
-    scores = semantic_scores(vectors.where(F.col("model") == model), query, best=limit)
+    scores = semantic_scores(vectors.where(F.col("model") == model), query, best=limit, mean=mean)
     best = keep_best(scores, "text", "score", "session_id", "seq", "chunk_index")
     return best.orderBy(F.col("score").desc(), "session_id", "seq", "chunk_index").limit(limit)
 

@@ -191,7 +191,8 @@ class Engine:
         import pandas as pd
 
         text = self.spark.createDataFrame([(query,)], "q string").select(vector_ops.script_model(F.col("q")).alias("m")).first()["m"]
-        hits = vector_ops.semantic_search(self.vectors, [float(x) for x in self.provider(pd.Series([query]))[0]], text, limit)
+        mean = self.store.vector_mean(text) if self.store is not None else None
+        hits = vector_ops.semantic_search(self.vectors, [float(x) for x in self.provider(pd.Series([query]))[0]], text, limit, mean)
         found = vector_ops.with_sessions(hits, self.sessions, self.projects)
         return found.orderBy(F.col("score").desc(), "session_id", "seq", "chunk_index")
 

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 _KINDS = {
     "BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(),
-    "ARRAY<INT>": T.ArrayType(T.IntegerType()), "ARRAY<STRING>": T.ArrayType(T.StringType()), "ARRAY<FLOAT>": T.ArrayType(T.FloatType()), "ARRAY<DOUBLE>": T.ArrayType(T.DoubleType()),
+    "ARRAY<INT>": T.ArrayType(T.IntegerType()), "ARRAY<STRING>": T.ArrayType(T.StringType()), "ARRAY<FLOAT>": T.ArrayType(T.FloatType()), "ARRAY<DOUBLE>": T.ArrayType(T.DoubleType()), "ARRAY<BIGINT>": T.ArrayType(T.LongType()),
 }
 
 
@@ -25,6 +25,7 @@ EVENTS = _schema("session_id BIGINT, seq BIGINT, role STRING, ts STRING, text ST
 POSTINGS = _schema("kind STRING, part INT, segment BIGINT, term STRING, session_id BIGINT, seq BIGINT, d INT, places ARRAY<INT>")
 INDEXED = _schema("session_id BIGINT, segment BIGINT, n_rows BIGINT, token_length BIGINT, gram_length BIGINT")
 EVENT_VECTORS = _schema("session_id BIGINT, seq BIGINT, chunk_index INT, model STRING, vector_class STRING, dim INT, vector ARRAY<FLOAT>, text STRING")
+VECTOR_STATS = _schema("vector_class STRING, model STRING, sums ARRAY<DOUBLE>, counts ARRAY<BIGINT>")
 IMPORT_RUNS = _schema(
     "id BIGINT, started_at STRING, finished_at STRING, files_scanned BIGINT, files_new BIGINT, files_changed BIGINT, files_skipped BIGINT, files_failed BIGINT"
 )

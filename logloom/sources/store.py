@@ -33,6 +33,7 @@ TABLES = {
     "indexed": schemas.INDEXED,
     "import_runs": schemas.IMPORT_RUNS,
     "event_vectors": schemas.EVENT_VECTORS,
+    "vector_stats": schemas.VECTOR_STATS,
     "vector_runs": schemas.VECTOR_RUNS,
     "topics": schemas.TOPICS,
     "topic_hits": schemas.TOPIC_HITS,
@@ -41,6 +42,8 @@ TABLES = {
 PARTITIONS = {"event_vectors": ["vector_class", "model"], "events": ["bucket"], "session_type_counts": ["bucket"], "postings": ["kind", "part"], "indexed": ["bucket"]}
 #: Parquet's own settings: postings are sorted by term, so small row groups leave little to read beside a term.
 OPTIONS = {"postings": {"parquet.block.size": 8 << 20}}
+#: What vector statistics are kept by.
+KEYS = ("vector_class", "model")
 #: The text index is compacted when it has grown by so many segments.
 COMPACT_EVERY = 32
 #: Buckets of sessions.
@@ -252,6 +255,7 @@ class Store:
         n = good.agg(F.count("*").alias("vectors"), F.countDistinct("session_id", "seq").alias("events")).first()
         counts = {"events": n["events"], "vectors": n["vectors"], "skipped": done.where("vector IS NULL").count()}
         self.append("event_vectors", good)
+        self.append("vector_stats", vector_ops.vector_sums(good, *KEYS))
         self._discard(staging)
         self._log("vector_runs", **log, finished_at=now, stopped=False, **counts)
         return counts
@@ -265,12 +269,24 @@ class Store:
         stored = self.read("event_vectors").where((F.col("model") == model) & (F.col("vector_class") == vector_class))
         kept = stored.join(good.select(*keys), keys, "left_anti").select(*stored.columns)
         self._overwrite_partitions("event_vectors", kept.unionByName(good.select(*stored.columns)))
+        fresh = self.read("event_vectors").where((F.col("model") == model) & (F.col("vector_class") == vector_class))
+        others = self.read("vector_stats").where(~((F.col("model") == model) & (F.col("vector_class") == vector_class)))
+        self.replace("vector_stats", others.unionByName(vector_ops.vector_sums(fresh, *KEYS)))
         n, bad = good.count(), refused.count()
         self._log("vector_runs", **log, finished_at=now, vectors=n, skipped=bad, stopped=False)
         return n, bad
 
     def drop_legacy_vectors(self, models: list[str], current: list[str]) -> None:
         self.replace("event_vectors", vector_ops.drop_legacy(self.read("event_vectors"), self.read("events"), models, current))
+        self.replace("vector_stats", self.read("vector_stats").where(~F.col("model").isin(*models)))
+
+    def vector_mean(self, model: str) -> list[float] | None:
+        """The mean of a model's vectors from what was kept of them, a few rows; None without any."""
+        return vector_ops.mean_of(self.read("vector_stats").where(F.col("model") == model)).first()["mean"] or None
+
+    def refresh_vector_stats(self) -> None:
+        """Statistics from the vectors themselves, as for a store that has none yet."""
+        self.replace("vector_stats", vector_ops.vector_sums(self.read("event_vectors"), *KEYS))
 
 
 def exists(spark: SparkSession, root: str) -> bool:
