@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.language import unspaced
+from logloom.operators.segment import Segmenter, lattice, segmented_chunks
+
 
 def fold_state_runs(rows: DataFrame, key: str, order: str, line_type: str, ts: str, states: tuple[str, ...]) -> DataFrame:
     """Each maximal run of state rows becomes one row; others pass. A row: key, first order, is_state, count,
@@ -79,9 +82,19 @@ def chunk_texts(parts: Column, words: int = 100, stride: int = 50, most: int = 3
     return F.filter(windows, lambda x: x != "")
 
 
-def chunks(events: DataFrame, words: int = 100, stride: int = 50, most: int = 32, *keep: Column) -> DataFrame:
-    """A row a chunk: (session_id, seq, chunk_index, text) and what is to be kept."""
-    own = with_words(events.select("session_id", "seq", "text", *keep))
+def chunks(events: DataFrame, words: int = 100, stride: int = 50, most: int = 32, *keep: Column, segmenter: Segmenter | None = lattice) -> DataFrame:
+    """A row a chunk: (session_id, seq, chunk_index, text) and what is to be kept. Words are what stands between blanks;
+    texts with letters of scripts without blanks go through the segmenter (None: they are taken as the others)."""
+    rows = events.select("session_id", "seq", "text", *keep)
+    if segmenter is None:
+        return _blank_chunks(rows, words, stride, most)
+    east = F.coalesce(unspaced(F.col("text")), F.lit(False))
+    others = _blank_chunks(rows.where(~east), words, stride, most)
+    return others.unionByName(segmented_chunks(rows.where(east), segmenter, words, stride, most).select(*others.columns))
+
+
+def _blank_chunks(rows: DataFrame, words: int, stride: int, most: int) -> DataFrame:
+    own = with_words(rows)
     rest = [c for c in own.columns if c not in ("session_id", "seq", "text", "__words")]
     each = own.select("session_id", "seq", *rest, F.posexplode_outer(chunk_texts(F.col("__words"), words, stride, most)).alias("chunk_index", "text"))
     return each.where("text IS NOT NULL").withColumn("chunk_index", F.col("chunk_index").cast("long"))

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructField, StructType
 
+from logloom.functions.language import dominant
 from logloom.functions.scalar import vector_class
+from logloom.operators.segment import Segmenter, lattice
 from logloom.operators.sequence import chunks, keep_best
 
 TINY = 1e-6
@@ -369,14 +371,8 @@ def chat_coverage(events: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def script_model(text: Column, provider: str = "hash", dim: int = 64) -> Column:
-    """The model for a text by its script: th, zh-Hans, ja, else en."""
-    lang = (
-        F.when(text.rlike(r"[฀-๿]"), "th")
-        .when(text.rlike(r"[぀-ヿ]"), "ja")
-        .when(text.rlike(r"[一-鿿]"), "zh-Hans")
-        .otherwise("en")
-    )
-    return F.concat(F.lit(f"{provider}/"), lang, F.lit(f"/r1/{dim}"))
+    """The model for a text by its dominant language."""
+    return F.concat(F.lit(f"{provider}/"), dominant(text), F.lit(f"/r1/{dim}"))
 
 
 def hashing_provider(texts: pd.Series, dim: int = 64) -> list[np.ndarray]:
@@ -404,13 +400,14 @@ def build_embeddings(
     words: int = 100,
     stride: int = 50,
     most: int = MOST_CHUNKS,
+    segmenter: Segmenter | None = lattice,
     **work,
 ) -> DataFrame:
     """New vectors of the work list, by the provider in Arrow batches; to be appended by class and model. Work is what
     has a vector of none of the models' family. most: chunks of an event, the first ones (0: all). Where the provider
     gives None for a text its vector is null."""
     todo = unembedded(events, vectors, family(models), **work)
-    pieces = chunks(todo, words, stride, most, script_model(F.col("text"), dim=dim).alias("model"), vector_class(F.col("role")).alias("vector_class"))
+    pieces = chunks(todo, words, stride, most, script_model(F.col("text"), dim=dim).alias("model"), vector_class(F.col("role")).alias("vector_class"), segmenter=segmenter)
     pieces = pieces.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.functions import language
 from logloom.functions import scalar as S
 from logloom.operators import evaluate, graph, search, sequence, sessions, textindex, topics, vectors
 from logloom.plans import demo
@@ -138,6 +139,31 @@ def search_snippets(spark, d):
     return hits.select("session_id", "seq", search.snippet(F.col("text"), "tion").alias("snippet"))
 
 
+def _mixed(spark, d):
+    """Texts of which some are mostly in Thai letters, some hold a few, and some are in Han or kana: a third of all
+    conversations' texts, written in other letters."""
+    kind, text = F.pmod(F.col("session_id") + F.col("seq"), F.lit(6)), F.substring("text", 1, 60)
+    other = F.when(kind == 0, F.translate(text, "etaoinsrhlETAOINSRHL", "กขคงจชดตทนกขคงจชดตทน")).when(kind == 1, F.concat(text, F.lit("ก"))).when(kind == 2, F.translate(text, "etaoinsrhldu", "国学语书车马门见长东这个"))
+    east = F.translate(text, "etaoinsrhldu", "ひらがな日本語東京都学校")
+    return demo.events(spark, d).select("session_id", "seq", other.when(kind == 3, east).when(kind == 4, F.translate(text, "etaoinsrhldu", "國學語書車馬門見長東這個")).otherwise(text).alias("text"))
+
+
+_MIXED = """mx AS (SELECT session_id, seq, CASE k WHEN 0 THEN translate(t, 'etaoinsrhlETAOINSRHL', 'กขคงจชดตทนกขคงจชดตทน') WHEN 1 THEN t || 'ก' WHEN 2 THEN translate(t, 'etaoinsrhldu', '国学语书车马门见长东这个')
+    WHEN 3 THEN translate(t, 'etaoinsrhldu', 'ひらがな日本語東京都学校') WHEN 4 THEN translate(t, 'etaoinsrhldu', '國學語書車馬門見長東這個') ELSE t END AS text
+    FROM (SELECT session_id, seq, (session_id + seq) % 6 AS k, substr(text, 1, 60) AS t FROM ev))"""
+_COUNT = "length(regexp_replace(text, '[^{}]', '', 'g'))"
+
+
+@query(q("ev", "").rstrip() + ", " + _MIXED + f""", vt AS (SELECT session_id, seq, {_COUNT.format(language.THAI)} AS th, {_COUNT.format(language.KANA)} AS kana, {_COUNT.format(language.HAN)} AS han,
+    {_COUNT.format(chr(92) + 'p{L}' + chr(92) + 'p{M}')} AS letters, {_COUNT.format(''.join(a for a, b in zip(language.TRADITIONAL, language.SIMPLIFIED) if a != b))} AS old,
+    {_COUNT.format(''.join(b for a, b in zip(language.TRADITIONAL, language.SIMPLIFIED) if a != b))} AS new FROM mx),
+    ot AS (SELECT *, letters - th - kana - han AS other FROM vt)
+    SELECT session_id, seq, CASE WHEN th > other AND th > kana + han THEN 'th' WHEN kana + han > other AND kana + han >= th AND kana * 10 >= kana + han THEN 'ja'
+    WHEN kana + han > other AND kana + han >= th AND old <= new THEN 'zh-Hans' ELSE 'en' END AS language FROM ot""")
+def dominant_language(spark, d):
+    return _mixed(spark, d).select("session_id", "seq", language.dominant(F.col("text")).alias("language"))
+
+
 # --- sessions ---------------------------------------------------------------------------------------------
 
 
