@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -35,7 +36,7 @@ VERBS = {
     "load": "load vectors made elsewhere (--path, --model, --class)",
     "eval": "text search against semantic search (--path: queries)",
     "live": "who is writing right now (--window seconds)",
-    "tail": "follow files (--path: a glob, --checkpoint)",
+    "tail": "follow files (--path: a glob, --for seconds, --start begin or end, --raw, --checkpoint)",
     "tools": "the tools offered and what they cost",
 }
 
@@ -100,27 +101,40 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
             rows = _fleet(spark, a.root, store, int(now.timestamp()), a.window)
             return reports.table(rows.select("heat", "seconds", "project", "session_uuid", "file_tier", "agent_id", utc_stamp(F.col("file_mtime")).alias("at")), a.limit or 40)
         case "tail":
-            lines = live.to_events(live.tail(spark, a.path, start=a.start))
-            out: list[str] = []
-            show = lambda batch, _: out.extend(reports.table(batch.select("path", "offset", "role", one_line(F.col("text"), 100).alias("text")), 1000))
-            live.watch(lines, a.checkpoint, show, once=True).awaitTermination()
-            return out
+            return _follow(spark, a)
         case "tools":
             return [f"{cost:>6}  {origin:<9} {name}" for name, origin, cost in surface(Engine.of(store).tools())]
     raise Refused(f"unknown verb {a.verb!r}")
 
 
+def _follow(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """What is new, once or for some seconds, and what was counted. --raw: the lines as they are."""
+    checkpoint = a.checkpoint or tempfile.mkdtemp(prefix="logloom-tail-")  # of a driver that follows local files
+    lines = live.counted(live.to_events(live.tail(spark, a.path, start=a.start, windowSeconds=str(a.window if a.seconds else 0), checkpoint=checkpoint)))
+    shown = ["path", "offset", F.col("line").alias("text")] if a.raw else ["path", "offset", "role", one_line(F.col("text"), 100).alias("text")]
+    out: list[str] = []
+    query = live.watch(lines, checkpoint, lambda batch, _: out.extend(reports.table(batch.orderBy("path", "offset").select(*shown), a.limit or 1000)[0 if not out else 1 :]), once=not a.seconds)
+    query.awaitTermination(*([a.seconds] if a.seconds else []))
+    if a.seconds:
+        query.processAllAvailable()
+        query.stop()
+    counters = live.Counters()
+    counters.add(query)
+    return [*out, counters.line()]
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="logloom", formatter_class=argparse.RawDescriptionHelpFormatter, epilog="\n".join(f"{k:<9} {v}" for k, v in VERBS.items()))
     p.add_argument("verb", choices=tuple(VERBS))
     p.add_argument("--index", required=True, help="the folder of the index, shared with the executors")
     for name, kind, default in (
         ("root", str, "."), ("roots", str, "{}"), ("since", str, None), ("sort", str, "updated"), ("dir", str, None), ("tier", str, None), ("limit", int, None), ("query", str, ""),
-        ("path", str, ""), ("model", str, "hash/en/r1/64"), ("dump", str, None), ("window", int, 300), ("start", str, "begin"), ("checkpoint", str, None),
+        ("path", str, ""), ("model", str, "hash/en/r1/64"), ("dump", str, None), ("window", int, 300), ("start", str, "end"), ("for", int, 0), ("checkpoint", str, None),
     ):
-        p.add_argument(f"--{name}", type=kind, default=default)
+        p.add_argument(f"--{name}", type=kind, default=default, **({"dest": "seconds"} if name == "for" else {}))
     p.add_argument("--class", dest="vector_class", default="chat", choices=("chat", "tools"))
     p.add_argument("--force", action="store_true")
+    p.add_argument("--raw", action="store_true")
     return p
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,14 +24,14 @@ def tail(spark: SparkSession, pattern: str, **options: str) -> DataFrame:
 
 
 def to_events(lines: DataFrame) -> DataFrame:
-    """path, offset, parsed, line_type, ts, role, text, summary; lines that are no JSON stay, as not parsed."""
+    """path, offset, truncated, line, parsed, line_type, ts, role, text, summary; lines that are no JSON stay, as not parsed."""
     v = F.try_parse_json("line")
     row = lines.select("path", "offset", "truncated", "line", v.alias("v"))
     kind, rollout = field(F.col("v"), "$.type"), rollout_text(F.col("v"))
     talk = kind.isin(*CONVERSATIONAL)
     other = F.concat_ws(" · ", kind, field(F.col("v"), "$.subtype"))
     return row.select(
-        "path", "offset", "truncated", F.col("v").isNotNull().alias("parsed"), kind.alias("line_type"), field(F.col("v"), "$.timestamp").alias("ts"),
+        "path", "offset", "truncated", "line", F.col("v").isNotNull().alias("parsed"), kind.alias("line_type"), field(F.col("v"), "$.timestamp").alias("ts"),
         F.when(talk, kind).otherwise(rollout["role"]).alias("role"),
         F.when(F.col("v").isNull(), F.col("line")).when(talk, extract_text(F.col("v"))).otherwise(F.coalesce(rollout["text"], other)).alias("text"),
         summarize(block_array(F.col("v"))).alias("summary"),
@@ -41,9 +43,54 @@ def frames(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(*rows.columns).alias("data"))).alias("frame"))
 
 
+def counted(events: DataFrame, name: str = "tail") -> DataFrame:
+    """events, whose lines, bytes, malformed lines and truncated files each trigger tells of (observedMetrics)."""
+    size = F.octet_length("text") if "line" not in events.columns else F.octet_length("line")
+    return events.observe(
+        name, F.count("*").alias("lines"), F.coalesce(F.sum(size + 1), F.lit(0)).alias("bytes"), F.count_if(~F.col("parsed")).alias("malformed"),
+        F.count_if(F.col("truncated")).alias("truncated"),
+    )
+
+
+def _offsets(told) -> dict:
+    """The places of files, as a progress report has them: an object, or one that was made a string."""
+    return told if isinstance(told, dict) else ast.literal_eval(told or "{}")
+
+
+class Counters:
+    """Adds up what a query's triggers tell, and what waits behind the last newline of each file."""
+
+    def __init__(self, name: str = "tail"):
+        self.name, self.total = name, {"lines": 0, "bytes": 0, "malformed": 0, "truncated": 0, "held_back": 0}
+        self.seen = -1
+
+    def add(self, query) -> None:
+        for progress in query.recentProgress:
+            told = (progress.observedMetrics or {}).get(self.name)
+            if progress.batchId <= self.seen or told is None:
+                continue
+            self.seen = progress.batchId
+            for k in ("lines", "bytes", "malformed", "truncated"):
+                self.total[k] += told[k]
+            ends = _offsets(progress.sources[0].endOffset)
+            self.total["held_back"] = sum(max(0, os.path.getsize(p) - int(at)) for p, at in ends.items() if os.path.exists(p))
+
+    def line(self) -> str:
+        return " · ".join(f"{k.replace('_', ' ')} {v}" for k, v in self.total.items())
+
+
 def watch(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], once: bool = False, every: str = "1 second"):
-    """Starts a query that hands every batch to sink; offsets are kept in the checkpoint."""
-    writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    """Starts a query that hands every batch to sink; offsets are kept in the checkpoint. A batch is read once, however
+    often the sink looks at it, so what is counted of it is counted once."""
+
+    def once_read(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()  # as much as a trigger takes
+        try:
+            sink(kept, number)
+        finally:
+            kept.unpersist()
+
+    writer = events.writeStream.foreachBatch(once_read).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 

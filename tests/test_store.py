@@ -223,5 +223,6 @@ def test_command_line(spark, root, tmp_path):
         assert run(verb, *args), verb
     (tmp_path / "q.jsonl").write_text('// c\n{"query":"words"}\n')
     assert "substring" in "\n".join(run("eval", "--path", str(tmp_path / "q.jsonl")))
-    assert len(run("tail", "--path", str(root / "proj2/*.jsonl"), "--checkpoint", str(tmp_path / "ck"))) == 2
+    followed = run("tail", "--path", str(root / "proj2/*.jsonl"), "--checkpoint", str(tmp_path / "ck"), "--start", "begin")
+    assert len(followed) == 3 and followed[-1].startswith("lines 1 · bytes ")
     assert cli.main(["list", "--index", str(tmp_path / "index"), "--sort", "nope"]) == 2

@@ -128,7 +128,7 @@ def test_tail_stream_resumes(spark, tmp_path):
     (path / "a.jsonl").write_text(line("user", "one") + "\n" + "{oops\n" + '{"type":')
 
     def run():
-        events = live.to_events(live.tail(spark, str(path / "*.jsonl")))
+        events = live.to_events(live.tail(spark, str(path / "*.jsonl"), start="begin"))
         q = live.watch(events, str(tmp_path / "ckpt"), lambda df, _: got.extend((r["parsed"], r["role"], r["text"]) for r in df.orderBy("offset").collect()), once=True)
         assert q.awaitTermination(60)
 
