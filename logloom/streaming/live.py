@@ -7,13 +7,15 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.functions.blocks import block_array, extract_text, field, summarize
 from logloom.functions.scalar import CONVERSATIONAL, STATE_LINES, live_heat
 from logloom.operators.sequence import fold_state_runs
 from logloom.operators.sessions import group_live, live_index_states, recent
+from logloom.sources.scratch import written
 from logloom.sources.tail import TailSource
 from logloom.sources.transcripts import ROLLOUT_SOURCE, rollout_text
 
@@ -94,26 +96,72 @@ def watch(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], N
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def arrivals(files: DataFrame, gone_after: str = "6 seconds", first_scan: str | None = None) -> DataFrame:
-    """files: a stream of (path, at timestamp). The first sight of each path, again after it has been away for
-    ``gone_after``; state is a row a path and expires with it. What was there up to first_scan (a stamp) does not
-    arrive: a scan that begins finds everything new."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
+class Presence(StatefulProcessor):
+    """Who is there: state is a row a path (when it came and was last seen, in milliseconds), which a timer takes away
+    when the path has not been seen for ``gone_after``. Goes by the stamps of the scans alone, so a replay tells the same."""
+
+    def __init__(self, gone_after: int, quiet_until: int):
+        self.gone_after, self.quiet_until = gone_after, quiet_until
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stamps = sorted(int(t.value) // 1_000_000 for frame in rows for t in pd.to_datetime(frame["at"]))
+        found = self.seen.get() if self.seen.exists() else None
+        first, last = found if found else (None, None)
+        told = []
+        for at in stamps:
+            if last is not None and at - last > self.gone_after:
+                told.append((key[0], "left", last + self.gone_after))
+                first = None
+            if first is None:
+                first = at
+                if at > self.quiet_until:
+                    told.append((key[0], "arrived", at))
+            last = at if last is None else max(last, at)
+        self.seen.update((first, last))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.gone_after)
+        yield _presence_rows(told)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        told = []
+        if self.seen.exists():
+            told.append((key[0], "left", self.seen.get()[1] + self.gone_after))
+            self.seen.clear()
+        yield _presence_rows(told)
+
+    def close(self) -> None:
+        pass
+
+
+def _presence_rows(told: list[tuple[str, str, int]]) -> pd.DataFrame:
+    paths, kinds, stamps = zip(*told) if told else ((), (), ())
+    return pd.DataFrame({"path": pd.Series(paths, dtype=object), "kind": pd.Series(kinds, dtype=object), "at": pd.to_datetime(pd.Series(stamps, dtype="int64"), unit="ms")})
+
+
+#: Timers and typed state need this state store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def presence(files: DataFrame, gone_after: str = "6 seconds", first_scan: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """files: a stream of (path, at timestamp), a row a path and scan. A row (path, kind, at) whenever a path arrives, or
+    leaves because no scan has seen it for ``gone_after``. What was there up to first_scan (a stamp) does not arrive: a
+    scan that begins finds everything new. The state is Spark's, a row a path that is there; nothing is kept here."""
+    files.sparkSession.conf.set(*STATE_STORE)
+    quiet = int(pd.Timestamp(first_scan).timestamp() * 1000) if first_scan else -1
     millis = int(pd.Timedelta(gone_after).total_seconds() * 1000)
-    quiet = pd.Timestamp(first_scan) if first_scan else pd.Timestamp.min
+    return (
+        files.withWatermark("at", late).groupBy("path").transformWithStateInPandas(Presence(millis, quiet), "path string, kind string, at timestamp", "append", "EventTime")
+    )
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at = min(b["at"].min() for b in batches)
-        if not state.exists and at > quiet:
-            yield pd.DataFrame({"path": [key[0]], "arrived_at": [at]})
-        state.update((1,))
-        state.setTimeoutDuration(millis)
 
-    return files.groupBy("path").applyInPandasWithState(run, "path string, arrived_at timestamp", "seen int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def arrivals(files: DataFrame, gone_after: str = "6 seconds", first_scan: str | None = None) -> DataFrame:
+    """presence, of arrivals alone: (path, arrived_at)."""
+    return presence(files, gone_after, first_scan).where("kind = 'arrived'").select("path", F.col("at").alias("arrived_at"))
 
 
 def track_arrivals(live: DataFrame, known: DataFrame, previous: DataFrame, now: float, suppress: bool = False, flash: float = 6.0) -> DataFrame:
@@ -141,36 +189,41 @@ def fleet(transcripts: DataFrame, rollouts: DataFrame, names: DataFrame, now: in
 
 class LiveModel:
     """What a live view shows, brought up to date by ``tick``: the fleet, its groups and index states, what has just
-    arrived, who entered and left the window, and the newest events, folded. State is a few rows a live file."""
+    arrived, who entered and left the window, and the newest events, folded. What a tick needs of the one before it are
+    two written tables, the live files with their arrivals and the newest events; no row of them is held here."""
+
+    FLEET, EVENTS = "file_path string, arrived_at double", "id long, line_type string, ts string, role string, text string, summary string"
 
     def __init__(self, spark: SparkSession, keep: int = 150, expand: int = 20):
         self.spark, self.keep, self.expand = spark, keep, expand
-        self.known: list[str] = []
-        self.arrived: dict[str, float] = {}
-        self.events: list[tuple] = []
+        self.before = spark.createDataFrame([], self.FLEET)
+        self.events = spark.createDataFrame([], self.EVENTS)
         self.window: int | None = None
         self.last_id = 0
 
     def tick(self, live: DataFrame, known: DataFrame, now: float, window: int, lines: DataFrame | None = None) -> dict:
         """live: fleet(); known: the sessions table; lines: new rows of to_events(). The first tick and one with
-        another window show what is there without calling it new."""
+        another window show what is there without calling it new. sessions, groups, entered, left, arrived and folded
+        are frames."""
         suppress, self.window = self.window != window, window
-        paths = self.spark.createDataFrame([(p,) for p in self.known], "file_path string")
-        before = self.spark.createDataFrame(list(self.arrived.items()), "file_path string, arrived_at double")
-        states = live_index_states(live, known)
-        shown = live.join(states, "file_path").join(track_arrivals(live, paths, before, now, suppress), "file_path", "left").orderBy(F.col("file_mtime").desc(), "file_path").collect()
-        now_live, last = [r["file_path"] for r in shown], set(self.known)
-        entered, left = [p for p in now_live if p not in last], sorted(last - set(now_live))
-        self.known, self.arrived = now_live, {r["file_path"]: r["arrived_at"] for r in shown if r["arrived_at"] is not None}
+        last = self.before
+        shown = live.join(live_index_states(live, known), "file_path").join(
+            track_arrivals(live, last, last.where("arrived_at IS NOT NULL"), now, suppress), "file_path", "left"
+        )
+        shown = written(shown)
+        self.before = written(shown.select("file_path", "arrived_at"))
         if lines is not None:
-            fresh = lines.orderBy(F.col("path").desc(), F.col("offset").desc()).select("line_type", "ts", "role", "text", "summary").limit(self.keep).collect()[::-1]
-            self.events = [*self.events, *((self.last_id + 1 + k, *r) for k, r in enumerate(fresh))][-self.keep :]
-            self.last_id += len(fresh)
-        rows = self.spark.createDataFrame([(0, *e) for e in self.events], "key int, id long, line_type string, ts string, role string, text string, summary string")
+            newest = lines.orderBy(F.col("path").desc(), F.col("offset").desc()).limit(self.keep)
+            order = Window.orderBy("path", "offset")  # as many rows as are kept
+            own = newest.select((F.row_number().over(order) + self.last_id).cast("long").alias("id"), "line_type", "ts", "role", "text", "summary")
+            self.events = written(self.events.unionByName(own).orderBy(F.col("id").desc()).limit(self.keep))
+            self.last_id = self.events.agg(F.max("id")).first()[0] or self.last_id
+        folded = fold_state_runs(self.events.withColumn("key", F.lit(0)), "key", "id", "line_type", "ts", STATE_LINES)
         return {
-            "sessions": shown, "groups": group_live(live, int(now)), "entered": entered, "left": left, "arrived": dict(self.arrived),
-            "folded": fold_state_runs(rows, "key", "id", "line_type", "ts", STATE_LINES), "expand_from": self.last_id - self.expand,
-            "status": f"{len(shown)} live",
+            "sessions": shown.orderBy(F.col("file_mtime").desc(), "file_path"), "groups": group_live(live, int(now)),
+            "entered": shown.join(last, "file_path", "left_anti").select("file_path"), "left": last.join(shown, "file_path", "left_anti").select("file_path"),
+            "arrived": shown.where("arrived_at IS NOT NULL").select("file_path", "arrived_at"), "folded": folded,
+            "expand_from": self.last_id - self.expand, "status": f"{shown.count()} live",
         }
 
 

@@ -201,12 +201,13 @@ def test_live_model(spark, root, tmp_path):
     model = live.LiveModel(spark, keep=3)
     events = lambda *kinds: spark.createDataFrame([("p", k, t, None, None, f"x{k}", None) for k, t in enumerate(kinds)], "path string, offset long, line_type string, ts string, role string, text string, summary string")
     first = model.tick(one, known, now, 300, events("user", "mode", "mode"))
-    assert len(first["sessions"]) == 2 and first["arrived"] == {} and first["status"] == "2 live" and {r["state"] for r in first["sessions"]} == {"new"}
+    assert first["sessions"].count() == 2 and first["arrived"].count() == 0 and first["status"] == "2 live" and {r["state"] for r in first["sessions"].collect()} == {"new"}
     assert [(r["is_state"], r["count"]) for r in first["folded"].orderBy("first_id").collect()] == [(False, 1), (True, 2)]
     second = model.tick(two, known, now + 2, 300, events("user", "user"))
-    assert len(second["arrived"]) == 1 and len(second["entered"]) == 1 and len(model.events) == 3 and model.last_id == 5
+    assert second["arrived"].count() == 1 and second["entered"].count() == 1 and model.events.count() == 3 and model.last_id == 5
+    assert not any(isinstance(v, (list, dict, set)) for v in vars(model).values())  # no rows are held by the driver
     third = model.tick(one, known, now + 4, 600)
-    assert third["arrived"] == {} and len(third["left"]) == 1 and third["groups"].count() == 1
+    assert third["arrived"].count() == 0 and third["left"].count() == 1 and third["groups"].count() == 1
     kinds = [json.loads(f.first()["frame"])["kind"] for f in live.wire_frames(two, events("user"), "p", events("mode"), ["bad"])]
     assert kinds == ["fleet", "events", "attached", "history", "error"]
 
