@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import decontaminate, learn, lm, quality, toxicity
 
@@ -185,3 +186,23 @@ def test_unusual_rows(spark, empty):
     pages = spark.createDataFrame([(1, "u", "<p>" + "long body " * 200_000, 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     assert html.extract(pages.where("false")).count() == 0 and html.extract(pages).count() == 2
     assert sum(r["n_records"] for r in warc.audit(warc.archive(pages)).collect()) == 2
+
+
+def test_common_words_are_bounded_whatever_their_counts(spark, monkeypatch):
+    words = spark.range(4000).select(F.col("id").alias("h"), F.when(F.col("id") < 3000, 100_000).when(F.col("id") < 3400, 70).otherwise(F.col("id") % 5 + 1).cast("long").alias("c"))
+    for most, least_rows in ((4000, 4000), (3500, 3400), (3200, 3000), (1000, 600), (200, 80), (1, 0)):
+        monkeypatch.setattr(lm, "COMMON", most)
+        monkeypatch.setattr(lm, "COUNTS", 50)
+        kept = [r["c"] for r in words.where(lm.common_if(words)).collect()]
+        assert least_rows <= len(kept) <= most
+        rest = [r["c"] for r in words.where(~lm.common_if(words)).collect()]
+        assert len(kept) + len(rest) == 4000 and (not kept or not rest or min(kept) >= max(rest))
+
+
+def test_base_scores_do_not_depend_on_which_words_are_common(spark, corpus, monkeypatch):
+    key = lambda df: sorted((str(r["doc_id"]), r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in df.collect())
+    docs = corpus[1].where("doc_id < 60 OR doc_id > 139")
+    whole = key(lm.score_texts(docs, sample=20))
+    monkeypatch.setattr(lm, "COMMON", 120)
+    monkeypatch.setattr(lm, "COUNTS", 4)
+    assert key(lm.score_texts(docs, sample=20)) == whole
