@@ -123,6 +123,46 @@ def snippet(text: Column, phrase: str, around: int = 48) -> Column:
     )
 
 
+#: Code points of a fragment.
+FRAGMENT = 96
+
+
+def hit_patterns(query: TextQuery) -> list[str]:
+    """A pattern for each phrase's hits; tokens are whole words, but for the end of a prefix."""
+    out = []
+    for k, phrase in enumerate(query.phrases):
+        body = re.escape(phrase)
+        if query.engine == "token":
+            last = query.prefix and k == len(query.phrases) - 1
+            body = rf"(?<![\p{{L}}\p{{N}}]){body}" + ("" if last else r"(?![\p{L}\p{N}])")
+        out.append(body)
+    return out
+
+
+def best_fragment(text: Column, patterns: list[str], size: int = FRAGMENT) -> Column:
+    """The stretch of a text that holds most phrases, then most hits, the first of those; all hits in it between « and ».
+    Windows of two sizes are laid every size; the fragment begins a little before its window's first hit. Null without
+    a hit."""
+    any_hit = F.lit("(?iu)(" + "|".join(patterns) + ")")
+    halves = [F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})(?=(.{{0,{size}}}))"), k) for k in (1, 2)]
+
+    def judged(pair: Column, i: Column) -> Column:
+        window = F.concat(pair["0"], pair["1"])
+        counts = [F.regexp_count(window, F.lit(f"(?iu){p}")) for p in patterns]
+        distinct = reduce(lambda a, b: a + b, ((c > 0).cast("int") for c in counts))
+        return F.struct(distinct.alias("phrases"), reduce(lambda a, b: a + b, counts).alias("hits"), (-i).alias("before"), window.alias("window"))
+
+    def shown(best: Column) -> Column:
+        window, place = best["window"], -best["before"] * size
+        start = F.greatest(F.lit(1), F.regexp_instr(window, any_hit) - size // 4)
+        marked = F.regexp_replace(F.substr(window, start, F.lit(size)), any_hit, F.lit("«$1»"))
+        more = place + start - 1 + size < F.char_length(text)
+        return F.when(best["phrases"] > 0, F.concat(F.when(place + start > 1, "…").otherwise(""), marked, F.when(more, "…").otherwise("")))
+
+    best = F.array_max(F.transform(F.arrays_zip(*halves), judged))
+    return F.get(F.transform(F.array(best), shown), F.lit(0))  # the best window is found once
+
+
 def score_summary(hits: DataFrame) -> DataFrame:
     """hits, top, spread, flat: whether the scores tell hits apart."""
     strength = F.abs("score")

@@ -160,8 +160,8 @@ class Engine:
             hits = self.store.search(query, limit, engine, **filters)
         else:
             hits = search.search_filtered(self.events, sessions.with_projects(self.sessions, self.projects), query, limit, engine, **filters)
-        phrases = search.compile_query(query, engine).phrases
-        shown = hits.withColumn("snippet", F.coalesce(search.snippet(F.col("text"), phrases[0]), F.substring("text", 1, 96)) if phrases else F.lit(None).cast("string"))
+        patterns = search.hit_patterns(search.compile_query(query, engine))
+        shown = hits.withColumn("snippet", F.coalesce(search.best_fragment(F.col("text"), patterns), F.substring("text", 1, search.FRAGMENT)) if patterns else F.lit(None).cast("string"))
         if self.store is not None:
             shown = shown.persist()  # limit rows: counted for the log, then given out
             row = search.score_summary(shown).first()
@@ -255,7 +255,7 @@ class Engine:
             hits = self.search_sessions(query, 200) if engine == "text" else self.semantic_search(query, 200)
             uuid = F.col("session_uuid") if "session_uuid" in hits.columns else F.lit(None).cast("string")
             role = F.col("role") if "role" in hits.columns else F.lit(None).cast("string")
-            return hits.select("session_id", uuid.alias("uuid"), role.alias("role"), F.lit(None).cast("string").alias("ts"), "score", F.substring("text", 1, 300).alias("snippet"))
+            return hits.select("session_id", uuid.alias("uuid"), role.alias("role"), F.lit(None).cast("string").alias("ts"), "score", (F.col("snippet") if "snippet" in hits.columns else F.substring("text", 1, 300)).alias("snippet"))
 
         hits, self.errors = topics.trace(name, {s: own if s == "sessions" else (lambda s=s: self.sources[s](query)) for s in named}, at, self._written)
         if hits is None:

@@ -81,6 +81,18 @@ def search_token_and_prefix(spark, d):
     return _rounded(search.scored(demo.events(spark, d), search.compile_query("is to", "token"))).orderBy("score", "session_id", "seq").limit(50)
 
 
+@query(q("ev", """SELECT session_id, seq, CASE WHEN i > 0 OR st > 1 THEN '…' ELSE '' END || regexp_replace(substr(w, st, 96), '(the|tion)', '«\\1»', 'gi') || CASE WHEN 96 * i + st - 1 + 96 < n THEN '…' ELSE '' END AS fragment FROM (
+    SELECT *, greatest(1, least(coalesce(nullif(instr(lower(w), 'the'), 0), 1000), coalesce(nullif(instr(lower(w), 'tion'), 0), 1000)) - 24) AS st FROM (
+    SELECT *, (length(w) - length(replace(lower(w), 'the', ''))) // 3 AS f1, (length(w) - length(replace(lower(w), 'tion', ''))) // 4 AS f2 FROM (
+    SELECT *, substr(text, 96 * i + 1, 192) AS w FROM (SELECT session_id, seq, text, length(text) AS n, unnest(range(0, greatest(1, (length(text) + 95) // 96))) AS i FROM ev WHERE text ILIKE '%the%' OR text ILIKE '%tion%')))
+    QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY CAST(f1 > 0 AS INT) + CAST(f2 > 0 AS INT) DESC, f1 + f2 DESC, i) = 1)"""))
+def search_best_fragments(spark, d):
+    """Where both phrases stand together, else most hits of either; all hits marked."""
+    patterns = search.hit_patterns(search.compile_query("the tion"))
+    shown = demo.events(spark, d).select("session_id", "seq", search.best_fragment(F.col("text"), patterns).alias("fragment"))
+    return shown.where("fragment IS NOT NULL")
+
+
 def _from_index(spark, d, text: str, engine: str | None = None):
     hits = textindex.scored(*demo.index(spark, d), search.compile_query(text, engine))
     return _rounded(hits).orderBy("score", "session_id", "seq").limit(50)
