@@ -182,6 +182,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes of a written file that ``packed`` aims at, at least.
+FILE_BYTES = 128 << 20
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, or as its sources have FILE_BYTES: a step over little data leaves few
+    files in the shared folder instead of one a partition. Partitions are not shuffled, only run one after the other, and
+    each still is a partition to what maps over it; nothing here may go by their numbers."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    most = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    return df.coalesce(most) if most < 1 << 20 else df
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """materialise in few files."""
+    return materialise(packed(df))
+
+
 def settle(spark: SparkSession) -> None:
     """Gives the driver's unused memory back, and lets Spark delete shuffle files that nothing refers to: it
     learns of them as the driver collects garbage."""

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, gathered
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: (a, b) long. Returns (node, label) for every node that a link names; label: the smallest
     node of its component. Each round takes the smallest label next door and then the label's label, so
     rounds grow with the logarithm of the longest shortest path. Every round is written to the shared folder."""
-    both = materialise(
+    both = gathered(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     )
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    labels = gathered(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = least.join(up, "label").select("node", F.least("label", "up").alias("label"), (F.col("was") != F.least("label", "up")).alias("moved"))
-        following = materialise(jumped)
+        following = gathered(jumped)
         done = following.where("moved").isEmpty()
         discard(labels)
         labels = following

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, materialise, mix64, only_in, pieces, read, settle, unused
+from .common import discard, gathered, gram_hashes, mix64, only_in, pieces, read, settle, unused
 from .graph import components
 from .learn import words_of
 
@@ -330,7 +330,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     every = F.lit(True)
     for name in filters:
         every &= F.arrays_overlap(f"{name}_a", f"{name}_b")
-    able = materialise(sides(pairs, *filters).where(every).select("a", "b").distinct())
+    able = gathered(sides(pairs, *filters).where(every).select("a", "b").distinct())
     joined = sides(able, "tokens").select("a", "b", F.col("tokens_a").alias("x"), F.col("tokens_b").alias("y"))
     return joined.mapInArrow(run, "a long, b long").distinct()
 
@@ -339,28 +339,28 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n, sig) of every row of docs, and (sig, key, rep, first, label) of every class with a shingle:
     a text of it, its smallest doc_id, its first (no_id, doc_id, key) and the class that stands for its component."""
     spark = docs.sparkSession
-    first = materialise(_first_pass(docs))
+    first = gathered(_first_pass(docs))
     shared = spark.sparkContext.broadcast(_heavy(first.where("token IS NOT NULL")))
     rows = first.where("sig IS NOT NULL").select("doc_id", "key", "n", "sig")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
-    classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"), least))
-    held = materialise(_holders(docs, shared))
+    classes = gathered(rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"), least))
+    held = gathered(_holders(docs, shared))
     settle(spark)
     # the bitmaps of classes that share a shingle
-    sharing = _small(materialise(held.select("sig").distinct()))
+    sharing = _small(gathered(held.select("sig").distinct()))
     bits = first.where("bits IS NOT NULL").select("sig", "bits").join(sharing, "sig", "left_semi").dropDuplicates(["sig"])
-    bits = materialise(bits.join(held.groupBy("sig").agg(F.min("n").alias("n")), "sig"))
+    bits = gathered(bits.join(held.groupBy("sig").agg(F.min("n").alias("n")), "sig"))
 
     # each holder with the two of its group that have the fewest rarer shingles before it
     part = _hubs(held, "rest - n", "rest").agg(*_two(), F.count("*").alias("holders"), F.min("sig").alias("s"), F.max("sig").alias("t"))
     ends = part.groupBy("token").agg(F.max("salt").alias("salt"), *_two(), F.sum("holders").alias("holders"), F.min("s").alias("s"), F.max("t").alias("t")).where("s < t")
-    ends = materialise(ends.select("token", F.explode(F.expr(_SALTS)).alias("salt"), "low", "high", "holders"))
+    ends = gathered(ends.select("token", F.explode(F.expr(_SALTS)).alias("salt"), "low", "high", "holders"))
     stars = _ends(held.join(ends, ["token", "salt"]), "low", "high").groupBy("sig", "hub").agg(F.count("*").alias("shared"))
-    stars = materialise(_overlapping(materialise(stars), bits, "sig", "hub"))
+    stars = gathered(_overlapping(gathered(stars), bits, "sig", "hub"))
     settle(spark)
     # of three holders all pairs are compared if the two differ
     wide = held.join(ends.where("holders > 3 OR holders = 3 AND low.sig = high.sig").select("token", "salt"), ["token", "salt"])
-    wide = materialise(wide)
+    wide = gathered(wide)
     links, tables = [], [held, bits, ends, stars, wide]
 
     def linked(pairs: DataFrame) -> None:
@@ -374,13 +374,13 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # first with the one that shares most shingles, then with the others of another component
     labels = spark.createDataFrame([], "node long, label long")
     most = stars.groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    nearest = materialise(most.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct())
+    nearest = gathered(most.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct())
     linked(nearest)
     pairs = stars.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
     for k in "ab":
         own = labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
         pairs = pairs.join(_small(own), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
-    others = materialise(pairs.where("la <> lb").select("a", "b").join(nearest, ["a", "b"], "left_anti"))
+    others = gathered(pairs.where("la <> lb").select("a", "b").join(nearest, ["a", "b"], "left_anti"))
     tables += [nearest, others]
     tried = [nearest, others]
     if not others.isEmpty():
@@ -398,7 +398,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .where("sides > 1")
             .select("token", F.explode(F.expr(_SALTS)).alias("salt"), F.col("m.label").alias("main"))
         )
-        mixed = materialise(own.join(main, ["token", "salt"]))
+        mixed = gathered(own.join(main, ["token", "salt"]))
         tables.append(mixed)
         left = mixed.where("label <> main")
         if turn < HUB_TURNS:
@@ -406,7 +406,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             two = _hubs(mixed.where("label = main"), *order).agg(*_two()).groupBy("token").agg(F.max("salt").alias("salt"), *_two())
             two = two.select("token", F.explode(F.expr(_SALTS)).alias("salt"), "low", "high")
             met = _ends(left.join(two, ["token", "salt"]), "low", "high").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
-            more = _overlapping(materialise(met.distinct()), bits, "a", "b")
+            more = _overlapping(gathered(met.distinct()), bits, "a", "b")
         else:
             left = left.join(bits.select("sig", "bits"), "sig").withColumn("salt", F.explode(F.expr(_SALTS)))
             right = mixed.join(bits.select("sig", "bits"), "sig").select(
@@ -417,18 +417,18 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             more = more.select(F.least("sig", "q").alias("a"), F.greatest("sig", "q").alias("b")).distinct()
         for table in tried:
             more = more.join(table, ["a", "b"], "left_anti")
-        more = materialise(more)
+        more = gathered(more)
         tables.append(more)
         if more.isEmpty():
             continue
         tried.append(more)
         if turn == HUB_TURNS:
-            more = materialise(_finely(docs, more, classes, bits))
+            more = gathered(_finely(docs, more, classes, bits))
             tables.append(more)
         linked(more)
 
     named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    named = materialise(named)
+    named = gathered(named)
     for table in [*tables, classes]:
         discard(table)
     return rows, named
@@ -448,8 +448,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows, classes = _components(docs)
     own = rows.where("n > 0").select("doc_id", "key")
     stays = classes.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.key").alias("key"))
-    gone = _small(materialise(_without(own, stays).distinct()))
-    twice = materialise(own.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
+    gone = _small(gathered(_without(own, stays).distinct()))
+    twice = gathered(own.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
     name = unused(docs, "key")
     keyed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
     kept = _without(keyed, gone, name)
@@ -468,9 +468,9 @@ def _without(df: DataFrame, keys: DataFrame, name: str = "key", how: str = "left
 
 def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shared) -> DataFrame:
     """The pairs that verify. Only the sets that they name are gathered, and they go when it is done."""
-    sets = materialise(_sets(docs, _named(pairs, classes).select("key"), shared))
+    sets = gathered(_sets(docs, _named(pairs, classes).select("key"), shared))
     settle(docs.sparkSession)
-    links = materialise(_verify(pairs, sets))
+    links = gathered(_verify(pairs, sets))
     discard(sets)
     return links
 
@@ -482,7 +482,7 @@ def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _finely(docs: DataFrame, pairs: DataFrame, classes: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs that finer bitmaps allow too. Those of sets for which the others were fine enough pass."""
     large = pairs.join(bits.where(F.col("n") > 64 * SKETCH // PLACES).select(F.col("sig").alias("a")), "a", "left_semi")
-    fine = materialise(_fine(docs, _named(large, classes).select("key")).dropDuplicates(["sig"]))
+    fine = gathered(_fine(docs, _named(large, classes).select("key")).dropDuplicates(["sig"]))
     sides = [fine.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}")) for k in "ab"]
     # of sizes that overlap enough one bitmap is as long as the other, twice or half as long
     half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x | y)"

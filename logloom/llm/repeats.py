@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, materialise, mix64, only_in, pieces, read, unused
+from .common import discard, gathered, gram_hashes, mix64, only_in, pieces, read, unused
 from .learn import words_of
 
 LEAST = 50
@@ -114,7 +114,7 @@ def _repeated(kept: DataFrame, partitions: int) -> DataFrame:
             yield rows(True, np.ones(1, bool), last)
             yield rows(False, np.array([like]), last)
 
-    found = materialise(
+    found = gathered(
         kept.repartitionByRange(partitions, *columns)
         .sortWithinPartitions(*columns)
         .mapInArrow(run, "edge boolean, twice boolean, head long, doc_id long, key long, pos int")
@@ -189,7 +189,7 @@ def _covered(windows: DataFrame, partitions: int) -> DataFrame:
         if last is not None:
             yield rows(2, last, pa.array(last[1]))
 
-    found = materialise(
+    found = gathered(
         windows.repartitionByRange(partitions, *columns)
         .sortWithinPartitions(*columns)
         .mapInArrow(run, "edge int, window long, doc_id long, key long, at int, src long")
@@ -246,13 +246,13 @@ def _found(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")).where("doc_id IS NOT NULL")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = materialise(suffixes(own))
+    kept = gathered(suffixes(own))
     repeated = _repeated(kept, max(least, -(-kept.count() // PARTITION_ROWS)))
-    windows = materialise(_windows(own, repeated))
+    windows = gathered(_windows(own, repeated))
     discard(repeated)
     discard(kept)
     covered = _covered(windows, max(least, -(-windows.count() // PARTITION_ROWS)))
-    spans = materialise(_spans(covered))
+    spans = gathered(_spans(covered))
     discard(covered)
     discard(windows)
     return spans
@@ -269,7 +269,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     cut, i, k = (unused(docs, name) for name in ("cut", "other_id", "other_key"))
     spans = _found(docs).groupBy(F.col("doc_id").alias(i), F.col("key").alias(k)).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(cut))
     same = (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(k))
-    spans = materialise(spans)
+    spans = gathered(spans)
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # some tens of bytes a row: the texts stay where they are
         spans = F.broadcast(spans)
     joined = docs.join(spans, same, "left").drop(i, k)
