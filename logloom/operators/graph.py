@@ -1,4 +1,4 @@
-"""Session graphs: beats, tools and targets as nodes, with weights; an optional force layout."""
+"""Session graphs: beats, tools and targets as nodes, with weights."""
 
 from __future__ import annotations
 
@@ -93,26 +93,3 @@ def report(nodes: DataFrame, edges: DataFrame, truncated: bool) -> str:
     out += ["(tail only — file exceeded the graph read cap)"] * truncated
     out += [""] + [f"beat {r['node']}  {r['label']}" for r in of["beat"]]
     return "\n".join(out + [f"tool ×{r['weight']}  {r['label']}" for r in sorted(of["tool"], key=lambda r: -r["weight"])])
-
-
-def layout_step(nodes: DataFrame, edges: DataFrame, stiffness: float = 0.08, dt: float = 0.45) -> DataFrame:
-    """One step of the force layout of one session's graph. nodes: (node, x, y, vx, vy), at most a few
-    thousand (checked); edges: (a, b)."""
-    if nodes.limit(5001).count() > 5000:
-        raise ValueError("the layout is for one session's graph, of 5,000 nodes at most")
-    other = F.broadcast(nodes.select(F.col("node").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy")))
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    push = 900 / F.greatest(dx * dx + dy * dy + 0.01, F.lit(4.0))
-    repel = nodes.join(other, F.col("node") != F.col("o"), "left").groupBy("node", "x", "y", "vx", "vy").agg(
-        (F.coalesce(F.sum(dx * push), F.lit(0.0)) - 0.012 * F.col("x")).alias("fx"), (F.coalesce(F.sum(dy * push), F.lit(0.0)) - 0.012 * F.col("y")).alias("fy")
-    )
-    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("o")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("o")))
-    sx, sy = F.col("ox") - F.col("x"), F.col("oy") - F.col("y")
-    dist = F.greatest(F.sqrt(sx * sx + sy * sy), F.lit(0.01))
-    pull = (dist - 46) * stiffness * dt * 0.5
-    spring = ends.join(nodes.select("node", "x", "y"), "node").join(other, "o").groupBy("node").agg(F.sum(sx / dist * pull).alias("px"), F.sum(sy / dist * pull).alias("py"))
-    vx = (F.col("vx") + F.col("fx") * dt + F.coalesce("px", F.lit(0.0))) * 0.86
-    vy = (F.col("vy") + F.col("fy") * dt + F.coalesce("py", F.lit(0.0))) * 0.86
-    moved = repel.join(spring, "node", "left").select("node", "x", "y", vx.alias("vx"), vy.alias("vy")).withColumn("s", F.least(F.lit(1.0), F.try_divide(F.lit(40.0), F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2))))
-    s = F.coalesce("s", F.lit(1.0))
-    return moved.select("node", (F.col("x") + F.col("vx") * s * dt).alias("x"), (F.col("y") + F.col("vy") * s * dt).alias("y"), (F.col("vx") * s).alias("vx"), (F.col("vy") * s).alias("vy"))
