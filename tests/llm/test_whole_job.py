@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from logloom.llm import html, repeats, warc
 
 from .test_text_operators import brute_repeats
@@ -107,3 +109,64 @@ def test_pages_written_by_hand(spark):
         want, found = " ".join(article).split(), got[k].split()
         both = sum((Counter(want) & Counter(found)).values())
         assert both >= 0.9 * len(want) and both >= 0.85 * len(found), (k, got[k])
+
+
+def test_audit_of_a_failing_replica_against_all_records(spark):
+    """What the query audits: records lost, repeated, moved, cut short and rotten, found by comparing every record."""
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    from logloom.llm import warc
+
+    key = F.col("id")
+    pages = spark.range(9000).select(key.alias("page_id"), F.concat(F.lit("http://x/"), key % 700).alias("url"), F.concat(F.lit("<p>"), F.repeat(F.lit("body "), (key % 30).cast("int")), key.cast("string")).alias("html"))
+    pages = pages.unionByName(pages.where("page_id IN (5, 6)")).unionByName(spark.createDataFrame([(None, "u", "same"), (None, "u", "same"), (None, None, None)], "page_id long, url string, html string"))
+    leaves = warc.materialise(warc.archive(pages, warc.failing(F.col("page_id"), F.col("html"))))
+    replica = warc.scattered(leaves)
+    ours = {(r["file"], r["i"]): r for r in leaves.collect()}
+    theirs = {(r["file"], r["i"]): r for r in replica.collect()}
+    assert len(ours) == 9005 and len(theirs) != len(ours)
+    differs = [p for p in ours.keys() | theirs.keys() if (ours[p]["hash"] if p in ours else None) != (theirs[p]["hash"] if p in theirs else None)]
+    mine, others = ([side[p] for p in sorted(differs) if p in side] for side in (ours, theirs))
+
+    def pair(a, b, by):
+        left, pairs = defaultdict(list), []
+        for r in b:
+            left[by(r)].append(r)
+        rest = []
+        for r in a:
+            (pairs if left[by(r)] else rest).append((r, left[by(r)].pop(0)) if left[by(r)] else r)
+        return pairs, rest, [r for x in left.values() for r in x]
+
+    moved, mine, others = pair(mine, others, lambda r: (r["page_id"], r["hash"]))
+    changed, missing, added = pair(mine, others, lambda r: r["page_id"])
+    want = defaultdict(lambda: defaultdict(Counter))
+    for name, some in (("moved", [a for a, _ in moved]), ("damaged", [a for a, _ in changed] + missing), ("missing", missing), ("added", added)):
+        for r in some:
+            want[r["file"]][name][r["page_id"]] += 1
+    assert min(len(moved), len(changed), len(missing), len(added)) > 0
+    rows = warc.audit(leaves, replica).collect()
+    assert {r["file"] for r in rows} == {f for f, _ in ours.keys() | theirs.keys()}
+    for r in rows:
+        for name in ("moved", "damaged", "missing", "added"):
+            assert Counter(r[name]) == want[r["file"]][name], (r["file"], name)
+        assert r["intact"] == (not want[r["file"]]["damaged"])
+
+
+def test_ids_are_the_tokenizer_files_for_a_whole_table():
+    import os
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from logloom.llm import packing
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the generated tables")
+    texts = [t or "" for t in pq.read_table(path).column("text").to_pylist()]
+    enc, file = packing.encoding(*packing.tokenizer_files()), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text, ids in zip(texts, file.encode_batch(texts, add_special_tokens=False)):
+        assert enc.encode(text, allowed_special="all") == ids.ids
