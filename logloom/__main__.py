@@ -15,7 +15,7 @@ from logloom.functions.query import parse_since
 from logloom.functions.scalar import one_line, utc_stamp
 from logloom.operators import evaluate, graph, search, sessions, vectors
 from logloom.plans import reports
-from logloom.plans.api import Engine, Refused, surface
+from logloom.plans.api import Engine, Refused, arguments_of, budget_note, surface, surface_totals
 from logloom.sources import transcripts
 from logloom.sources.store import Store
 from logloom.streaming import live
@@ -38,6 +38,7 @@ VERBS = {
     "live": "who is writing right now (--window seconds)",
     "tail": "follow files (--path: a glob, --for seconds, --start begin or end, --raw, --checkpoint)",
     "tools": "the tools offered and what they cost",
+    "call": "one of the tools (--tool NAME -- and the flags that it declares)",
 }
 
 
@@ -103,7 +104,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
         case "tail":
             return _follow(spark, a)
         case "tools":
-            return [f"{cost:>6}  {origin:<9} {name}" for name, origin, cost in surface(Engine.of(store).tools())]
+            offered = Engine.of(store).tools()
+            totals = [f"{tokens:>6}  {origin:<9} {n} tools" for origin, n, tokens in surface_totals(offered)]
+            return [*totals, budget_note(len(offered)), "", *(f"{cost:>6}  {origin:<9} {name}" for name, origin, cost in surface(offered))]
+        case "call":
+            engine = Engine.of(store)
+            known = {c.name: c for c in engine.tools()}
+            if a.tool not in known:
+                raise Refused(f"unknown tool {a.tool!r}; known: {', '.join(sorted(known))}")
+            return reports.table(engine.call(a.tool, arguments_of(known[a.tool], a.rest)), a.rows)
     raise Refused(f"unknown verb {a.verb!r}")
 
 
@@ -135,11 +144,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--class", dest="vector_class", default="chat", choices=("chat", "tools"))
     p.add_argument("--force", action="store_true")
     p.add_argument("--raw", action="store_true")
+    p.add_argument("--tool", default="", help="the tool that call calls")
+    p.add_argument("--rows", type=int, default=200, help="rows that call shows at most")
     return p
 
 
+def parse(argv: list[str]) -> argparse.Namespace:
+    """What stands behind -- are the called tool's own flags."""
+    at = argv.index("--") if "--" in argv else len(argv)
+    a = parser().parse_args(argv[:at])
+    a.rest = argv[at + 1 :]
+    return a
+
+
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    a = parse(sys.argv[1:] if argv is None else argv)
     try:
         print("\n".join(run(SparkSession.builder.getOrCreate(), a)))
     except ValueError as error:

@@ -328,3 +328,37 @@ def _rendered(events: DataFrame) -> DataFrame:
 def surface(commands: Iterable[Command] | None = None) -> list[tuple[str, str, int]]:
     """(tool, origin, tokens) of everything that is offered, the dearest first."""
     return sorted(((c.name, c.origin, c.cost()) for c in commands or COMMANDS.values()), key=lambda x: (-x[2], x[0]))
+
+
+#: Numbers of tools from which clients are known to choose worse, and to drop tools.
+BUDGET = ((20, "within every known limit"), (30, "below where choices begin to get worse"), (40, "at the number beyond which some clients drop tools"))
+
+
+def budget_note(n: int) -> str:
+    """How a number of tools stands to what clients are known to bear."""
+    return f"{n} tools: " + next((note for most, note in BUDGET if n <= most), "beyond what some clients keep, and choices get worse")
+
+
+def surface_totals(commands: Iterable[Command]) -> list[tuple[str, int, int]]:
+    """(origin, tools, tokens), and all of them together last."""
+    rows = surface(commands)
+    origins = sorted({origin for _, origin, _ in rows})
+    told = [(o, sum(x[1] == o for x in rows), sum(x[2] for x in rows if x[1] == o)) for o in origins]
+    return [*told, ("all", len(rows), sum(x[2] for x in rows))]
+
+
+def arguments_of(command: Command, argv: list[str]) -> dict[str, Any]:
+    """A tool's arguments from a command line, whose flags are those of its declaration."""
+    import argparse
+
+    p = argparse.ArgumentParser(prog=command.name, description=command.help, allow_abbrev=False, exit_on_error=False)
+    for x in command.params:
+        more = {"nargs": "*"} if x.kind is list else {}
+        p.add_argument(f"--{x.name}", dest=x.name, type=str, default=argparse.SUPPRESS, required=x.required, choices=x.choices or None, **more)
+    try:
+        found, unknown = p.parse_known_args(argv)
+    except argparse.ArgumentError as error:
+        raise Refused(str(error)) from None
+    if unknown:
+        raise Refused(f"unknown argument {unknown[0]!r}; known: {', '.join('--' + x.name for x in command.params) or 'none'}")
+    return vars(found)

@@ -92,3 +92,18 @@ def test_a_scan_looks_at_stamp_and_size_alone(spark):
     disk = spark.createDataFrame([("a", 1, 5), ("b", 2, 5), ("c", 1, 6), ("d", 1, 1)], "file_path string, file_mtime long, file_size long")
     assert {r["file_path"]: r["state"] for r in ops.scan_states(known, disk).collect()} == {"a": "unchanged", "b": "changed", "c": "changed", "d": "new"}
     assert ops.database_age(None) == ("missing", 0) and ops.database_age(known.where("false")) == ("empty", 0) and ops.database_age(known) == ("populated", 3)
+
+
+def test_tools_are_called_by_the_flags_that_they_declare(spark, store):
+    call = lambda *args: cli.run(spark, cli.parse(["call", "--index", store.root, *args]))
+    assert len(call("--tool", "search_sessions", "--", "--query", "long enough", "--limit", "1")) == 2
+    assert len(call("--tool", "list_sessions", "--", "--sort", "size", "--dir", "asc")) == 3
+    assert len(call("--tool", "read_session", "--", "--session", "12345678", "--from", "3", "--limit", "2")) == 3
+    for args in (("--tool", "none"), ("--tool", "search_sessions"), ("--tool", "list_sessions", "--", "--sort", "colour"), ("--tool", "index_status", "--", "--more", "1"), ("--tool", "list_sessions", "--", "--limit", "0")):
+        with pytest.raises(Refused):
+            call(*args)
+    shown = cli.run(spark, cli.parser().parse_args(["tools", "--index", store.root]))
+    assert shown[0].endswith("built-in  15 tools") and "all       15 tools" in shown[1] and shown[2] == "15 tools: within every known limit"
+    from logloom.plans.api import budget_note
+
+    assert [budget_note(n).split(": ")[1][:6] for n in (20, 21, 31, 41)] == ["within", "below ", "at the", "beyond"]
