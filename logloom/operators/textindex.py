@@ -8,15 +8,20 @@ which postings still count. So nothing that was written before is rewritten unti
 
 A phrase is found by its rarest term first: the events that have it, if they are few, are what the other terms'
 postings are read down to; places then tell how often the phrase stands there. Scores equal those of
-``search.scored``, which reads all texts. Null texts count as empty; repeated rows of an event count as one event.
+``search.scored``, which reads all texts. Null texts count as empty. Events are told apart by session and number, of which
+every pair stands for one event, as a store keeps them.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ PARTS = 64
 #: A part is written by so many tasks at most: a run of blanks stands in nearly every text.
 SALTS = 8
 GRAM = 3
+#: Bytes of text whose terms are grouped at a time.
+SLICE = 1 << 20
 #: Events of the rarest term that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 KINDS = {"substring": "gram", "token": "token"}
@@ -44,26 +51,70 @@ def lengths(events: DataFrame) -> DataFrame:
 
 def indexed(events: DataFrame, segment: int) -> DataFrame:
     """A row a session: its segment, events and lengths."""
-    own = lengths(events.dropDuplicates(["session_id", "seq"]))
+    own = lengths(events)
     return own.groupBy("session_id").agg(
         F.lit(segment).cast("long").alias("segment"), F.count("*").alias("n_rows"), F.sum(F.size("tokens")).alias("token_length"), F.sum("grams").alias("gram_length")
     )
 
 
+def _grouped(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which equal (row, term) stand together, as they came, and where each group begins (one more entry:
+    the end)."""
+    order = np.lexsort((np.arange(len(row)), term, row))
+    r, t = row[order], term[order]
+    fresh = np.ones(len(r), bool)
+    fresh[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1])
+    return order, np.append(np.flatnonzero(fresh), len(r))
+
+
+def _rows(kind: str, batch: pa.RecordBatch, row: np.ndarray, term: np.ndarray, place: np.ndarray, names: Callable[[np.ndarray], pa.Array], length: str) -> pa.RecordBatch:
+    """A row a term of an event, with its places."""
+    order, first = _grouped(row, term)
+    heads = order[first[:-1]]
+    own = pa.array(row[heads])
+    places = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    columns = [pa.repeat(kind, len(heads)), names(term[heads]), batch.column("session_id").take(own), batch.column("seq").take(own), batch.column(length).take(own), places]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "term", "session_id", "seq", "d", "places"])
+
+
+def _gram_names(codes: np.ndarray) -> pa.Array:
+    points = np.column_stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]).astype("<u4")
+    text = points.tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)], pa.string())
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of (session_id, seq, low, tokens, n_tokens, grams), grouped event by event, some SLICE bytes at a time."""
+    for whole in batches:
+        size = np.cumsum(pc.binary_length(whole.column("low")).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < whole.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE, "right")))
+            batch = whole.slice(a, b - a)
+            a = b
+            tokens, n = batch.column("tokens"), batch.column("n_tokens").to_numpy().astype(np.int64)
+            if n.sum():
+                coded = tokens.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield _rows("token", batch, row, coded.indices.to_numpy().astype(np.int64), place, lambda t, d=coded.dictionary: d.take(pa.array(t)), "n_tokens")
+            points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for t in batch.column("low").to_pylist()]
+            each = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points if len(p) >= GRAM]
+            if each:
+                row = np.repeat([k for k, p in enumerate(points) if len(p) >= GRAM], [len(x) for x in each])
+                yield _rows("gram", batch, row, np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each]), _gram_names, "grams")
+
+
 def postings(events: DataFrame, segment: int) -> DataFrame:
-    """The posting rows of events, each part in SALTS tasks at most, sorted by term."""
-    own = lengths(events.dropDuplicates(["session_id", "seq"]))
-    lowered = F.regexp_extract_all(F.lower("text"), F.lit("(?s)(?=(" + "." * GRAM + "))"), 1)
-    kinds = [
-        own.select("session_id", "seq", F.lit("token").alias("kind"), F.size("tokens").alias("d"), F.posexplode("tokens").alias("place", "term")),
-        own.select("session_id", "seq", F.lit("gram").alias("kind"), F.col("grams").alias("d"), F.posexplode(lowered).alias("place", "term")),
-    ]
+    """The posting rows of events, each part in SALTS tasks at most, sorted by term. Places are grouped where a text is
+    read, so that what is shuffled is a row a term of an event."""
+    own = lengths(events)
+    read = own.select("session_id", "seq", F.lower("text").alias("low"), "tokens", F.size("tokens").alias("n_tokens"), "grams")
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    each = read.mapInArrow(_terms, f"kind string, term string, session_id {kinds['session_id']}, seq {kinds['seq']}, d int, places array<int>")
     key = F.when(F.col("kind") == "token", F.substr("term", F.lit(1), F.lit(2))).otherwise(F.col("term"))
-    each = kinds[0].unionByName(kinds[1]).select(
-        "*", (F.crc32(key.cast("binary")) % PARTS).cast("int").alias("part"), F.pmod(F.xxhash64("session_id", "seq"), F.lit(SALTS)).alias("salt")
-    )
-    by = ("kind", "part", "salt", "term", "session_id", "seq")
-    rows = each.repartition("kind", "part", "salt").groupBy(*by).agg(F.first("d").alias("d"), F.sort_array(F.collect_list("place")).alias("places"))  # one event
+    dealt = each.select("*", (F.crc32(key.cast("binary")) % PARTS).cast("int").alias("part"))
+    rows = dealt.repartition("kind", "part", F.pmod(F.xxhash64("session_id", "seq"), F.lit(SALTS)))
     return rows.select("kind", "part", F.lit(segment).cast("long").alias("segment"), "term", "session_id", "seq", "d", "places").sortWithinPartitions(
         "kind", "part", "term", "session_id", "seq"
     )
